@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from graphloom.llm import chat, mixture, shards
+from graphloom.llm import bpe, chat, classifier, mixture, rules, shards
 
 QUERIES = {
     "op1_shards": shards.op1_shards,
     "op2_chat": chat.op2_chat,
     "op3_mixture": mixture.op3_mixture,
+    "op6_bpe": bpe.op6_bpe,
+    "op7_quality": classifier.op7_quality,
+    "op10_rules": rules.op10_rules,
 }
 
-ORACLES = {"op3_mixture": mixture.OP3_SQL}
+ORACLES = {"op3_mixture": mixture.OP3_SQL, "op10_rules": rules.OP10_SQL}
