@@ -25,12 +25,12 @@ from graphloom.llm.common import text_of
 MAX_LABELLED = 4000
 GRAMS = 2048
 DIM = 64
-NEIGHBOURS = 25
-POWER = 4.0
+NEIGHBOURS = 9
+POWER = 12.0
 THRESHOLD = 0.3
 BLOCK = 256
 #: Weight of one form indicator beside the unit-length trigram part.
-FORM_WEIGHT = 0.6
+FORM_WEIGHT = 1.0
 FORMS, BINS = 9, 8
 WIDTH = GRAMS + FORMS * BINS
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import bpe, chat, classifier, mixture, rules, shards
+from graphloom.llm import bpe, chat, classifier, mixture, ngrams, rules, shards
 
 QUERIES = {
     "op1_shards": shards.op1_shards,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mixture": mixture.op3_mixture,
     "op6_bpe": bpe.op6_bpe,
     "op7_quality": classifier.op7_quality,
+    "op8_ngrams": ngrams.op8_ngrams,
     "op10_rules": rules.op10_rules,
 }
 
