@@ -77,9 +77,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "tokens"])
 
 
-def sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node, tokens of the sets that occur in pairs, recomputed from one document of each class."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def sets_of(docs: DataFrame, classes: DataFrame, tasks: DataFrame) -> DataFrame:
+    """node, tokens of the sets that occur in tasks, recomputed from one document of each class."""
+    nodes = tasks.select("node").distinct()
     wanted = materialise(classes.join(nodes, "node").select("node", "sig", F.col("rep").alias("w_id")))
     few = wanted.count() <= setjoin.BROADCAST_KEYS
     found = docs.join(F.broadcast(wanted) if few else wanted, docs["doc_id"].eqNullSafe(wanted["w_id"])).select("node", "sig", "text")
@@ -97,12 +97,13 @@ def similar_components(docs: DataFrame) -> DataFrame:
     )
     found = materialise(setjoin.posting_lists(classes))
     stars = materialise(found.filter("list is null").select("a", "b").distinct())
-    links = materialise(setjoin.verify(stars, sets_of(base, classes, stars)))
+    tasks = materialise(setjoin.star_tasks(stars))
+    links = materialise(setjoin.search(tasks, sets_of(base, classes, tasks), by_component=False))
     labels = setjoin.components(links)
     lists = found.filter("list is not null").dropDuplicates(["list"])
-    more = materialise(setjoin.rest_pairs(lists, labels, later_only=False).join(stars, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = links.union(setjoin.verify(more, sets_of(base, classes, more)))
+    tasks = materialise(setjoin.open_tasks(lists, labels, later_only=False))
+    if not tasks.isEmpty():
+        links = links.union(setjoin.search(tasks, sets_of(base, classes, tasks), by_component=True))
         labels = setjoin.components(links)
     named = classes.select("sig", "node", "rep").join(labels, "node", "left").withColumn("mark", F.coalesce("mark", "node"))
     least = named.groupBy("mark").agg(F.min("rep").alias("component"))

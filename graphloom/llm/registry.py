@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import bpe, chat, classifier, mixture, neighbours, ngrams, rules, shards
+from graphloom.llm import bpe, chat, classifier, lines, mixture, neighbours, ngrams, rules, shards
 
 QUERIES = {
     "op1_shards": shards.op1_shards,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_bpe": bpe.op6_bpe,
     "op7_quality": classifier.op7_quality,
     "op8_ngrams": ngrams.op8_ngrams,
+    "op9_lines": lines.op9_lines,
     "op10_rules": rules.op10_rules,
 }
 

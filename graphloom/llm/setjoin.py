@@ -4,11 +4,12 @@
    logarithm, then by hash. Any fixed order is exact, a rarer-first one keeps the lists below short.
 2. Sets with n tokens that are similar to another share one of their first n - ceil(4n/5) + 1 tokens with it (prefix
    filter). `posting_lists` brings these together by token: blocks of packed arrays, one per bucket of token hashes.
-3. Star round: in each list every set is paired with the list's first set of compatible size; the pairs are verified.
-4. `rest_pairs`: pairs of the longer lists that the first round has neither verified nor made superfluous.
-   So copies of one text never expand into all pairs, and no pair of different sets is lost.
+3. Star round (`star_tasks`): in each list every set is paired with the list's first set if lengths and places allow.
+4. `open_tasks`: the longer lists that the first round leaves open go on, as groups of candidates; lists that it has
+   brought into one component (or given an earlier partner each) are done. So copies of one text never expand into all
+   pairs, and no link between components is lost.
 
-Verification is a T-occurrence search (`divide_skip`) with the pivot as query over the inverted lists of its candidates.
+Both rounds decide by T-occurrence searches (`Index.similar`): DivideSkip over the inverted lists of a task's whole sets.
 Tokens are 64-bit hashes; a wrong count needs a collision inside one pair of sets.
 """
 
@@ -29,6 +30,8 @@ from graphloom.llm.common import materialise, partitions
 
 CELLS_LOG2 = 20
 SLABS = 64
+#: Places in a prefix are kept in 16 bits; from here on the positional filter lets a pair pass.
+FAR = 65_535
 #: Candidates that share a task with their pivot's set.
 PER_TASK = 2000
 #: Key sets up to this size are broadcast (8 MB); larger ones are joined by shuffle.
@@ -44,16 +47,28 @@ def prefix_length(n):
     return n - need(n) + 1
 
 
+def may_be_similar(n, m):
+    """Length filter."""
+    return 5 * np.minimum(n, m) >= 4 * np.maximum(n, m)
+
+
+def places_allow(n, i, m, j):
+    """Positional filter: sets of n and m tokens that share the token at places i and j of their orders have at most
+    min(i, j) common tokens before it and as many behind it as the shorter rest holds."""
+    most = np.minimum(i, j) + 1 + np.minimum(n - i - 1, m - j - 1)
+    return (most >= -(-4 * (n.astype(np.int64) + m) // 9)) | (np.maximum(i, j) >= FAR)
+
+
 def count_cells(tokens_of):
     """mapInArrow function: a partition's token counts by cell, in SLABS packed pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(2**CELLS_LOG2, np.int64)
         for batch in batches:
-            for text in batch.column("text"):
-                tokens = tokens_of(text.as_py())
-                if len(tokens):
-                    np.add.at(counts, tokens >> np.uint64(64 - CELLS_LOG2), 1)
+            found = [tokens_of(text.as_py()) for text in batch.column("text")]
+            if found:
+                cells = (np.concatenate(found) >> np.uint64(64 - CELLS_LOG2)).astype(np.int64)
+                counts += np.bincount(cells, minlength=len(counts))
         slabs = np.minimum(counts, 2**32 - 1).astype(np.uint32).reshape(SLABS, -1)
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(SLABS), pa.int32()), pa.array([s.tobytes() for s in slabs], pa.binary())], ["slab", "counts"]
@@ -96,54 +111,58 @@ def signature(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
-def posting_lists(classes: DataFrame) -> DataFrame:
-    """classes: node (long), n (int), prefix (packed tokens). Returns packed star pairs and lists per bucket:
-    a, b (first set and candidate) with list null, or list (name of the members), nodes and ns of a list of three or more."""
+def posting_lists(classes: DataFrame, kind: type = np.uint64) -> DataFrame:
+    """classes: node (long), n (int), prefix (packed tokens of that kind). Returns packed star pairs and lists per bucket:
+    a, b (first set and candidate) with list null, or list (name of the members), nodes of a list of three or more."""
     spark = classes.sparkSession
-    total = classes.agg(F.sum(F.octet_length("prefix")) / 8).first()[0] or 0
+    width = np.dtype(kind).itemsize
+    total = classes.agg(F.sum(F.octet_length("prefix")) / width).first()[0] or 0
     buckets = max(2 * partitions(spark), int(total // 1_000_000) + 1)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = [len(x.as_py()) // 8 for x in batch.column("prefix")]
-            tokens = np.frombuffer(b"".join(x.as_py() for x in batch.column("prefix")), np.uint64)
+            lengths = [len(x.as_py()) // width for x in batch.column("prefix")]
+            tokens = np.frombuffer(b"".join(x.as_py() for x in batch.column("prefix")), kind)
             nodes = np.repeat(batch.column("node").to_numpy(), lengths)
             ns = np.repeat(batch.column("n").to_numpy(), lengths)
-            bucket = ((tokens >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
+            bucket = ((tokens >> kind(8)) % kind(buckets)).astype(np.int32)
+            places = np.concatenate([np.arange(k) for k in lengths]) if lengths else np.array([], int)
+            places = np.minimum(places, FAR).astype(np.uint16)
             by = np.argsort(bucket, kind="stable")
-            bucket, tokens, nodes, ns = bucket[by], tokens[by], nodes[by], ns[by].astype(np.int32)
+            bucket, tokens, nodes, ns, places = bucket[by], tokens[by], nodes[by], ns[by].astype(np.int32), places[by]
             cuts = np.flatnonzero(np.diff(bucket)) + 1
             starts = np.concatenate([[0], cuts]) if len(bucket) else np.array([], int)
             ends = np.concatenate([cuts, [len(bucket)]]) if len(bucket) else np.array([], int)
             pack = lambda x: pa.array([x[s:e].tobytes() for s, e in zip(starts, ends, strict=True)], pa.binary())  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[starts] if len(starts) else [], pa.int32()), pack(tokens), pack(nodes), pack(ns)], ["bucket", "t", "d", "n"]
+                [pa.array(bucket[starts] if len(starts) else [], pa.int32()), pack(tokens), pack(nodes), pack(ns), pack(places)], ["bucket", "t", "d", "n", "p"]
             )
 
-    blocks = classes.select("node", "n", "prefix").mapInArrow(emit, "bucket int, t binary, d binary, n binary")
-    return blocks.groupBy("bucket").applyInArrow(_lists, "a long, b long, list long, nodes array<long>, ns array<int>")
+    blocks = classes.select("node", "n", "prefix").mapInArrow(emit, "bucket int, t binary, d binary, n binary, p binary")
+    return blocks.groupBy("bucket").applyInArrow(lambda x: _lists(x, kind), "a long, b long, list long, nodes array<long>")
 
 
-def _lists(blocks: pa.Table) -> pa.Table:
+def _lists(blocks: pa.Table, kind: type) -> pa.Table:
     whole = lambda name: b"".join(x.as_py() for x in blocks.column(name))
-    t, d, n = np.frombuffer(whole("t"), np.uint64), np.frombuffer(whole("d"), np.int64), np.frombuffer(whole("n"), np.int32)
+    t, d, n = np.frombuffer(whole("t"), kind), np.frombuffer(whole("d"), np.int64), np.frombuffer(whole("n"), np.int32)
+    p = np.frombuffer(whole("p"), np.uint16).astype(np.int64)
     by = np.lexsort((d, t))
-    t, d, n = t[by], d[by], n[by]
+    t, d, n, p = t[by], d[by], n[by], p[by]
     same = t[1:] == t[:-1]
     inside = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    t, d, n = t[inside], d[inside], n[inside]
+    t, d, n, p = t[inside], d[inside], n[inside], p[inside]
     starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.array([], int)
     ends = np.concatenate([starts[1:], [len(t)]]) if len(t) else starts
     pairs: set[tuple[int, int]] = set()
-    lists: dict[int, tuple] = {}
+    lists: dict[int, np.ndarray] = {}
     for s, e in zip(starts, ends, strict=True):
         nodes, sizes = d[s:e], n[s:e]
         if e - s > 2:
             name = xxhash.xxh3_64_intdigest(nodes.tobytes()) - 2**63
             if name in lists:
                 continue
-            lists[name] = (nodes, sizes)
-        fits = (5 * np.minimum(sizes, sizes[0]) >= 4 * np.maximum(sizes, sizes[0]))[1:]
+            lists[name] = nodes
+        fits = (may_be_similar(sizes, sizes[0]) & places_allow(sizes, p[s:e], sizes[0], p[s]))[1:]
         first = int(nodes[0])
         pairs.update((first, x) for x in nodes[1:][fits].tolist())
     stars, none = sorted(pairs), [None] * len(pairs)
@@ -151,115 +170,157 @@ def _lists(blocks: pa.Table) -> pa.Table:
     return pa.table({
         "a": pa.array([x[0] for x in stars] + gap, pa.int64()), "b": pa.array([x[1] for x in stars] + gap, pa.int64()),
         "list": pa.array(none + list(lists), pa.int64()),
-        "nodes": pa.array(none + [x[0] for x in lists.values()], pa.list_(pa.int64())),
-        "ns": pa.array(none + [x[1] for x in lists.values()], pa.list_(pa.int32())),
+        "nodes": pa.array(none + list(lists.values()), pa.list_(pa.int64())),
     })
 
 
-def rest_pairs(lists: DataFrame, status: DataFrame, later_only: bool) -> DataFrame:
-    """Pairs of list members that still need a look. status: node, mark.
-
-    later_only False: marks are component labels, pairs within one are superfluous. True: mark 1 says that the set needs
-    no further (earlier) partner."""
-    members = lists.select("list", F.posexplode(F.arrays_zip("nodes", "ns")).alias("i", "m")).select("list", F.col("m.nodes").alias("node"), F.col("m.ns").alias("n"))
-    marked = members.join(status, "node", "left").withColumn("mark", F.coalesce("mark", F.lit(0) if later_only else F.col("node")))
-    spread = marked.groupBy("list").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi"))
-    open_lists = spread.filter("lo = 0" if later_only else "lo <> hi").select("list")
-    rows = marked.join(open_lists, "list")
-
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node")
-        node, n, mark = pdf["node"].to_numpy(), pdf["n"].to_numpy(), pdf["mark"].to_numpy()
-        a, b = [], []
-        for j in range(1, len(node)):
-            if later_only and mark[j]:
-                continue
-            fits = 5 * np.minimum(n[:j], n[j]) >= 4 * np.maximum(n[:j], n[j])
-            if not later_only:
-                fits &= mark[:j] != mark[j]
-            fits[0] = False  # the star round has verified it
-            got = node[:j][fits]
-            a.append(got)
-            b.append(np.full(len(got), node[j]))
-        return pd.DataFrame({"a": np.concatenate(a) if a else [], "b": np.concatenate(b) if b else []}, dtype="int64")
-
-    return rows.groupBy("list").applyInPandas(pairs, "a long, b long").distinct()
-
-
-def divide_skip(query: np.ndarray, sets: list[np.ndarray]) -> list[int]:
-    """Positions of the sets (sorted arrays) whose Jaccard similarity with the query is at least 4/5."""
-    n = len(query)
-    wanted = [-(-4 * (n + len(s)) // 9) for s in sets]
-    least = min(wanted)
-    tokens = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    at = np.searchsorted(query, tokens)
-    hit = (at < n) & (query[np.minimum(at, n - 1)] == tokens)
-    at, owner = at[hit], owner[hit]
-    by = np.lexsort((owner, at))
-    at, owner = at[by], owner[by]
-    cuts = np.flatnonzero(np.diff(at)) + 1
-    lists = [x.tolist() for x in np.split(owner, cuts)] if len(at) else []
-    if len(lists) < least:
-        return []
-    lists.sort(key=len)
-    longest = len(lists[-1])
-    apart = min(least - 1, int(least / (0.01 * np.log2(longest + 1) + 1)), len(lists) - 1) if longest > 1 else 0
-    short, long = lists[: len(lists) - apart], lists[len(lists) - apart :]
-    bar = least - apart
-    found = []
-    heap = [(x[0], i) for i, x in enumerate(short)]
+class Index:
+    """Inverted lists over some sets (sorted token arrays), for T-occurrence searches."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        tokens = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        by = np.argsort(tokens, kind="stable")
+        tokens, self.owner = tokens[by], owner[by]
+        self.starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        self.tokens = tokens[self.starts]
+        self.ends = np.concatenate([self.starts[1:], [len(tokens)]])
+
+    def similar(self, query: np.ndarray, own: int = -1) -> list[int]:
+        """Members whose Jaccard similarity with the query is at least 4/5, by DivideSkip; own: the query's own number."""
+        n = len(query)
+        fits = may_be_similar(self.sizes, n)
+        if own >= 0:
+            fits[own] = False
+        if not fits.any():
+            return []
+        wanted = -(-4 * (n + self.sizes) // 9)
+        least = int(wanted[fits].min())
+        at = np.searchsorted(self.tokens, query)
+        at = at[(at < len(self.tokens)) & (self.tokens[np.minimum(at, len(self.tokens) - 1)] == query)]
+        lengths = self.ends[at] - self.starts[at]
+        at = at[lengths > (own >= 0)]  # a list with nothing but the query itself can not help
+        if len(at) < least:
+            return []
+        at = at[np.argsort(self.ends[at] - self.starts[at], kind="stable")]
+        longest = int(self.ends[at[-1]] - self.starts[at[-1]])
+        apart = min(least - 1, int(least / (0.01 * np.log2(longest + 1) + 1)), len(at) - 1)
+        short, long = at[: len(at) - apart], at[len(at) - apart :]
+        lists = [self.owner[self.starts[x] : self.ends[x]].tolist() for x in short]
+        found = merge_skip(lists, least - apart)
+        found = {c: k for c, k in found.items() if fits[c]}
+        if not found:
+            return []
+        members = np.fromiter(found, np.int64, len(found))
+        counts = np.fromiter(found.values(), np.int64, len(found))
+        if len(long):
+            # Binary probes into the long lists, all at once: their entries as sorted keys (list, member).
+            sizes = self.ends[long] - self.starts[long]
+            which = np.repeat(np.arange(len(long)), sizes)
+            inside = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + self.starts[long][which]
+            m = len(self.sizes)
+            keys = which * m + self.owner[inside]
+            for i in range(0, len(members), 1024):
+                probe = (np.arange(len(long)) * m)[None, :] + members[i : i + 1024, None]
+                k = np.searchsorted(keys, probe)
+                counts[i : i + 1024] += ((k < len(keys)) & (keys[np.minimum(k, len(keys) - 1)] == probe)).sum(1)
+        return np.sort(members[counts >= wanted[members]]).tolist()
+
+
+def merge_skip(lists: list[list[int]], bar: int) -> dict[int, int]:
+    """Heap merge of sorted lists: members found in at least `bar` of them, with their counts; stretches of members that
+    can not reach the bar are skipped."""
+    found: dict[int, int] = {}
+    heap = [(x[0], i) for i, x in enumerate(lists)]
     heapq.heapify(heap)
-    place = [0] * len(short)
-    while heap:
-        top = heap[0][0]
-        popped = []
+    place = [0] * len(lists)
+    while len(heap) >= bar:
+        top, popped = heap[0][0], []
         while heap and heap[0][0] == top:
             popped.append(heapq.heappop(heap)[1])
         if len(popped) >= bar:
-            count = len(popped)
-            for x in long:
-                k = bisect_left(x, top)
-                count += k < len(x) and x[k] == top
-            if count >= wanted[top]:
-                found.append(top)
+            found[top] = len(popped)
             goal = top + 1
         else:
-            while heap and len(popped) < bar - 1:  # none before the next heap top can reach the bar
+            while heap and len(popped) < bar - 1:
                 popped.append(heapq.heappop(heap)[1])
-            goal = max(heap[0][0], top + 1) if heap else None
-            if goal is None:
-                if len(popped) < bar:
-                    break
-                goal = top + 1
+            if not heap:
+                break
+            goal = max(heap[0][0], top + 1)
         for i in popped:
-            x = short[i]
+            x = lists[i]
             k = place[i] = bisect_left(x, goal, place[i])
             if k < len(x):
                 heapq.heappush(heap, (x[k], i))
-    return sorted(found)
+    return found
+
+
+def divide_skip(query: np.ndarray, sets: list[np.ndarray]) -> list[int]:
+    return Index(sets).similar(query)
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. sets: node, tokens (packed sorted set)."""
+def star_tasks(pairs: DataFrame) -> DataFrame:
+    """key, node, mark of the searches that verify pairs (a, b): a asks (mark 0) among at most about PER_TASK b."""
     sizes = pairs.groupBy("a").agg(F.count("*").alias("m"))
-    spread = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / PER_TASK)).alias("task"))
-    spread = materialise(spread)
-    candidates = spread.join(sets.select(F.col("node").alias("b"), "tokens"), "b").select("a", "task", "b", "tokens")
-    pivots = spread.select("a", "task").distinct().join(sets.select(F.col("node").alias("a"), "tokens"), "a")
-    rows = candidates.unionByName(pivots.withColumn("b", F.lit(None).cast("long")))
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        whole = pdf["b"].isna().to_numpy()
-        if not whole.any() or whole.all():
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        unpack = lambda x: np.frombuffer(x, np.uint64)
-        rest = pdf[~whole]
-        ok = divide_skip(unpack(pdf["tokens"][whole].iloc[0]), [unpack(x) for x in rest["tokens"]])
-        b = rest["b"].iloc[ok].to_numpy().astype("int64")
-        return pd.DataFrame({"a": np.full(len(b), pdf["a"].iloc[0]), "b": b}, dtype="int64")
-
-    return rows.groupBy("a", "task").applyInPandas(search, "a long, b long")
+    spread = pairs.join(sizes, "a").select(
+        F.xxhash64("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / PER_TASK))).alias("key"), "a", "b"
+    )
+    asks = spread.select("key", F.col("a").alias("node"), F.lit(0).cast("long").alias("mark")).distinct()
+    return asks.union(spread.select("key", F.col("b").alias("node"), F.lit(1).cast("long").alias("mark")))
+
+
+def open_tasks(lists: DataFrame, status: DataFrame, later_only: bool) -> DataFrame:
+    """key, node, mark of the searches that decide what the first round has left open in the longer lists.
+
+    status: node, mark. later_only False: marks are component labels, and lists within one component are closed. True: a
+    set with mark 1 has its earlier partner, and lists without others are closed. Lists with the same first set share a
+    task; more than PER_TASK members are dealt into blocks, one task for each two blocks."""
+    members = lists.select("list", F.col("nodes")[0].alias("home"), F.explode("nodes").alias("node"))
+    marked = members.join(status, "node", "left").withColumn("mark", F.coalesce("mark", F.lit(0) if later_only else F.col("node")))
+    spread = marked.groupBy("list").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi"), F.min(F.when(F.col("node") > F.col("home"), F.col("mark"))).alias("rest"))
+    open_lists = spread.filter("rest = 0" if later_only else "lo <> hi").select("list")
+    rows = marked.join(open_lists, "list").select("home", "node", "mark").distinct()
+    sizes = rows.groupBy("home").agg(F.ceil(F.count("*") / PER_TASK).alias("blocks"))
+    dealt = rows.join(sizes, "home").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    both = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(F.least("block", x).alias("i"), F.greatest("block", x).alias("j")))
+    return dealt.withColumn("t", F.explode(both)).select(F.xxhash64("home", "t.i", "t.j").alias("key"), "node", "mark")
+
+
+def search(tasks: DataFrame, sets: DataFrame, by_component: bool) -> DataFrame:
+    """Similar pairs (a < b) found by the tasks. Who asks: marks of 0, or all that are not of a task's largest component.
+    sets: node, tokens (packed sorted set)."""
+    spark = tasks.sparkSession
+    tasks = materialise(tasks)
+    bundles = max(4 * partitions(spark), int(tasks.count() // PER_TASK) + 1)
+    rows = tasks.join(sets, "node").select(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(bundles).cast("long")).alias("bundle"), "key", "node", "mark", "tokens")
+
+    def run(table: pa.Table) -> pa.Table:
+        key, node, mark = (table.column(c).to_numpy() for c in ("key", "node", "mark"))
+        tokens = table.column("tokens")
+        by = np.lexsort((node, key))
+        cuts = np.flatnonzero(np.diff(key[by])) + 1
+        a, b = [], []
+        for mine in np.split(by, cuts):
+            if len(mine) < 2:
+                continue
+            if by_component:
+                kinds, number = np.unique(mark[mine], return_counts=True)
+                asks = np.flatnonzero(mark[mine] != kinds[np.argmax(number)])
+            else:
+                asks = np.flatnonzero(mark[mine] == 0)
+            if not len(asks):
+                continue
+            members = [np.frombuffer(tokens[int(i)].as_py(), np.uint64) for i in mine]
+            index = Index(members)
+            for i in asks:
+                for j in index.similar(members[i], own=int(i)):
+                    x, y = int(node[mine[i]]), int(node[mine[j]])
+                    a.append(min(x, y))
+                    b.append(max(x, y))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("bundle").applyInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
