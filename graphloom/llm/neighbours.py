@@ -7,7 +7,7 @@ gets its leaf in each tree. A query walks all trees through one shared priority
 many leaves. Leaves meet their queries in blocks of at most about CELL_ROWS vectors, exact inner products in double
 precision rerank the candidates, and the best of all leaves are merged.
 
-Equal vectors are stored once with their TOP + 1 least ids (no more can be in any answer), and equal queries searched once, so
+Vectors are numbered by their least vec_id, which breaks ties. Equal vectors are stored once with their TOP + 1 least ids (no more can be in any answer), and equal queries searched once, so
 a vector with many copies is no hot leaf. Vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part, nor do rows without vec_id; ties go to the smaller vec_id; an empty table gives an empty result; other columns
 are ignored.
@@ -136,21 +136,36 @@ def _route(forest, most: int, chunks: int):
     return run
 
 
+def _best(near: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k largest values of each row; of equal values the first ones."""
+    top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(near, top, 1).min(1)
+    for i in np.flatnonzero((near >= least[:, None]).sum(1) > k):
+        more = np.flatnonzero(near[i] > least[i])
+        top[i] = np.concatenate([more, np.flatnonzero(near[i] == least[i])[: k - len(more)]])
+    return top
+
+
 def _rerank(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+    """q, hits: the best of the cell, one row for each query. Scores are summed the same way whatever the block."""
     out_q, out_c, out_s = [], [], []
+    k = min(TOP + 1, len(vectors))
     if len(vectors) and len(queries):
+        vectors = vectors.sort_by("node")
         unpack = lambda t: np.stack([np.frombuffer(x.as_py(), np.float32) for x in t.column("v")]).astype(np.float64)
         points, asked = unpack(vectors), unpack(queries)
         nodes, qs = vectors.column("node").to_numpy(), queries.column("node").to_numpy()
-        k = min(TOP + 1, len(nodes))
-        for at in range(0, len(qs), 256):
-            near = asked[at : at + 256] @ points.T
-            top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            out_q.append(np.repeat(qs[at : at + 256], k))
+        for at in range(0, len(qs), 128):
+            block = asked[at : at + 128]
+            top = _best(block @ points.T, k)
+            out_q.append(qs[at : at + 128])
             out_c.append(nodes[top].reshape(-1))
-            out_s.append(np.take_along_axis(near, top, 1).reshape(-1))
+            out_s.append((block[:, None, :] * points[top]).sum(2).reshape(-1))
     join = lambda x, kind: pa.array(np.concatenate(x) if x else np.array([]), kind)
-    return pa.table({"q": join(out_q, pa.int64()), "node": join(out_c, pa.int64()), "score": join(out_s, pa.float64())})
+    q, c, s = join(out_q, pa.int64()), join(out_c, pa.int64()), join(out_s, pa.float64())
+    far = pa.array(-s.to_numpy(), pa.float64())
+    hits = pa.ListArray.from_arrays(pa.array(np.arange(len(q) + 1) * k, pa.int32()), pa.StructArray.from_arrays([far, c], ["far", "node"]))
+    return pa.table({"q": q, "hits": hits})
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -170,7 +185,7 @@ def nearest(rows: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
     same = Window.partitionBy("h", "v").orderBy("vec_id")
     ids = good.withColumn("r", F.row_number().over(same)).filter(F.col("r") <= TOP + 1)
     distinct = materialise(
-        ids.groupBy("h", "v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("node", F.monotonically_increasing_id())
+        ids.groupBy("h", "v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).sort("ids").withColumn("node", F.monotonically_increasing_id())
     )
     n = distinct.count()
     share = min(1.0, SAMPLE / max(n, 1))
@@ -186,10 +201,12 @@ def nearest(rows: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
     cells = "cell long, chunk long, node long, v binary"
     indexed = distinct.select("node", "v").mapInArrow(_index(forest, chunks), cells)
     routed = queries.select("node", "v").dropDuplicates(["node"]).mapInArrow(_route(forest, most, chunks), cells)
-    found = indexed.groupBy("cell", "chunk").cogroup(routed.groupBy("cell", "chunk")).applyInArrow(_rerank, "q long, node long, score double")
-    best = found.groupBy("q", "node").agg(F.max("score").alias("score"))
-    # Ties in score at the border are kept, so that the smaller vec_id can win.
-    best = best.withColumn("r", F.rank().over(Window.partitionBy("q").orderBy(F.desc("score")))).filter(F.col("r") <= TOP + 1)
+    found = indexed.groupBy("cell", "chunk").cogroup(routed.groupBy("cell", "chunk")).applyInArrow(
+        _rerank, "q long, hits array<struct<far:double,node:long>>"
+    )
+    best = found.groupBy("q").agg(F.flatten(F.collect_list("hits")).alias("hits"))
+    best = best.select("q", F.explode(F.slice(F.array_sort(F.array_distinct("hits")), 1, TOP + 1)).alias("hit"))
+    best = best.select("q", F.col("hit.node").alias("node"), (-F.col("hit.far")).alias("score"))
     spread = best.join(distinct.select("node", "ids"), "node").select("q", F.explode("ids").alias("vec_id"), "score")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     lists = materialise(spread.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= TOP + 1).select("q", "vec_id", "score"))
