@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from graphloom.llm import bpe, chat, classifier, lines, mixture, neighbours, ngrams, rules, shards
+from graphloom.llm import bpe, chat, classifier, lines, mixture, neighbours, ngrams, rules, shards, suffixes
 
 QUERIES = {
     "op1_shards": shards.op1_shards,
     "op2_chat": chat.op2_chat,
     "op3_mixture": mixture.op3_mixture,
+    "op4_suffixes": suffixes.op4_suffixes,
     "op5_neighbours": neighbours.op5_neighbours,
     "op6_bpe": bpe.op6_bpe,
     "op7_quality": classifier.op7_quality,
