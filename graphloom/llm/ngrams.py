@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import setjoin
-from graphloom.llm.common import materialise, text_of
+from graphloom.llm.common import discard, materialise, text_of
 
 WORDS = 5
 #: Odd multiplier of the polynomial over word hashes (fixed, so that all executors agree).
@@ -66,24 +66,30 @@ def _prefixes(order):
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        nodes, sets = [], []
-        for node, sig, text in zip(batch.column("node"), batch.column("sig"), batch.column("text"), strict=True):
+        keys, nodes, marks, sets = [], [], [], []
+        for wanted, text in zip(batch.column("wanted").to_pylist(), batch.column("text"), strict=True):
             tokens = shingles(text.as_py())
-            if len(tokens) and setjoin.signature(tokens) == sig.as_py():
-                nodes.append(node.as_py())
-                sets.append(tokens.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "tokens"])
-
-
-def sets_of(docs: DataFrame, classes: DataFrame, tasks: DataFrame) -> DataFrame:
-    """node, tokens of the sets that occur in tasks, recomputed from one document of each class."""
-    nodes = tasks.select("node").distinct()
-    wanted = materialise(classes.join(nodes, "node").select("node", "sig", F.col("rep").alias("w_id")))
+            name, packed = setjoin.signature(tokens), tokens.tobytes()
+            for w in wanted:
+                if w["sig"] == name:
+                    keys.append(w["key"])
+                    nodes.append(w["node"])
+                    marks.append(w["mark"])
+                    sets.append(packed)
+        longs = [pa.array(x, pa.int64()) for x in (keys, nodes, marks)]
+        yield pa.RecordBatch.from_arrays([*longs, pa.array(sets, pa.binary())], ["key", "node", "mark", "tokens"])
+
+
+def ship(docs: DataFrame, classes: DataFrame, tasks: DataFrame) -> DataFrame:
+    """The tasks with their members' sets, recomputed from one document of each class."""
+    wanted = materialise(
+        tasks.join(classes, "node").groupBy(F.col("rep").alias("w_id")).agg(F.collect_list(F.struct("key", "node", "mark", "sig")).alias("wanted"))
+    )
     few = wanted.count() <= setjoin.BROADCAST_KEYS
-    found = docs.join(F.broadcast(wanted) if few else wanted, docs["doc_id"].eqNullSafe(wanted["w_id"])).select("node", "sig", "text")
-    return materialise(found.mapInArrow(_sets, "node long, tokens binary").dropDuplicates(["node"]))
+    found = docs.join(F.broadcast(wanted) if few else wanted, docs["doc_id"].eqNullSafe(wanted["w_id"])).select("wanted", "text")
+    return found.mapInArrow(_ship, "key long, node long, mark long, tokens binary")
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
@@ -95,20 +101,23 @@ def similar_components(docs: DataFrame) -> DataFrame:
         rows.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
         .withColumn("node", F.monotonically_increasing_id())
     )
+    narrow = materialise(rows.select("doc_id", "sig", "n"))
+    discard(rows)
     found = materialise(setjoin.posting_lists(classes))
-    stars = materialise(found.filter("list is null").select("a", "b").distinct())
-    tasks = materialise(setjoin.star_tasks(stars))
-    links = materialise(setjoin.search(tasks, sets_of(base, classes, tasks), by_component=False))
+    whole, classes = classes, materialise(classes.select("sig", "node", "rep"))
+    discard(whole)
+    met = materialise(setjoin.meetings(found))
+    tasks = materialise(setjoin.star_tasks(met))
+    links = materialise(setjoin.search(ship(base, classes, tasks), setjoin.bundles_for(tasks), by_component=False))
     labels = setjoin.components(links)
-    lists = found.filter("list is not null").dropDuplicates(["list"])
-    tasks = materialise(setjoin.open_tasks(lists, labels, later_only=False))
+    tasks = materialise(setjoin.open_tasks(found, met, labels, later_only=False))
     if not tasks.isEmpty():
-        links = links.union(setjoin.search(tasks, sets_of(base, classes, tasks), by_component=True))
+        links = links.union(setjoin.search(ship(base, classes, tasks), setjoin.bundles_for(tasks), by_component=True))
         labels = setjoin.components(links)
     named = classes.select("sig", "node", "rep").join(labels, "node", "left").withColumn("mark", F.coalesce("mark", "node"))
     least = named.groupBy("mark").agg(F.min("rep").alias("component"))
     ids = materialise(named.join(least, "mark").select(F.col("sig").alias("c_sig"), "component"))
-    return rows.select("doc_id", "sig", "n").join(ids, F.col("sig") == F.col("c_sig"), "left").select(
+    return narrow.join(ids, F.col("sig") == F.col("c_sig"), "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )
 

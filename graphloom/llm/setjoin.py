@@ -2,12 +2,14 @@
 
 1. `rarity`: one pass counts all tokens in a sketch of CELLS counters (fixed size); tokens are ordered by its rounded
    logarithm, then by hash. Any fixed order is exact, a rarer-first one keeps the lists below short.
-2. Sets with n tokens that are similar to another share one of their first n - ceil(4n/5) + 1 tokens with it (prefix
-   filter). `posting_lists` brings these together by token: blocks of packed arrays, one per bucket of token hashes.
+2. Similar sets share at least c of their first n - ceil(4n/5) + c tokens (prefix filter), c = common(n).
+   `posting_lists` brings prefixes together by token: packed arrays, one block per bucket of token hashes.
 3. Star round (`star_tasks`): in each list every set is paired with the list's first set if lengths and places allow.
-4. `open_tasks`: the longer lists that the first round leaves open go on, as groups of candidates; lists that it has
-   brought into one component (or given an earlier partner each) are done. So copies of one text never expand into all
-   pairs, and no link between components is lost.
+   Pairs that meet in fewer than c lists are dropped. Exact for lists of two: if such a pair meets in longer lists too,
+   step 4 sees it, else its prefixes have too little in common.
+4. `open_tasks`: the longer lists that the first round leaves open go on, as groups of candidates, without the sets that
+   are in fewer than c lists altogether; lists that it has brought into one component (or given an earlier partner each)
+   are done. So copies of one text never expand into all pairs, and no link between components is lost.
 
 Both rounds decide by T-occurrence searches (`Index.similar`): DivideSkip over the inverted lists of a task's whole sets.
 Tokens are 64-bit hashes; a wrong count needs a collision inside one pair of sets.
@@ -32,10 +34,12 @@ CELLS_LOG2 = 20
 SLABS = 64
 #: Places in a prefix are kept in 16 bits; from here on the positional filter lets a pair pass.
 FAR = 65_535
+#: Most common tokens asked for in the prefixes, which are longer by as many less one.
+COMMON = 8
 #: Candidates that share a task with their pivot's set.
 PER_TASK = 2000
-#: Key sets up to this size are broadcast (8 MB); larger ones are joined by shuffle.
-BROADCAST_KEYS = 500_000
+#: Up to so many documents are named by broadcast (some 50 MB); more are joined by shuffle.
+BROADCAST_KEYS = 150_000
 
 
 def need(n):
@@ -43,8 +47,13 @@ def need(n):
     return (4 * n + 4) // 5
 
 
+def common(n):
+    """Tokens that the prefixes of a set of n tokens and of a similar one have in common at least."""
+    return np.clip(n // 20, 1, COMMON)
+
+
 def prefix_length(n):
-    return n - need(n) + 1
+    return int(n - need(n) + common(n))  # at least one token
 
 
 def may_be_similar(n, m):
@@ -112,8 +121,9 @@ def signature(tokens: np.ndarray) -> bytes:
 
 
 def posting_lists(classes: DataFrame, kind: type = np.uint64) -> DataFrame:
-    """classes: node (long), n (int), prefix (packed tokens of that kind). Returns packed star pairs and lists per bucket:
-    a, b (first set and candidate) with list null, or list (name of the members), nodes of a list of three or more."""
+    """classes: node (long), n (int), prefix (packed tokens of that kind). Per bucket: pairs of a list's first set and
+    another one (a, b) with the lists they met in, those of them with no third member, and the meetings asked for; and
+    the longer lists (by name of their members) with nodes, the meetings each asks for, and how often they occur."""
     spark = classes.sparkSession
     width = np.dtype(kind).itemsize
     total = classes.agg(F.sum(F.octet_length("prefix")) / width).first()[0] or 0
@@ -129,23 +139,29 @@ def posting_lists(classes: DataFrame, kind: type = np.uint64) -> DataFrame:
             places = np.concatenate([np.arange(k) for k in lengths]) if lengths else np.array([], int)
             places = np.minimum(places, FAR).astype(np.uint16)
             by = np.argsort(bucket, kind="stable")
-            bucket, tokens, nodes, ns, places = bucket[by], tokens[by], nodes[by], ns[by].astype(np.int32), places[by]
+            bucket, tokens, nodes, ns, places = bucket[by], tokens[by], nodes[by], np.minimum(ns[by], 2**31 - 1).astype(np.int32), places[by]
             cuts = np.flatnonzero(np.diff(bucket)) + 1
             starts = np.concatenate([[0], cuts]) if len(bucket) else np.array([], int)
             ends = np.concatenate([cuts, [len(bucket)]]) if len(bucket) else np.array([], int)
-            pack = lambda x: pa.array([x[s:e].tobytes() for s, e in zip(starts, ends, strict=True)], pa.binary())  # noqa: E731, B023
+            # Byte planes: the high bytes of numbers in a block are alike and compress away.
+            planes = lambda x: x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+            pack = lambda x: pa.array([planes(x[s:e]) for s, e in zip(starts, ends, strict=True)], pa.binary())  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays(
                 [pa.array(bucket[starts] if len(starts) else [], pa.int32()), pack(tokens), pack(nodes), pack(ns), pack(places)], ["bucket", "t", "d", "n", "p"]
             )
 
     blocks = classes.select("node", "n", "prefix").mapInArrow(emit, "bucket int, t binary, d binary, n binary, p binary")
-    return blocks.groupBy("bucket").applyInArrow(lambda x: _lists(x, kind), "a long, b long, list long, nodes array<long>")
+    return blocks.groupBy("bucket").applyInArrow(lambda x: _lists(x, kind), LISTS)
 
 
 def _lists(blocks: pa.Table, kind: type) -> pa.Table:
-    whole = lambda name: b"".join(x.as_py() for x in blocks.column(name))
-    t, d, n = np.frombuffer(whole("t"), kind), np.frombuffer(whole("d"), np.int64), np.frombuffer(whole("n"), np.int32)
-    p = np.frombuffer(whole("p"), np.uint16).astype(np.int64)
+
+    def whole(name: str, kind: type) -> np.ndarray:
+        width = np.dtype(kind).itemsize
+        planes = (np.frombuffer(x.as_py(), np.uint8).reshape(width, -1) for x in blocks.column(name))
+        return np.ascontiguousarray(np.concatenate([x.T for x in planes])).view(kind).reshape(-1)
+
+    t, d, n, p = whole("t", kind), whole("d", np.int64), whole("n", np.int32), whole("p", np.uint16).astype(np.int64)
     by = np.lexsort((d, t))
     t, d, n, p = t[by], d[by], n[by], p[by]
     same = t[1:] == t[:-1]
@@ -153,27 +169,44 @@ def _lists(blocks: pa.Table, kind: type) -> pa.Table:
     t, d, n, p = t[inside], d[inside], n[inside], p[inside]
     starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.array([], int)
     ends = np.concatenate([starts[1:], [len(t)]]) if len(t) else starts
-    pairs: set[tuple[int, int]] = set()
-    lists: dict[int, np.ndarray] = {}
-    for s, e in zip(starts, ends, strict=True):
-        nodes, sizes = d[s:e], n[s:e]
-        if e - s > 2:
-            name = xxhash.xxh3_64_intdigest(nodes.tobytes()) - 2**63
+    pairs: dict[tuple[int, int], list[int]] = {}
+    lists: dict[int, list] = {}
+    least = common(n)
+    fits = may_be_similar(n, np.repeat(n[starts], ends - starts)) if len(t) else np.zeros(0, bool)
+    if len(t):
+        head = np.repeat(starts, ends - starts)
+        fits &= places_allow(n, p, n[head], p[head])
+        least_pair = np.minimum(least, least[head])
+    for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+        two = e - s == 2
+        if not two:
+            name = xxhash.xxh3_64_intdigest(d[s:e].tobytes()) - 2**63
             if name in lists:
-                continue
-            lists[name] = nodes
-        fits = (may_be_similar(sizes, sizes[0]) & places_allow(sizes, p[s:e], sizes[0], p[s]))[1:]
-        first = int(nodes[0])
-        pairs.update((first, x) for x in nodes[1:][fits].tolist())
-    stars, none = sorted(pairs), [None] * len(pairs)
-    gap = [None] * len(lists)
+                lists[name][2] += 1
+            else:
+                # A partner has at least 4/5 of the tokens, so it may ask for less.
+                lists[name] = [d[s:e], common(need(n[s:e])), 1]
+        first = int(d[s])
+        for k in range(s + 1, e):
+            if fits[k]:
+                found = pairs.setdefault((first, int(d[k])), [0, 0, int(least_pair[k])])
+                found[0] += 1
+                found[1] += two
+    none, gap = [None] * len(pairs), [None] * len(lists)
+    column = lambda i, kind: pa.array([x[i] for x in pairs.values()] + gap, kind)
     return pa.table({
-        "a": pa.array([x[0] for x in stars] + gap, pa.int64()), "b": pa.array([x[1] for x in stars] + gap, pa.int64()),
+        "a": pa.array([x[0] for x in pairs] + gap, pa.int64()), "b": pa.array([x[1] for x in pairs] + gap, pa.int64()),
+        "met": column(0, pa.int32()), "alone": column(1, pa.int32()), "least": column(2, pa.int32()),
         "list": pa.array(none + list(lists), pa.int64()),
-        "nodes": pa.array(none + list(lists.values()), pa.list_(pa.int64())),
+        "nodes": pa.array(none + [x[0] for x in lists.values()], pa.list_(pa.int64())),
+        "leasts": pa.array(none + [x[1].astype(np.int32) for x in lists.values()], pa.list_(pa.int32())),
+        "times": pa.array(none + [x[2] for x in lists.values()], pa.int32()),
     })
 
 
+LISTS = "a long, b long, met int, alone int, least int, list long, nodes array<long>, leasts array<int>, times int"
+
+
 class Index:
     """Inverted lists over some sets (sorted token arrays), for T-occurrence searches."""
 
@@ -260,8 +293,15 @@ def divide_skip(query: np.ndarray, sets: list[np.ndarray]) -> list[int]:
     return Index(sets).similar(query)
 
 
-def star_tasks(pairs: DataFrame) -> DataFrame:
+def meetings(found: DataFrame) -> DataFrame:
+    """a, b, met, alone, least over all buckets."""
+    pairs = found.filter("list is null").groupBy("a", "b")
+    return pairs.agg(F.sum("met").alias("met"), F.sum("alone").alias("alone"), F.min("least").alias("least"))
+
+
+def star_tasks(met: DataFrame) -> DataFrame:
     """key, node, mark of the searches that verify pairs (a, b): a asks (mark 0) among at most about PER_TASK b."""
+    pairs = met.filter("met >= least").select("a", "b")
     sizes = pairs.groupBy("a").agg(F.count("*").alias("m"))
     spread = pairs.join(sizes, "a").select(
         F.xxhash64("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / PER_TASK))).alias("key"), "a", "b"
@@ -270,15 +310,25 @@ def star_tasks(pairs: DataFrame) -> DataFrame:
     return asks.union(spread.select("key", F.col("b").alias("node"), F.lit(1).cast("long").alias("mark")))
 
 
-def open_tasks(lists: DataFrame, status: DataFrame, later_only: bool) -> DataFrame:
+def open_tasks(found: DataFrame, met: DataFrame, status: DataFrame, later_only: bool) -> DataFrame:
     """key, node, mark of the searches that decide what the first round has left open in the longer lists.
 
     status: node, mark. later_only False: marks are component labels, and lists within one component are closed. True: a
     set with mark 1 has its earlier partner, and lists without others are closed. Lists with the same first set share a
     task; more than PER_TASK members are dealt into blocks, one task for each two blocks."""
-    members = lists.select("list", F.col("nodes")[0].alias("home"), F.explode("nodes").alias("node"))
+    lists = found.filter("list is not null")
+    every = lists.select(F.explode(F.arrays_zip("nodes", "leasts")).alias("m"), "times").select(
+        F.col("m.nodes").alias("node"), F.col("m.leasts").alias("least"), "times"
+    )
+    two = met.filter("alone > 0")
+    in_two = two.select(F.col("a").alias("node"), F.lit(COMMON).alias("least"), F.col("alone").alias("times"))
+    in_two = in_two.union(two.select("b", F.lit(COMMON), "alone"))
+    enough = every.union(in_two).groupBy("node").agg(F.sum("times").alias("t"), F.min("least").alias("l")).filter("t >= l").select("node")
+    members = lists.dropDuplicates(["list"]).select("list", F.col("nodes")[0].alias("home"), F.explode("nodes").alias("node"))
+    members = members.join(enough, "node")
     marked = members.join(status, "node", "left").withColumn("mark", F.coalesce("mark", F.lit(0) if later_only else F.col("node")))
-    spread = marked.groupBy("list").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi"), F.min(F.when(F.col("node") > F.col("home"), F.col("mark"))).alias("rest"))
+    late = F.when(F.col("node") > F.col("home"), F.col("mark"))
+    spread = marked.groupBy("list").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi"), F.min(late).alias("rest"))
     open_lists = spread.filter("rest = 0" if later_only else "lo <> hi").select("list")
     rows = marked.join(open_lists, "list").select("home", "node", "mark").distinct()
     sizes = rows.groupBy("home").agg(F.ceil(F.count("*") / PER_TASK).alias("blocks"))
@@ -287,13 +337,14 @@ def open_tasks(lists: DataFrame, status: DataFrame, later_only: bool) -> DataFra
     return dealt.withColumn("t", F.explode(both)).select(F.xxhash64("home", "t.i", "t.j").alias("key"), "node", "mark")
 
 
-def search(tasks: DataFrame, sets: DataFrame, by_component: bool) -> DataFrame:
-    """Similar pairs (a < b) found by the tasks. Who asks: marks of 0, or all that are not of a task's largest component.
-    sets: node, tokens (packed sorted set)."""
-    spark = tasks.sparkSession
-    tasks = materialise(tasks)
-    bundles = max(4 * partitions(spark), int(tasks.count() // PER_TASK) + 1)
-    rows = tasks.join(sets, "node").select(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(bundles).cast("long")).alias("bundle"), "key", "node", "mark", "tokens")
+def bundles_for(tasks: DataFrame) -> int:
+    return max(4 * partitions(tasks.sparkSession), int(tasks.count() // PER_TASK) + 1)
+
+
+def search(shipped: DataFrame, bundles: int, by_component: bool) -> DataFrame:
+    """Similar pairs (a < b) found by the tasks. shipped: key, node, mark, tokens (packed sorted set), each task's members.
+    Who asks: marks of 0, or all that are not of a task's largest component. A bundle of tasks is one group."""
+    rows = shipped.select(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(bundles).cast("long")).alias("bundle"), "key", "node", "mark", "tokens")
 
     def run(table: pa.Table) -> pa.Table:
         key, node, mark = (table.column(c).to_numpy() for c in ("key", "node", "mark"))
