@@ -160,3 +160,10 @@ OP3_SQL = f"""WITH d AS (SELECT doc_id, lang, source, {DOMAIN_SQL} AS domain, co
     c AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, ml, ms ORDER BY o RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM o)
     SELECT doc_id, domain, lang, source, n_tokens, CAST(whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS INTEGER) AS copies
     FROM c WHERE whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END > 0"""
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the documents that the mixture takes, each as often as it takes them."""
+    taken = mix(docs).select("doc_id", "text", "lang", "source", "n_chars", "copies")
+    # At most EPOCHS copies, so the repetition is bounded.
+    return taken.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).drop("copies", "copy")
