@@ -25,6 +25,19 @@ WORDS = 5
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def shingle_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of the WORDS-word windows of a sequence of at least WORDS words, in order."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    m = len(words) - WORDS + 1
+    out = h[:m].copy()
+    for k in range(1, WORDS):
+        out *= MIX
+        out += h[k : k + m]
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(32))
+
+
 def shingles(raw: bytes) -> np.ndarray:
     """Sorted distinct 64-bit shingles."""
     words = raw.lower().split()
@@ -33,16 +46,7 @@ def shingles(raw: bytes) -> np.ndarray:
         return np.empty(0, np.uint64)
     if n < WORDS:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=n)], np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
-    m = n - WORDS + 1
-    out = h[:m].copy()
-    for k in range(1, WORDS):
-        out *= MIX
-        out += h[k : k + m]
-    out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    out ^= out >> np.uint64(32)
-    return np.unique(out)
+    return np.unique(shingle_hashes(words))
 
 
 def _prefixes(order):
@@ -110,7 +114,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     tasks = materialise(setjoin.star_tasks(met))
     links = materialise(setjoin.search(ship(base, classes, tasks), setjoin.bundles_for(tasks), by_component=False))
     labels = setjoin.components(links)
-    tasks = materialise(setjoin.open_tasks(found, met, labels, later_only=False))
+    tasks = materialise(setjoin.open_tasks(found, met, labels.withColumn("head", F.col("mark")), later_only=False))
     if not tasks.isEmpty():
         links = links.union(setjoin.search(ship(base, classes, tasks), setjoin.bundles_for(tasks), by_component=True))
         labels = setjoin.components(links)

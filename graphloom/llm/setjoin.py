@@ -313,9 +313,10 @@ def star_tasks(met: DataFrame) -> DataFrame:
 def open_tasks(found: DataFrame, met: DataFrame, status: DataFrame, later_only: bool) -> DataFrame:
     """key, node, mark of the searches that decide what the first round has left open in the longer lists.
 
-    status: node, mark. later_only False: marks are component labels, and lists within one component are closed. True: a
-    set with mark 1 has its earlier partner, and lists without others are closed. Lists with the same first set share a
-    task; more than PER_TASK members are dealt into blocks, one task for each two blocks."""
+    status: node, mark, head. later_only False: marks are component labels, and lists within one component are closed.
+    True: a set with mark 1 has its earlier partner, and lists without others are closed. Lists whose first sets have the
+    same head (component, or earliest partner) share a task; more than PER_TASK members are dealt into blocks, one task
+    for each two blocks."""
     lists = found.filter("list is not null")
     every = lists.select(F.explode(F.arrays_zip("nodes", "leasts")).alias("m"), "times").select(
         F.col("m.nodes").alias("node"), F.col("m.leasts").alias("least"), "times"
@@ -324,10 +325,12 @@ def open_tasks(found: DataFrame, met: DataFrame, status: DataFrame, later_only:
     in_two = two.select(F.col("a").alias("node"), F.lit(COMMON).alias("least"), F.col("alone").alias("times"))
     in_two = in_two.union(two.select("b", F.lit(COMMON), "alone"))
     enough = every.union(in_two).groupBy("node").agg(F.sum("times").alias("t"), F.min("least").alias("l")).filter("t >= l").select("node")
-    members = lists.dropDuplicates(["list"]).select("list", F.col("nodes")[0].alias("home"), F.explode("nodes").alias("node"))
+    members = lists.dropDuplicates(["list"]).select("list", F.col("nodes")[0].alias("head_node"), F.explode("nodes").alias("node"))
     members = members.join(enough, "node")
-    marked = members.join(status, "node", "left").withColumn("mark", F.coalesce("mark", F.lit(0) if later_only else F.col("node")))
-    late = F.when(F.col("node") > F.col("home"), F.col("mark"))
+    heads = status.select(F.col("node").alias("head_node"), "head")
+    members = members.join(heads, "head_node", "left").withColumn("home", F.coalesce("head", "head_node"))
+    marked = members.join(status.select("node", "mark"), "node", "left").withColumn("mark", F.coalesce("mark", F.lit(0) if later_only else F.col("node")))
+    late = F.when(F.col("node") > F.col("head_node"), F.col("mark"))
     spread = marked.groupBy("list").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi"), F.min(late).alias("rest"))
     open_lists = spread.filter("rest = 0" if later_only else "lo <> hi").select("list")
     rows = marked.join(open_lists, "list").select("home", "node", "mark").distinct()
@@ -342,10 +345,43 @@ def bundles_for(tasks: DataFrame) -> int:
 
 
 def search(shipped: DataFrame, bundles: int, by_component: bool) -> DataFrame:
-    """Similar pairs (a < b) found by the tasks. shipped: key, node, mark, tokens (packed sorted set), each task's members.
-    Who asks: marks of 0, or all that are not of a task's largest component. A bundle of tasks is one group."""
+    """What the tasks find, as pairs (a < b). shipped: key, node, mark, tokens (packed sorted set), each task's members.
+
+    by_component: all that are not of a task's largest component ask; the task's links are given as stars of the sets that
+    they connect, so a group of copies gives one row per member. Otherwise marks of 0 ask, and every later set is given once
+    with its earliest partner in the task. A bundle of tasks is one group."""
     rows = shipped.select(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(bundles).cast("long")).alias("bundle"), "key", "node", "mark", "tokens")
 
+    def connect(index: Index, members: list[np.ndarray], mark: np.ndarray) -> list[tuple[int, int]]:
+        up = np.unique(mark, return_inverse=True)[1].tolist()  # component of each member, as far as known
+        kinds, number = np.unique(mark, return_counts=True)
+        many, out = len(kinds), []
+        owner = {}
+
+        def root(i: int) -> int:
+            while owner.get(i, i) != i:
+                i = owner[i]
+            return i
+
+        for i in np.flatnonzero(mark != kinds[np.argmax(number)]).tolist():
+            if many == 1:
+                break
+            for j in index.similar(members[i], own=i):
+                x, y = root(up[i]), root(up[j])
+                if x != y:
+                    owner[x] = y
+                    many -= 1
+                    out.append((i, j))
+        return out
+
+    def earliest(index: Index, members: list[np.ndarray], mark: np.ndarray) -> list[tuple[int, int]]:
+        best: dict[int, int] = {}
+        for i in np.flatnonzero(mark == 0).tolist():
+            for j in index.similar(members[i], own=i):
+                low, high = min(i, j), max(i, j)
+                best[high] = min(low, best.get(high, low))
+        return [(low, high) for high, low in best.items()]
+
     def run(table: pa.Table) -> pa.Table:
         key, node, mark = (table.column(c).to_numpy() for c in ("key", "node", "mark"))
         tokens = table.column("tokens")
@@ -355,20 +391,11 @@ def search(shipped: DataFrame, bundles: int, by_component: bool) -> DataFrame:
         for mine in np.split(by, cuts):
             if len(mine) < 2:
                 continue
-            if by_component:
-                kinds, number = np.unique(mark[mine], return_counts=True)
-                asks = np.flatnonzero(mark[mine] != kinds[np.argmax(number)])
-            else:
-                asks = np.flatnonzero(mark[mine] == 0)
-            if not len(asks):
-                continue
             members = [np.frombuffer(tokens[int(i)].as_py(), np.uint64) for i in mine]
-            index = Index(members)
-            for i in asks:
-                for j in index.similar(members[i], own=int(i)):
-                    x, y = int(node[mine[i]]), int(node[mine[j]])
-                    a.append(min(x, y))
-                    b.append(max(x, y))
+            for i, j in (connect if by_component else earliest)(Index(members), members, mark[mine]):
+                x, y = int(node[mine[i]]), int(node[mine[j]])
+                a.append(min(x, y))
+                b.append(max(x, y))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return rows.groupBy("bundle").applyInArrow(run, "a long, b long").filter("a <> b").distinct()
