@@ -1,4 +1,6 @@
 """All queries of the engine with their SQL twins."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from graphloom.plans import queries_graph
+
+QUERIES: dict = {**queries_graph.QUERIES}
+ORACLES: dict = {**queries_graph.ORACLES}
