@@ -1,6 +1,6 @@
 """All queries of the engine with their SQL twins."""
 
-from graphloom.plans import queries_graph
+from graphloom.plans import queries_graph, queries_text
 
-QUERIES: dict = {**queries_graph.QUERIES}
-ORACLES: dict = {**queries_graph.ORACLES}
+QUERIES: dict = {**queries_graph.QUERIES, **queries_text.QUERIES}
+ORACLES: dict = {**queries_graph.ORACLES, **queries_text.ORACLES}

@@ -89,7 +89,7 @@ def typed_calls(functions: DataFrame, classes: DataFrame, class_methods: DataFra
         .select("seq", F.lit(way).alias("way"), "pos", "x.var", "x.type")
         for way, p in ways
     ]
-    by_factory = made[2].join(factories(functions, classes).withColumnsRenamed({"name": "type", "type": "made"}), "type").select("seq", "way", "pos", "var", F.col("made").alias("type"))
+    by_factory = made[2].join(factories(functions, classes).select(F.col("type").alias("made"), F.col("name").alias("type")), "type").select("seq", "way", "pos", "var", F.col("made").alias("type"))
     types = made[0].union(made[1]).union(by_factory).groupBy("seq", "var").agg(F.max_by("type", F.struct("way", "pos")).alias("type"))
     pattern = F.lit(r"\b(\w+)\.(\w+)\s*\(")
     calls = base.select("name", "class_name", "file", "seq", F.explode(F.arrays_zip(F.regexp_extract_all("source", pattern, 1).alias("var"), F.regexp_extract_all("source", pattern, 2).alias("callee"))).alias("x"))

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from graphloom.functions import paths
 from graphloom.functions.text import bigrams, jaccard, marked_bigrams, normalised, saturating, short_tokens
@@ -127,7 +128,7 @@ class Mlp:
 def predict(rows: DataFrame, model: Mlp, into: str = "score") -> DataFrame:
     """Arrow-batched inference over the `features` array."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield pd.Series(model(np.stack(s.to_numpy()).astype(float)) if len(s) else [])

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from graphloom.functions import paths
 
@@ -151,7 +152,7 @@ def object_methods(file: str, text: str) -> list[dict]:
                 close = matching(text, i, text[i], {"{": "}", "(": ")", "[": "]"}[text[i]])
                 i = close + 1 if close > 0 else end
             else:
-                m = _METHOD.match(text, i) if text[i].isalpha() and (not text[i - 1].isalnum()) else None
+                m = _METHOD.match(text, i) if text[i].isalpha() and not (text[i - 1].isalnum() or text[i - 1] in "_$") else None
                 if m and m[1] not in RESERVED and not m[1].startswith("_"):
                     out.append({"name": m[1], "parent": head[1] or "default", "file": file, "line": text.count("\n", 0, i) + 1, "source": text[i : min(end, i + 500)]})
                     i += len(m[1])
@@ -171,7 +172,7 @@ def object_literals(tree: DataFrame) -> DataFrame:
     return tree.filter("language <> 'python'").select("path", "source").mapInPandas(run, schema)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def script_params(source: pd.Series) -> pd.Series:
     """Text between the first parenthesis outside angle brackets and its counterpart."""
 

@@ -30,7 +30,9 @@ def debounced(changes: DataFrame, gap: str = GAP, keys: list[str] | None = None)
     """One row per burst: its first and last event and the number of them. Works on streams and batches alike; a stream
     needs a watermark (with_watermark) and append mode."""
     window = F.session_window("ts", gap)
-    return changes.groupBy(window.alias("w"), *(keys or [])).agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).drop("w")
+    # Streams take session windows only beside a key; without keys there is one feed.
+    rows = changes.withColumn("_feed", F.lit(1)).groupBy(window.alias("w"), "_feed", *(keys or []))
+    return rows.agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).drop("w", "_feed")
 
 
 def with_watermark(changes: DataFrame, late: str = LATE) -> DataFrame:
