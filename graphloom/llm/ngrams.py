@@ -39,14 +39,19 @@ def shingle_hashes(words: list[bytes]) -> np.ndarray:
 
 
 def shingles(raw: bytes) -> np.ndarray:
-    """Sorted distinct 64-bit shingles."""
+    """64-bit hashes of a text's shingles, in order and with repeats."""
     words = raw.lower().split()
     n = len(words)
     if not n:
         return np.empty(0, np.uint64)
     if n < WORDS:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=n)], np.uint64)
-    return np.unique(shingle_hashes(words))
+    return shingle_hashes(words)
+
+
+def token_set(raw: bytes, rank: np.ndarray) -> np.ndarray:
+    """The distinct shingles as tokens, the rarest first."""
+    return np.unique(setjoin.ranked(shingles(raw), rank))
 
 
 def _prefixes(order):
@@ -55,13 +60,11 @@ def _prefixes(order):
         for batch in batches:
             sigs, ns, prefixes = [], [], []
             for text in batch.column("text"):
-                tokens = shingles(text.as_py())
+                tokens = token_set(text.as_py(), rank)
                 n = len(tokens)
-                k = setjoin.prefix_length(n) if n else 0
-                first = np.lexsort((tokens, setjoin.classes_of(tokens, rank)))[:k]
                 sigs.append(setjoin.signature(tokens) if n else None)
                 ns.append(n)
-                prefixes.append(tokens[first].tobytes())
+                prefixes.append(tokens[: setjoin.prefix_length(n)].tobytes() if n else b"")
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sigs, pa.binary()), pa.array(ns, pa.int32()), pa.array(prefixes, pa.binary())],
                 ["doc_id", "sig", "n", "prefix"],
@@ -70,30 +73,33 @@ def _prefixes(order):
     return run
 
 
-def _ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys, nodes, marks, sets = [], [], [], []
-        for wanted, text in zip(batch.column("wanted").to_pylist(), batch.column("text"), strict=True):
-            tokens = shingles(text.as_py())
-            name, packed = setjoin.signature(tokens), tokens.tobytes()
-            for w in wanted:
-                if w["sig"] == name:
-                    keys.append(w["key"])
-                    nodes.append(w["node"])
-                    marks.append(w["mark"])
-                    sets.append(packed)
-        longs = [pa.array(x, pa.int64()) for x in (keys, nodes, marks)]
-        yield pa.RecordBatch.from_arrays([*longs, pa.array(sets, pa.binary())], ["key", "node", "mark", "tokens"])
+def _ship(order):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, nodes, marks, sets = [], [], [], []
+            for wanted, text in zip(batch.column("wanted").to_pylist(), batch.column("text"), strict=True):
+                tokens = token_set(text.as_py(), order.value)
+                name, packed = setjoin.signature(tokens), tokens.tobytes()
+                for w in wanted:
+                    if w["sig"] == name:
+                        keys.append(w["key"])
+                        nodes.append(w["node"])
+                        marks.append(w["mark"])
+                        sets.append(packed)
+            longs = [pa.array(x, pa.int64()) for x in (keys, nodes, marks)]
+            yield pa.RecordBatch.from_arrays([*longs, pa.array(sets, pa.binary())], ["key", "node", "mark", "tokens"])
+
+    return run
 
 
-def ship(docs: DataFrame, classes: DataFrame, tasks: DataFrame) -> DataFrame:
+def ship(docs: DataFrame, classes: DataFrame, tasks: DataFrame, order) -> DataFrame:
     """The tasks with their members' sets, recomputed from one document of each class."""
     wanted = materialise(
         tasks.join(classes, "node").groupBy(F.col("rep").alias("w_id")).agg(F.collect_list(F.struct("key", "node", "mark", "sig")).alias("wanted"))
     )
     few = wanted.count() <= setjoin.BROADCAST_KEYS
     found = docs.join(F.broadcast(wanted) if few else wanted, docs["doc_id"].eqNullSafe(wanted["w_id"])).select("wanted", "text")
-    return found.mapInArrow(_ship, "key long, node long, mark long, tokens binary")
+    return found.mapInArrow(_ship(order), "key long, node long, mark long, tokens binary")
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
@@ -112,11 +118,11 @@ def similar_components(docs: DataFrame) -> DataFrame:
     discard(whole)
     met = materialise(setjoin.meetings(found))
     tasks = materialise(setjoin.star_tasks(met))
-    links = materialise(setjoin.search(ship(base, classes, tasks), setjoin.bundles_for(tasks), by_component=False))
+    links = materialise(setjoin.search(ship(base, classes, tasks, order), setjoin.bundles_for(tasks), by_component=False))
     labels = setjoin.components(links)
     tasks = materialise(setjoin.open_tasks(found, met, labels.withColumn("head", F.col("mark")), later_only=False))
     if not tasks.isEmpty():
-        links = links.union(setjoin.search(ship(base, classes, tasks), setjoin.bundles_for(tasks), by_component=True))
+        links = links.union(setjoin.search(ship(base, classes, tasks, order), setjoin.bundles_for(tasks), by_component=True))
         labels = setjoin.components(links)
     named = classes.select("sig", "node", "rep").join(labels, "node", "left").withColumn("mark", F.coalesce("mark", "node"))
     least = named.groupBy("mark").agg(F.min("rep").alias("component"))

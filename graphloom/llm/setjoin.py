@@ -1,7 +1,8 @@
 """Exact self-join of token sets at Jaccard >= 4/5, shared by the n-gram join and the line dedup.
 
-1. `rarity`: one pass counts all tokens in a sketch of CELLS counters (fixed size); tokens are ordered by its rounded
-   logarithm, then by hash. Any fixed order is exact, a rarer-first one keeps the lists below short.
+1. `rarity`: one pass counts all tokens in a sketch of CELLS counters (fixed size); a token is the rounded logarithm of
+   its count followed by its hash (`ranked`), so sorted sets are in rarity order and their prefixes come first. Any fixed
+   order is exact, a rarer-first one keeps the lists below short.
 2. Similar sets share at least c of their first n - ceil(4n/5) + c tokens (prefix filter), c = common(n).
    `posting_lists` brings prefixes together by token: packed arrays, one block per bucket of token hashes.
 3. Star round (`star_tasks`): in each list every set is paired with the list's first set if lengths and places allow.
@@ -12,7 +13,7 @@
    are done. So copies of one text never expand into all pairs, and no link between components is lost.
 
 Both rounds decide by T-occurrence searches (`Index.similar`): DivideSkip over the inverted lists of a task's whole sets.
-Tokens are 64-bit hashes; a wrong count needs a collision inside one pair of sets.
+Tokens hold 56 bits of hash; a wrong count needs a collision inside one pair of sets.
 """
 
 from __future__ import annotations
@@ -111,8 +112,10 @@ def rarity(docs: DataFrame, tokens_of):
     return spark.sparkContext.broadcast(order.reshape(-1))
 
 
-def classes_of(tokens: np.ndarray, order: np.ndarray) -> np.ndarray:
-    return order[tokens >> np.uint64(64 - CELLS_LOG2)]
+def ranked(hashes: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Tokens whose natural order is the rarity order: the class of the count in the first byte, 56 bits of hash behind."""
+    classes = order[hashes >> np.uint64(64 - CELLS_LOG2)].astype(np.uint64)
+    return (classes << np.uint64(56)) | (hashes >> np.uint64(8))
 
 
 def signature(tokens: np.ndarray) -> bytes:
