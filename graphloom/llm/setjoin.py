@@ -35,8 +35,9 @@ CELLS_LOG2 = 20
 SLABS = 64
 #: Places in a prefix are kept in 16 bits; from here on the positional filter lets a pair pass.
 FAR = 65_535
-#: Most common tokens asked for in the prefixes, which are longer by as many less one.
-COMMON = 8
+#: Short lists with more entries than this are merged by counting in an array, and long lists that hold fewer entries than
+#: there would be probes are read through; both give what heap and probes give, without a Python step per entry.
+HEAP_ENTRIES = 2000
 #: Candidates that share a task with their pivot's set.
 PER_TASK = 2000
 #: Up to so many documents are named by broadcast (some 50 MB); more are joined by shuffle.
@@ -50,11 +51,11 @@ def need(n):
 
 def common(n):
     """Tokens that the prefixes of a set of n tokens and of a similar one have in common at least."""
-    return np.clip(n // 20, 1, COMMON)
+    return np.maximum(n // 10, 1)
 
 
-def prefix_length(n):
-    return int(n - need(n) + common(n))  # at least one token
+def prefix_length(n: int) -> int:
+    return n - need(n) + max(n // 10, 1)
 
 
 def may_be_similar(n, m):
@@ -223,6 +224,12 @@ class Index:
         self.tokens = tokens[self.starts]
         self.ends = np.concatenate([self.starts[1:], [len(tokens)]])
 
+    def _entries(self, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The members of some lists one after the other, and the number of the list of each."""
+        sizes = self.ends[lists] - self.starts[lists]
+        which = np.repeat(np.arange(len(lists)), sizes)
+        return self.owner[np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + self.starts[lists][which]], which
+
     def similar(self, query: np.ndarray, own: int = -1) -> list[int]:
         """Members whose Jaccard similarity with the query is at least 4/5, by DivideSkip; own: the query's own number."""
         n = len(query)
@@ -243,24 +250,30 @@ class Index:
         longest = int(self.ends[at[-1]] - self.starts[at[-1]])
         apart = min(least - 1, int(least / (0.01 * np.log2(longest + 1) + 1)), len(at) - 1)
         short, long = at[: len(at) - apart], at[len(at) - apart :]
-        lists = [self.owner[self.starts[x] : self.ends[x]].tolist() for x in short]
-        found = merge_skip(lists, least - apart)
-        found = {c: k for c, k in found.items() if fits[c]}
-        if not found:
+        bar = least - apart
+        entries, _ = self._entries(short)
+        if len(entries) <= HEAP_ENTRIES:
+            found = merge_skip([self.owner[self.starts[x] : self.ends[x]].tolist() for x in short], bar)
+            members, counts = np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
+        else:
+            seen = np.bincount(entries, minlength=len(self.sizes))
+            members = np.flatnonzero(seen >= bar)
+            counts = seen[members]
+        kept = fits[members]
+        members, counts = members[kept], counts[kept]
+        if not len(members):
             return []
-        members = np.fromiter(found, np.int64, len(found))
-        counts = np.fromiter(found.values(), np.int64, len(found))
         if len(long):
-            # Binary probes into the long lists, all at once: their entries as sorted keys (list, member).
-            sizes = self.ends[long] - self.starts[long]
-            which = np.repeat(np.arange(len(long)), sizes)
-            inside = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + self.starts[long][which]
+            entries, which = self._entries(long)
             m = len(self.sizes)
-            keys = which * m + self.owner[inside]
-            for i in range(0, len(members), 1024):
-                probe = (np.arange(len(long)) * m)[None, :] + members[i : i + 1024, None]
+            if len(members) * len(long) > len(entries):
+                counts = counts + np.bincount(entries, minlength=m)[members]
+            else:
+                # Binary probes into the long lists, all at once: their entries as sorted keys (list, member).
+                keys = which * m + entries
+                probe = (np.arange(len(long)) * m)[None, :] + members[:, None]
                 k = np.searchsorted(keys, probe)
-                counts[i : i + 1024] += ((k < len(keys)) & (keys[np.minimum(k, len(keys) - 1)] == probe)).sum(1)
+                counts = counts + ((k < len(keys)) & (keys[np.minimum(k, len(keys) - 1)] == probe)).sum(1)
         return np.sort(members[counts >= wanted[members]]).tolist()
 
 
@@ -325,8 +338,8 @@ def open_tasks(found: DataFrame, met: DataFrame, status: DataFrame, later_only:
         F.col("m.nodes").alias("node"), F.col("m.leasts").alias("least"), "times"
     )
     two = met.filter("alone > 0")
-    in_two = two.select(F.col("a").alias("node"), F.lit(COMMON).alias("least"), F.col("alone").alias("times"))
-    in_two = in_two.union(two.select("b", F.lit(COMMON), "alone"))
+    in_two = two.select(F.col("a").alias("node"), F.lit(2**31 - 1).alias("least"), F.col("alone").alias("times"))
+    in_two = in_two.union(two.select("b", F.lit(2**31 - 1), "alone"))
     enough = every.union(in_two).groupBy("node").agg(F.sum("times").alias("t"), F.min("least").alias("l")).filter("t >= l").select("node")
     members = lists.dropDuplicates(["list"]).select("list", F.col("nodes")[0].alias("head_node"), F.explode("nodes").alias("node"))
     members = members.join(enough, "node")
@@ -366,9 +379,13 @@ def search(shipped: DataFrame, bundles: int, by_component: bool) -> DataFrame:
                 i = owner[i]
             return i
 
-        for i in np.flatnonzero(mark != kinds[np.argmax(number)]).tolist():
+        largest = int(np.argmax(number))
+        for i in np.flatnonzero(mark != kinds[largest]).tolist():
             if many == 1:
                 break
+            # Whoever has come to the largest component need not ask: a set outside it that is similar asks itself.
+            if root(up[i]) == root(largest):
+                continue
             for j in index.similar(members[i], own=i):
                 x, y = root(up[i]), root(up[j])
                 if x != y:
