@@ -19,14 +19,17 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from graphloom.llm.common import text_of
+from graphloom.llm.common import pieces, text_of
 
 CACHE = 200_000
 LONGEST = 64
+#: Texts are encoded in pieces of this size, which bounds the lists of ids beside them.
+PIECE_BYTES = 2**21
 _WS = "\t-\r \x85\xa0  -     　"
 
 
@@ -122,7 +125,7 @@ class Bpe:
         return out
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for p in self.parts(text) for i in p[0].split()]
+        return np.fromstring(" ".join([p[0] for p in self.parts(text)]), np.int32, sep=" ").tolist()
 
     def decode(self, ids: list[int]) -> str:
         return " ".join([self.strings[i] for i in ids])
@@ -134,10 +137,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _per_text(path: str | None, make: Callable, names: list[str], kinds: list[pa.DataType], column: str):
+def _per_text(path: str | None, make: Callable, names: list[str], kinds: list[pa.DataType], column: str, text: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe(path or tokenizer_path())
-        for batch in batches:
+        split = pieces if text else lambda whole, *_: (whole.slice(i, 500) for i in range(0, whole.num_rows, 500))
+        for batch in (part for whole in batches for part in split(whole, column, PIECE_BYTES)):
             at = batch.schema.get_field_index(column)
             made = [make(bpe, x.as_py()) for x in batch.column(at)]
             kept = [i for i in range(batch.num_columns) if i != at]
@@ -161,7 +165,7 @@ def encode(docs: DataFrame, path: str | None = None, into: str = "ids") -> DataF
 def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """rows without ids, plus the decoded text; null ids decode to an empty text."""
     base = rows.drop(ids, into)
-    run = _per_text(path, lambda b, x: (b.decode(x or []),), [into], [pa.string()], "__ids")
+    run = _per_text(path, lambda b, x: (b.decode(x or []),), [into], [pa.string()], "__ids", text=False)
     return rows.drop(into).withColumnRenamed(ids, "__ids").mapInArrow(run, _schema(base, f"`{into}` string"))
 
 

@@ -53,3 +53,17 @@ def text_of(col: str = "text") -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def pieces(batch, column: str, most: int):
+    """Slices of an Arrow batch whose values in a string or binary column take about `most` bytes; one row at least each."""
+    import numpy as np
+
+    values = batch.column(batch.schema.get_field_index(column))
+    if not len(values):
+        return
+    lengths = np.array([0 if not v.is_valid else len(v.as_buffer()) for v in values], np.int64)
+    part = np.cumsum(lengths) // most
+    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    for s, e in zip(starts, [*starts[1:], len(values)], strict=True):
+        yield batch.slice(int(s), int(e - s))

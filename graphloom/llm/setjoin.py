@@ -29,12 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialise, partitions
+from graphloom.llm.common import materialise, partitions, pieces
 
 CELLS_LOG2 = 20
 SLABS = 64
 #: Places in a prefix are kept in 16 bits; from here on the positional filter lets a pair pass.
 FAR = 65_535
+#: Prefixes are dealt out in pieces of this size, which bounds the arrays beside them.
+PIECE_BYTES = 2**22
 #: Short lists with more entries than this are merged by counting in an array, and long lists that hold fewer entries than
 #: there would be probes are read through; both give what heap and probes give, without a Python step per entry.
 HEAP_ENTRIES = 2000
@@ -76,8 +78,8 @@ def count_cells(tokens_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(2**CELLS_LOG2, np.int64)
         for batch in batches:
-            found = [tokens_of(text.as_py()) for text in batch.column("text")]
-            if found:
+            for part in pieces(batch, "text", 2 * PIECE_BYTES):
+                found = [tokens_of(text.as_py()) for text in part.column("text")]
                 cells = (np.concatenate(found) >> np.uint64(64 - CELLS_LOG2)).astype(np.int64)
                 counts += np.bincount(cells, minlength=len(counts))
         slabs = np.minimum(counts, 2**32 - 1).astype(np.uint32).reshape(SLABS, -1)
@@ -134,7 +136,7 @@ def posting_lists(classes: DataFrame, kind: type = np.uint64) -> DataFrame:
     buckets = max(2 * partitions(spark), int(total // 1_000_000) + 1)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, "prefix", PIECE_BYTES)):
             lengths = [len(x.as_py()) // width for x in batch.column("prefix")]
             tokens = np.frombuffer(b"".join(x.as_py() for x in batch.column("prefix")), kind)
             nodes = np.repeat(batch.column("node").to_numpy(), lengths)
