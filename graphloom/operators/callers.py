@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -64,14 +66,25 @@ def receiver_token(receivers) -> F.Column:
     return F.substring_index(F.get(ranked, F.lit(0))["r"], ".", 1)
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """Checkpoint in the folder that the session names (a temporary one where it names none, as in tests)."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
+    return df.checkpoint()
+
+
 def reach(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """Frontier search over (src, dst): node and its least depth from each root, up to depth. Visited nodes are never
-    expanded again, so the work per round is the frontier's edges."""
+    expanded again, so the work per round is the frontier's edges. Each round is checkpointed: its plan stays small."""
+    edges = _cut(edges)
     seen = roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"))
     front = seen
     for k in range(1, depth + 1):
         step = front.join(edges, front["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
-        front = step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(k))
+        front = _cut(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(k)))
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 

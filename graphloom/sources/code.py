@@ -24,12 +24,44 @@ RESERVED = {"if", "for", "while", "switch", "catch", "function"}
 
 def files(spark: SparkSession, root: str) -> DataFrame:
     """path, language, source of the tree's source files outside ignored directories, by any file system Spark reads."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{py,pyi,ts,tsx,js,jsx}").load(root)
-    rows = raw.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("content").cast("string").alias("source"))
+    rows = _seen(spark, root).unionByName(_unseen(spark, root))
     hidden = F.exists(paths.parts("path"), lambda p: p.startswith(".") & (F.length(p) > 1))
     return rows.withColumn("language", paths.language("path")).filter("language is not null").filter(~paths.is_ignored("path") & ~hidden)
 
 
+def _seen(spark: SparkSession, root: str) -> DataFrame:
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{py,pyi,ts,tsx,js,jsx}").load(root)
+    return raw.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("content").cast("string").alias("source"))
+
+
+def _unseen(spark: SparkSession, root: str) -> DataFrame:
+    """Files whose names begin with an underscore, which Spark's readers pass over (`__init__.py`). Only their names are
+    listed here; executors read them."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(root)
+    listing = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(where, True)
+    found = []
+    while listing.hasNext():
+        path = listing.next().getPath()
+        name = path.getName()
+        if name.startswith("_") and name.rpartition(".")[2] in paths.LANGUAGES:
+            found.append((path.toString(),))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for pdf in batches:
+            texts = []
+            for path in pdf["path"]:
+                system, inner = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+                with system.open_input_stream(inner) as f:
+                    texts.append(f.read().decode("utf-8", "replace"))
+            yield pd.DataFrame({"path": [re.sub("^file:/*", "/", p) for p in pdf["path"]], "source": texts})
+
+    listed = spark.createDataFrame(found, "path string")
+    return listed.mapInPandas(read, "path string, source string")
+
+
 def languages(tree: DataFrame, least: int = 2) -> DataFrame:
     """Languages with two or more files; JavaScript counts as TypeScript."""
     name = F.when(F.col("language") == "javascript", "typescript").otherwise(F.col("language"))
