@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import setjoin
-from graphloom.llm.common import discard, materialise, text_of
+from graphloom.llm.common import discard, materialise, pieces, text_of
 
 WORDS = 5
 #: Odd multiplier of the polynomial over word hashes (fixed, so that all executors agree).
@@ -57,7 +57,7 @@ def token_set(raw: bytes, rank: np.ndarray) -> np.ndarray:
 def _prefixes(order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = order.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, "text", 4 * setjoin.PIECE_BYTES)):
             sigs, ns, prefixes = [], [], []
             for text in batch.column("text"):
                 tokens = token_set(text.as_py(), rank)
@@ -75,7 +75,7 @@ def _prefixes(order):
 
 def _ship(order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, "text", setjoin.PIECE_BYTES)):
             keys, nodes, marks, sets = [], [], [], []
             for wanted, text in zip(batch.column("wanted").to_pylist(), batch.column("text"), strict=True):
                 tokens = token_set(text.as_py(), order.value)
