@@ -2,7 +2,7 @@
 
 Features of a text: hashed byte trigrams (log counts times inverse document frequency) and indicator bins of its form
 (capitals, digits, symbols, repeated words, word and line lengths). A singular value decomposition of the labelled
-sample's feature matrix gives the latent space; the labelled vectors (at most MAX_LABELLED x DIM floats, 1 MB) are
+sample's feature matrix gives the latent space; the labelled vectors (at most MAX_LABELLED x DIM doubles, 2 MB) are
 broadcast, every document's exact cosine products with all of them are computed in blocks, and its NEIGHBOURS nearest
 labels vote with weight similarity ** POWER.
 
@@ -93,12 +93,13 @@ class Model:
         out = np.empty(len(texts))
         k = min(NEIGHBOURS, len(self.labels))
         for at in range(0, len(texts), BLOCK):
-            block = unit(matrix(texts[at : at + BLOCK], self.idf) @ self.basis)
-            near = block @ self.vectors.T
+            block = unit(matrix(texts[at : at + BLOCK], self.idf).astype(np.float64) @ self.basis)
+            # Rounded, so that equal texts get equal scores whatever block they are in.
+            near = np.round(block @ self.vectors.T, 9)
             top = np.argpartition(-near, k - 1, axis=1)[:, :k]
             weight = np.maximum(np.take_along_axis(near, top, 1), 1e-3) ** POWER
             out[at : at + BLOCK] = (weight * self.labels[top]).sum(1) / weight.sum(1)
-        return np.clip(out, 0.0, 1.0)
+        return np.clip(np.round(out, 9), 0.0, 1.0)
 
 
 def _raw_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,8 +130,8 @@ def fit(labelled: DataFrame) -> Model:
     x[:, :GRAMS] = grams / np.maximum(np.linalg.norm(grams, axis=1, keepdims=True), 1e-9)
     x[:, GRAMS:] = FORM_WEIGHT * raw[:, GRAMS:]
     values, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
-    basis = np.ascontiguousarray(vectors[:, ::-1][:, :DIM]).astype(np.float32)
-    return Model(idf, basis, unit(x @ basis), got["quality"].to_numpy(np.float64))
+    basis = np.ascontiguousarray(vectors[:, ::-1][:, :DIM])
+    return Model(idf, basis, unit(x.astype(np.float64) @ basis), got["quality"].to_numpy(np.float64))
 
 
 def _scorer(model: Model):
