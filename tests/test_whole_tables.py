@@ -1,8 +1,9 @@
 """Queries over whole tables: brute force on rows that id, size and modulo filters or prefixes would leave out."""
 
-from graphloom.plans import queries_graph
+from graphloom.plans import queries_graph, queries_text
 from tests.llm.helpers import DOCS, table_dir
 
+SF = "/root/testdata/sf0.001"
 
 
 def test_e06_stem_join(spark, tmp_path):
@@ -11,3 +12,13 @@ def test_e06_stem_join(spark, tmp_path):
     folder = table_dir(tmp_path, spark, "benchmark", spark.createDataFrame([(3, "walk"), (150, "gammas")], "item_id long, text string"))
     found = {tuple(r) for r in queries_graph.e06_stem_join(spark, folder).collect()}
     assert found == {("walk", "walking"), ("walk", "walked"), ("walk", "walker"), ("gammas", "gamma")}
+
+
+def test_j14_normalisers(spark):
+    def capped(s):
+        return s if s <= 0.85 else 0.85 + 0.15 * (s - 0.85) / (0.15 + s - 0.85)
+
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_discount").collect()
+    found = queries_text.j14_normalisers(spark, SF).collect()
+    plain = lambda pairs: sorted((k, round(float(v), 4)) for k, v in pairs)
+    assert plain((r.l_orderkey, r.capped) for r in found) == plain((r.l_orderkey, capped(float(r.l_discount) * 12)) for r in rows)
