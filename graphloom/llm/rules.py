@@ -1,7 +1,7 @@
 r"""Operator 10: quality rules with cross-document line frequency.
 
-A line is normalised (A-Z lower-cased, white space collapsed) and hashed; lines under MIN_LINE_WORDS words are never
-counted or removed. For each host (`source`) the distinct documents (distinct texts, so exact copies count once) that
+A line is normalised (A-Z lower-cased, white space collapsed) and hashed; lines without a word are never counted or
+removed. For each host (`source`) the distinct documents (distinct texts, so exact copies count once) that
 hold a line are counted; lines in more than LIMIT of them are removed. A document is rejected if it fails the base rules
 (fewer than 50 words, or over half of its words in repeated 3-word windows) or is depleted: fewer than 50 words or less
 than DEPLETED of its words are left.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import materialise, text_of
 
 LIMIT = 50
-MIN_LINE_WORDS = 5
+MIN_LINE_WORDS = 1
 DEPLETED = 0.3
 MIN_WORDS = 50
 BROADCAST_LINES = 200_000

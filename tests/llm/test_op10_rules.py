@@ -40,6 +40,17 @@ def test_frequent_lines(spark, tmp_path, monkeypatch, most):
     assert {r.doc_id for r in out} == kept and all(r.text == own(r.doc_id) and r.n_chars == len(r.text) for r in out)
 
 
+def test_short_frequent_lines(spark, tmp_path):
+    own = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    rows = [(i, f"All rights  reserved.\n{own(i, 60)}\nles.\n", "en", "src1", 1) for i in range(51)]
+    rows += [(100, "\n".join([own(100, 48), *["les."] * 9]), "en", "src1", 1), (101, "\n".join([own(101, 50), *["les."] * 9]), "en", "src1", 1)]
+    rows += [(102, "\n".join([own(102, 48), *["les."] * 9]), "en", "src2", 1)]
+    folder = table_dir(tmp_path, spark, df=spark.createDataFrame(rows, DOCS))
+    assert got(spark, folder) == oracle(folder)
+    out = {r.doc_id: r.text for r in rules.stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).collect()}
+    assert out == {**{i: f"{own(i, 60)}\n" for i in range(51)}, 101: own(101, 50), 102: rows[-1][1]}
+
+
 def test_awkward_and_empty(spark, tmp_path):
     folder = table_dir(tmp_path / "a", spark, df=spark.createDataFrame([r for r in awkward_rows() if r[0] not in (None, 6)], DOCS))
     assert got(spark, folder) == oracle(folder)
