@@ -165,7 +165,7 @@ def f05_usages_by_file(spark, sf):
 
 _QUERIES = [(1, "red widget"), (2, "blue gizmos promotional"), (3, "economy ring zzzqqq the")]
 _QSQL = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in _QUERIES) + ") AS q(query_id, query)"
-_SYM = f"SELECT seq AS id, name, docstring, file, {t1('name')} AS nt, list_distinct(regexp_extract_all(lower(docstring), '[a-z]{{3,}}')) AS dt FROM functions WHERE seq < 600"
+_SYM = f"SELECT seq AS id, name, docstring, file, {t1('name')} AS nt, list_distinct(regexp_extract_all(lower(docstring), '[a-z]{{3,}}')) AS dt FROM functions"
 _STOPQ = "[" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "]"
 _TERMS = f"qq AS ({_QSQL}), tk AS (SELECT query_id, query, unnest(list_filter({t1('query')}, lambda w: NOT list_contains({_STOPQ}, w))) AS token FROM qq)"
 
@@ -185,7 +185,7 @@ _WEIGHTS = f"""{_TERMS}, sy AS ({_SYM}), tt AS (SELECT DISTINCT token FROM tk),
 def _search_inputs(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     q = spark.createDataFrame(_QUERIES, "query_id int, query string")
     tokens = q.select("query_id", "query", F.explode(text.query_tokens("query")).alias("token"))
-    f = relation(spark, sf, "functions").filter("seq < 600")
+    f = relation(spark, sf, "functions")
     symbols = f.select(F.col("seq").alias("id"), "name", "docstring", "file", text.split_tokens("name").alias("name_tokens"), F.array_distinct(F.regexp_extract_all(F.lower("docstring"), F.lit("([a-z]{3,})"), 1)).alias("doc_tokens"))
     vocabulary = spark.createDataFrame([("gizmos",)], "token string")
     return tokens, symbols, search.weights(tokens, symbols, vocabulary)

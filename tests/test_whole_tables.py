@@ -4,6 +4,7 @@ from graphloom.plans import queries_graph, queries_text
 from tests.llm.helpers import DOCS, table_dir
 
 SF = "/root/testdata/sf0.001"
+PART = "p_partkey long, p_name string, p_brand string, p_type string, p_size int"
 
 
 def test_e06_stem_join(spark, tmp_path):
@@ -22,3 +23,12 @@ def test_j14_normalisers(spark):
     found = queries_text.j14_normalisers(spark, SF).collect()
     plain = lambda pairs: sorted((k, round(float(v), 4)) for k, v in pairs)
     assert plain((r.l_orderkey, r.capped) for r in found) == plain((r.l_orderkey, capped(float(r.l_discount) * 12)) for r in rows)
+
+
+def test_idf_and_scores(spark, tmp_path):
+    rows = [(1, "red widget", "Brand#1", "ECONOMY", 1), (700, "red ring", "Brand#2", "ECONOMY", 2), (5000, "green lamp", "Brand#3", "LARGE", 3)]
+    folder = table_dir(tmp_path, spark, "part", spark.createDataFrame(rows, PART))
+    df = {r.token: (r.df, r.w) for r in queries_text.f06_idf(spark, folder).collect()}
+    assert df["red"] == (2, 0.5) and df["widget"] == (1, 1.0) and df["ring"] == (1, 1.0) and df["economy"] == (2, 0.5)
+    scored = queries_text.i02_heuristic_score(spark, folder).collect()
+    assert sorted((r.query_id, r.id) for r in scored) == [(q, i) for q in (1, 2, 3) for i in (1, 700, 5000)]
