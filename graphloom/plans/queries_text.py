@@ -273,7 +273,7 @@ def i05_caller_bonus(spark, sf):
     return e.select("callee", "n", F.round(search.caller_bonus(F.col("s"), F.col("n")), 6).alias("score"))
 
 
-_BQ = "bq AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(substr(text, 1, 80)), '[a-z]{4,}'), lambda w: true))) AS token FROM benchmark WHERE item_id < 8)"
+_BQ = "bq AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]{4,}'), lambda w: true))) AS token FROM benchmark)"
 
 
 @query(f"""WITH {_POST}, {_BQ}, vc AS (SELECT DISTINCT token FROM kept), ex AS (SELECT query_id, token, 1.0::DOUBLE AS w, token AS use FROM bq WHERE token IN (SELECT token FROM vc)),
@@ -282,8 +282,8 @@ _BQ = "bq AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(regex
   sc AS (SELECT h.query_id, fn_id, least(0.82, round(s / n, 6)) AS score FROM h JOIN tot ON h.query_id = tot.query_id)
   SELECT query_id, fn_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fn_id) AS rank FROM sc WHERE score > 0.10) WHERE rank <= 20""")
 def i07_source_search(spark, sf):
-    b = table(spark, sf, "benchmark").filter("item_id < 8")
-    terms = b.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.substring("text", 1, 80)), F.lit("([a-z]{4,})"), 1))).alias("token"), F.lit(1.0).alias("w"))
+    b = table(spark, sf, "benchmark")
+    terms = b.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), 1))).alias("token"), F.lit(1.0).alias("w"))
     return search.source_search(search.postings(relation(spark, sf, "sources")), terms).select("query_id", "fn_id", "score", _b("rank"))
 
 

@@ -32,3 +32,12 @@ def test_idf_and_scores(spark, tmp_path):
     assert df["red"] == (2, 0.5) and df["widget"] == (1, 1.0) and df["ring"] == (1, 1.0) and df["economy"] == (2, 0.5)
     scored = queries_text.i02_heuristic_score(spark, folder).collect()
     assert sorted((r.query_id, r.id) for r in scored) == [(q, i) for q in (1, 2, 3) for i in (1, 700, 5000)]
+
+
+def test_i07_source_search(spark, tmp_path):
+    docs = [(i, text, "en", "s", 1) for i, text in enumerate(["zebra", "tiger", "horse", "mouse"])]
+    table_dir(tmp_path, spark, df=spark.createDataFrame(docs, DOCS))
+    items = [(1, "unknown " * 12 + "tiger"), (20, "unknown " * 12 + "zebra"), (199, "horse")]
+    folder = table_dir(tmp_path, spark, "benchmark", spark.createDataFrame(items, "item_id long, text string"))
+    found = sorted(tuple(r) for r in queries_text.i07_source_search(spark, folder).collect())
+    assert found == [(1, 1, 0.5, 1), (20, 0, 0.5, 1), (199, 2, 0.82, 1)]
