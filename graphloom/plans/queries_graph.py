@@ -283,13 +283,13 @@ def g01_callers(spark, sf):
     return callers.plain_callers(relation(spark, sf, "edges"), relation(spark, sf, "methods")).groupBy("callee").agg(F.count("*").alias("n"))
 
 
-_DEFS = "SELECT DISTINCT class_name, concat('NATION_', length(name)) AS file FROM functions WHERE size <= 5"
+_DEFS = "SELECT DISTINCT class_name, concat('NATION_', length(name)) AS file FROM functions"
 _ALLOW = f"""d AS ({_DEFS}), allow AS (SELECT class_name, file FROM d UNION SELECT class_name, importer FROM d JOIN imports ON target = file
   UNION SELECT class_name, importer FROM d JOIN imports ON target = '__init__.py')"""
 
 
 def _defs(spark, sf) -> DataFrame:
-    return relation(spark, sf, "functions").filter("size <= 5").select("class_name", F.concat(F.lit("NATION_"), F.length("name")).alias("file")).distinct()
+    return relation(spark, sf, "functions").select("class_name", F.concat(F.lit("NATION_"), F.length("name")).alias("file")).distinct()
 
 
 @query(f"WITH {_ALLOW} SELECT class_name, file FROM allow")
@@ -297,7 +297,7 @@ def g04_allow_list(spark, sf):
     return callers.allow_list(_defs(spark, sf), relation(spark, sf, "imports"))
 
 
-@query(f"""WITH {_ALLOW}, m AS (SELECT DISTINCT name, class_name, concat('NATION_', size % 25) AS file FROM functions WHERE size <= 30),
+@query(f"""WITH {_ALLOW}, m AS (SELECT DISTINCT name, class_name, concat('NATION_', size % 25) AS file FROM functions),
   w AS (SELECT DISTINCT name AS callee, class_name FROM m WHERE class_name IN ('Brand3', 'Brand7')),
   n AS (SELECT name, count(DISTINCT class_name) AS k FROM m GROUP BY name),
   r AS (SELECT e.callee, w.class_name, e.caller, e.caller_file, e.seq, e.pass, e.caller_class = w.class_name AS same, trusted,
@@ -308,7 +308,7 @@ def g04_allow_list(spark, sf):
     FROM edges e JOIN w ON e.callee = w.callee LEFT JOIN n ON n.name = e.callee)
   SELECT callee, class_name, caller, caller_file, count(*) AS n FROM r WHERE same OR ((trusted OR NOT (own OR near OR (many AND NOT allowed))) AND NOT (many AND unlike)) GROUP BY ALL""")
 def g02_callers_disambiguated(spark, sf):
-    m = relation(spark, sf, "functions").filter("size <= 30").select("name", "class_name", F.concat(F.lit("NATION_"), F.col("size") % 25).alias("file")).distinct()
+    m = relation(spark, sf, "functions").select("name", "class_name", F.concat(F.lit("NATION_"), F.col("size") % 25).alias("file")).distinct()
     wanted = m.filter(F.col("class_name").isin("Brand3", "Brand7")).select(F.col("name").alias("callee"), "class_name").distinct()
     e = relation(spark, sf, "edges").withColumn("receivers", F.when(F.col("has_dot"), F.array("receiver")).otherwise(F.array().cast("array<string>")))
     out = callers.class_callers(e, m, _defs(spark, sf), relation(spark, sf, "imports"), wanted)
@@ -366,16 +366,16 @@ def g14_two_hops(spark, sf):
     return callers.two_hops(relation(spark, sf, "imports"), s).select("file", F.round("score", 6).alias("score"), _b("hop"))
 
 
-_DEAD = """WITH f AS (SELECT DISTINCT name, class_name, file, min(seq) OVER (PARTITION BY name, class_name, file) AS seq FROM functions WHERE size < 12),
-  called AS (SELECT DISTINCT callee AS name, receiver AS class_name FROM edges WHERE trusted AND seq % 3 = 0),
+_DEAD = """WITH f AS (SELECT DISTINCT name, class_name, file, min(seq) OVER (PARTITION BY name, class_name, file) AS seq FROM functions),
+  called AS (SELECT DISTINCT callee AS name, receiver AS class_name FROM edges WHERE trusted),
   imp AS (SELECT DISTINCT name FROM symbol_imports)"""
 
 
 @query(f"""{_DEAD} SELECT name, class_name, file, seq, name IN (SELECT name FROM imp) AS re_exported FROM f
   WHERE (name, class_name) NOT IN (SELECT (name, class_name) FROM called) AND NOT (name IN (SELECT name FROM imp) AND name IN (SELECT name FROM called))""")
 def h01_unused_functions(spark, sf):
-    f = relation(spark, sf, "functions").filter("size < 12").groupBy("name", "class_name", "file").agg(F.min("seq").alias("seq")).withColumn("decorators", F.array().cast("array<string>"))
-    called = relation(spark, sf, "edges").filter("trusted AND seq % 3 = 0").select(F.col("callee").alias("name"), F.col("receiver").alias("class_name")).distinct()
+    f = relation(spark, sf, "functions").groupBy("name", "class_name", "file").agg(F.min("seq").alias("seq")).withColumn("decorators", F.array().cast("array<string>"))
+    called = relation(spark, sf, "edges").filter("trusted").select(F.col("callee").alias("name"), F.col("receiver").alias("class_name")).distinct()
     imported = relation(spark, sf, "symbol_imports").select("name").distinct()
     none = spark.createDataFrame([], "name string, file string")
     bases = spark.createDataFrame([], "class_name string, name string")

@@ -90,9 +90,9 @@ def j05_bigram_jaccard(spark, sf):
     return p.select("p_partkey", F.round(text.jaccard(text.bigrams("p_name"), text.bigrams(F.concat("p_brand", F.lit(" "), "p_type"))), 6).alias("jaccard"))
 
 
-@query("""SELECT doc_id, regexp_replace(trim(lower(substr(text, 1, 60))), '[^a-z0-9 ]', '', 'g') AS clean FROM documents""")
+@query("""SELECT doc_id, regexp_replace(trim(lower(text)), '[^a-z0-9 ]', '', 'g') AS clean FROM documents""")
 def j06_normalised(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.normalised(F.substring("text", 1, 60)).alias("clean"))
+    return table(spark, sf, "documents").select("doc_id", text.normalised("text").alias("clean"))
 
 
 @query("""WITH s AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN concat('from ', replace(p_name, ' ', '.'), ' import ', p_type, ', ', lower(p_type), ' as x') WHEN 1 THEN concat('import ', replace(p_name, ' ', '.'))
@@ -359,13 +359,13 @@ def i25_directory_cap(spark, sf):
 
 
 @query("""WITH r AS (SELECT p_type AS language, CASE p_partkey % 3 WHEN 0 THEN replace(p_name, ' ', '_') WHEN 1 THEN concat(split_part(p_name, ' ', 1), upper(left(split_part(p_name, ' ', 2), 1)), substr(split_part(p_name, ' ', 2), 2)) ELSE p_type END AS name, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS rn FROM part),
-  h AS (SELECT * FROM r WHERE rn <= 100), a AS (SELECT language, count(*) AS n, round(avg(regexp_matches(name, '^[a-z][a-z0-9]*(_[a-z0-9]+)+$')::INT), 6) AS snake, round(avg(regexp_matches(name, '^[a-z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]*$')::INT), 6) AS camel, round(avg(regexp_matches(name, '^[A-Z][a-zA-Z0-9]*$')::INT), 6) AS pascal FROM h GROUP BY language)
+  h AS (SELECT * FROM r WHERE rn <= 500), a AS (SELECT language, count(*) AS n, round(avg(regexp_matches(name, '^[a-z][a-z0-9]*(_[a-z0-9]+)+$')::INT), 6) AS snake, round(avg(regexp_matches(name, '^[a-z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]*$')::INT), 6) AS camel, round(avg(regexp_matches(name, '^[A-Z][a-zA-Z0-9]*$')::INT), 6) AS pascal FROM h GROUP BY language)
   SELECT *, CASE WHEN snake >= greatest(camel, pascal) THEN 'snake_case' WHEN camel >= pascal THEN 'camelCase' ELSE 'PascalCase' END AS style FROM a""")
 def k02_naming(spark, sf):
     second = F.split("p_name", " ")[1]
     name = F.when(F.col("p_partkey") % 3 == 0, F.regexp_replace("p_name", " ", "_")).when(
         F.col("p_partkey") % 3 == 1, F.concat(F.split("p_name", " ")[0], F.upper(F.left(second, F.lit(1))), F.substring(second, 2, 99))).otherwise(F.col("p_type"))
-    return stats.naming(table(spark, sf, "part").select(F.col("p_type").alias("language"), name.alias("name"), F.col("p_partkey").alias("seq")), 100)
+    return stats.naming(table(spark, sf, "part").select(F.col("p_type").alias("language"), name.alias("name"), F.col("p_partkey").alias("seq")))
 
 
 @query("""WITH f AS (SELECT CASE p_partkey % 4 WHEN 0 THEN replace(p_name, ' ', '_') WHEN 1 THEN replace(p_name, ' ', '-') WHEN 2 THEN 'Widget' ELSE 'index' END AS stem FROM part),
@@ -386,7 +386,7 @@ def k05_structure(spark, sf):
 def k08_doc_style(spark, sf):
     m = F.col("doc_id") % 4
     tail = F.when(m == 0, "\nArgs:\n  x").when(m == 1, "\nParameters\n-----\n").when(m == 2, "\n:param x: y").otherwise("")
-    return table(spark, sf, "documents").select(stats.doc_style(F.concat(F.substring("text", 1, 200), tail)).alias("style")).groupBy("style").agg(F.count("*").alias("n"))
+    return table(spark, sf, "documents").select(stats.doc_style(F.concat("text", tail)).alias("style")).groupBy("style").agg(F.count("*").alias("n"))
 
 
 _HREF = "SELECT DISTINCT page_id AS file, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM pages"

@@ -41,3 +41,45 @@ def test_i07_source_search(spark, tmp_path):
     folder = table_dir(tmp_path, spark, "benchmark", spark.createDataFrame(items, "item_id long, text string"))
     found = sorted(tuple(r) for r in queries_text.i07_source_search(spark, folder).collect())
     assert found == [(1, 1, 0.5, 1), (20, 0, 0.5, 1), (199, 2, 0.82, 1)]
+
+
+def test_whole_texts(spark, tmp_path):
+    texts = ["Ab, " * 100, "x " * 200 + "\nArgs:\n  y"]
+    folder = table_dir(tmp_path, spark, df=spark.createDataFrame([(4 * i + 3, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS))
+    clean = lambda t: "".join(c for c in t.lower().strip(" ") if c in "abcdefghijklmnopqrstuvwxyz0123456789 ")
+    assert {r.clean for r in queries_text.j06_normalised(spark, folder).collect()} == set(map(clean, texts))
+    assert {tuple(r) for r in queries_text.k08_doc_style(spark, folder).collect()} == {("plain", 1), ("google", 1)}
+
+
+def test_k02_naming(spark, tmp_path):
+    rows = [(i, "red widget", "Brand#1", "LARGE" if i <= 620 else "SMALL", 1) for i in range(1, 921)]
+    folder = table_dir(tmp_path, spark, "part", spark.createDataFrame(rows, PART))
+    assert {r.language: r.n for r in queries_text.k02_naming(spark, folder).collect()} == {"LARGE": 500, "SMALL": 300}
+
+
+def callers_tables(tmp_path, spark):
+    """Two parts over every size filter, one of them called (on an order that seq % 3 = 0 leaves out)."""
+    parts = [(1, "red widget", "Brand#3", "LARGE", 40), (2, "blue ring", "Brand#7", "LARGE", 45), (3, "old lamp", "Brand#9", "LARGE", 2)]
+    for name, rows, kind in (
+        ("part", parts, PART),
+        ("lineitem", [(1, 1, 1, 1, 1.0, 0.0, "N", "F")],
+         "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_returnflag string, l_linestatus string"),
+        ("supplier", [(1, "Supplier1", 0)], "s_suppkey long, s_name string, s_nationkey int"),
+        ("nation", [(0, "NATION_0", 0)], "n_nationkey int, n_name string, n_regionkey int"),
+        ("orders", [(1, 1, "1-URGENT")], "o_orderkey long, o_custkey long, o_orderpriority string"),
+        ("customer", [(1, 0)], "c_custkey long, c_nationkey int"),
+    ):
+        table_dir(tmp_path, spark, name, spark.createDataFrame(rows, kind))
+    return str(tmp_path)
+
+
+def test_h01_unused_functions(spark, tmp_path):
+    found = queries_graph.h01_unused_functions(spark, callers_tables(tmp_path, spark)).collect()
+    assert {r.name for r in found} == {"blue_ring", "old_lamp"}
+
+
+def test_g02_g04_callers(spark, tmp_path):
+    folder = callers_tables(tmp_path, spark)
+    assert {(r.class_name, r.file) for r in queries_graph.g04_allow_list(spark, folder).collect()} == {("Brand3", "NATION_10"), ("Brand7", "NATION_9"), ("Brand9", "NATION_8")}
+    found = [tuple(r) for r in queries_graph.g02_callers_disambiguated(spark, folder).collect()]
+    assert found == [("red_widget", "Brand3", "Supplier1", "NATION_0", 1)]
