@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +14,23 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Most bytes of a table that is broadcast; larger ones are joined by shuffle.
+BROADCAST_BYTES = 16 * 2**20
+#: The rarity sketch: counters, the pieces in which they are summed, and how many pieces one task sums.
+CELLS_LOG2 = 20
+SLABS = 64
+SUMMED = 64
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir, or a temporary one where unset (tests)."""
+    """The folder all executors share: the session's spark.checkpoint.dir. In local mode alone, where driver and executors are one
+    process, a temporary one is made if it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        import tempfile
+
         folder = tempfile.mkdtemp(prefix="graphloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -55,10 +70,51 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_enough(df: DataFrame, size: Column) -> bool:
+    """Whether df, a written table whose rows take `size` bytes, may be broadcast."""
+    return (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def _count_cells(hashes_of: Callable[[list[bytes]], np.ndarray]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(2**CELLS_LOG2, np.int64)
+        for batch in (part for whole in batches for part in pieces(whole, "text", 2**22)):
+            cells = (hashes_of([x.as_py() for x in batch.column("text")]) >> np.uint64(64 - CELLS_LOG2)).astype(np.int64)
+            counts += np.bincount(cells, minlength=len(counts))
+        slabs = counts.astype(np.float64).reshape(SLABS, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLABS), pa.int32()), pa.array([s.tobytes() for s in slabs], pa.binary())], ["slab", "counts"])
+
+    return run
+
+
+def _sum_slabs(table: pa.Table) -> pa.Table:
+    total = np.zeros(2**CELLS_LOG2 // SLABS)
+    for x in table.column("counts"):
+        total += np.frombuffer(x.as_py(), np.float64)
+    return pa.table({"slab": table.column("slab")[:1], "part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def rarity(texts: DataFrame, hashes_of: Callable[[list[bytes]], np.ndarray]):
+    """Broadcast array of 2**CELLS_LOG2 order classes (1 MB whatever the input): the rounded logarithm of how many tokens fall
+    in each cell. texts: text (binary). Counts are summed in a tree of SUMMED per task."""
+    spark = texts.sparkSession
+    level = texts.mapInArrow(_count_cells(hashes_of), "slab int, counts binary").withColumn("part", F.spark_partition_id())
+    many = texts._jdf.queryExecution().toRdd().getNumPartitions()
+    while True:
+        level = level.withColumn("part", F.floor(F.col("part") / SUMMED).cast("int")).groupBy("slab", "part").applyInArrow(
+            _sum_slabs, "slab int, part int, counts binary"
+        )
+        many = -(-many // SUMMED)
+        if many <= 1:
+            break
+    order = np.zeros((SLABS, 2**CELLS_LOG2 // SLABS), np.uint8)
+    for r in level.collect():  # SLABS rows of 128 KB
+        order[r["slab"]] = np.minimum(np.floor(2 * np.log2(np.frombuffer(r["counts"], np.float64) + 1)), 63)
+    return spark.sparkContext.broadcast(order.reshape(-1))
+
+
 def pieces(batch, column: str, most: int):
     """Slices of an Arrow batch whose values in a string or binary column take about `most` bytes; one row at least each."""
-    import numpy as np
-
     values = batch.column(batch.schema.get_field_index(column))
     if not len(values):
         return
