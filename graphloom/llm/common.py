@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -42,8 +43,10 @@ def _file_system(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
-def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write df once to the shared folder and read it back, which cuts its lineage; removed when the session ends."""
+def materialise(df: DataFrame, codec: str = "zstd", last: bool = False) -> DataFrame:
+    """Write df once to the shared folder and read it back, which cuts its lineage; removed when the session ends.
+
+    last: nothing reads df's shuffles any more, so Spark is asked to look for shuffle files that it can delete."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
@@ -51,9 +54,18 @@ def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
     fs.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._graphloom_path = path
+    if last:
+        del df
+        release(spark)
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Spark deletes the files of a shuffle when the driver collects its plan as garbage, which may be long after its use."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that materialise() wrote, once nothing reads it any more."""
     path = getattr(df, "_graphloom_path", None)

@@ -2,9 +2,15 @@ r"""Operator 8: exact n-gram Jaccard join of documents.
 
 Words are `[^\x20\x09-\x0D]+` of the text with A-Z lower-cased; a document's set holds its distinct 5-word shingles (its
 whole word sequence where it has fewer words). Documents link when 100 * |intersection| >= 80 * |union|; a component is
-what links reach. Equal sets are one class, similar classes come from setjoin (prefix filter, then a DivideSkip
-T-occurrence search), components from label propagation. Texts without words, and null texts, have an empty set and stay
-alone. Null or repeated doc_ids are allowed (a component's id is the least non-null one, null if there is none).
+what links reach. Equal sets are one class. prefixjoin brings candidates together, and every candidate is decided by a
+DivideSkip T-occurrence search over the inverted lists of whole sets (setjoin). First each class is asked for by its least
+candidate; then, in lists whose members are not in one component yet, those apart from the least member ask the members of
+other components. So groups of copies never expand into all pairs. Components come from label propagation.
+
+Sets are compared by 50-bit hashes of their shingles and classes by 128-bit names, so a wrong result needs a collision.
+Texts without words, and null texts, have an empty set and stay alone. Null or repeated doc_ids are allowed (a component's
+id is the least non-null one, null if there is none), ties and repeated rows are rows of one class, very long texts are
+sets like others, an empty table gives an empty result; other columns are ignored under any name.
 """
 
 from __future__ import annotations
@@ -13,61 +19,72 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm import setjoin
-from graphloom.llm.common import discard, materialise, pieces, text_of
+from graphloom.llm import prefixjoin, setjoin
+from graphloom.llm.common import discard, materialise, pieces, rarity, small_enough, text_of
+from graphloom.llm.words import Words, mix, names_of, ranked, sets_of
 
 WORDS = 5
 #: Odd multiplier of the polynomial over word hashes (fixed, so that all executors agree).
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of the WORDS-word windows of a sequence of at least WORDS words, in order."""
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    m = len(words) - WORDS + 1
+def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the texts' shingles, with repeats, text by text, and their number per text."""
+    w = Words(texts)
+    h, words = w.hashes, np.diff(w.bounds)
+    m = max(len(h) - WORDS + 1, 0)
     out = h[:m].copy()
     for k in range(1, WORDS):
         out *= MIX
         out += h[k : k + m]
-    out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ (out >> np.uint64(32))
+    out = mix(out)
+    inside = w.text[:m] == w.text[WORDS - 1 :] if m else np.zeros(0, bool)
+    sizes = np.maximum(words - WORDS + 1, 0)
+    out = out[inside]
+    few = np.flatnonzero((words > 0) & (words < WORDS))
+    if len(few):
+        whole = np.empty(len(few), np.uint64)
+        for i, t in enumerate(few.tolist()):
+            x = np.full(1, words[t], np.uint64)
+            for k in range(w.bounds[t], w.bounds[t + 1]):
+                x = mix(x * MIX + h[k])
+            whole[i] = x[0]
+        out = np.insert(out, np.cumsum(sizes)[few], whole)
+        sizes[few] = 1
+    return out, sizes
 
 
-def shingles(raw: bytes) -> np.ndarray:
-    """64-bit hashes of a text's shingles, in order and with repeats."""
-    words = raw.lower().split()
-    n = len(words)
-    if not n:
-        return np.empty(0, np.uint64)
-    if n < WORDS:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=n)], np.uint64)
-    return shingle_hashes(words)
+def shingle_hashes(texts: list[bytes]) -> np.ndarray:
+    return shingles(texts)[0]
 
 
-def token_set(raw: bytes, rank: np.ndarray) -> np.ndarray:
-    """The distinct shingles as tokens, the rarest first."""
-    return np.unique(setjoin.ranked(shingles(raw), rank))
+def token_sets(texts: list[bytes], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' distinct shingles as tokens, the rarest first, and their number per text."""
+    found, sizes = shingles(texts)
+    return sets_of(ranked(found, rank), sizes)
 
 
-def _prefixes(order):
+ROWS = "doc_id long, th long, s1 long, s2 long, n int, parity long, prefix binary"
+
+
+def _rows(order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = order.value
-        for batch in (part for whole in batches for part in pieces(whole, "text", 4 * setjoin.PIECE_BYTES)):
-            sigs, ns, prefixes = [], [], []
-            for text in batch.column("text"):
-                tokens = token_set(text.as_py(), rank)
-                n = len(tokens)
-                sigs.append(setjoin.signature(tokens) if n else None)
-                ns.append(n)
-                prefixes.append(tokens[: setjoin.prefix_length(n)].tobytes() if n else b"")
+        for batch in (part for whole in batches for part in pieces(whole, "text", prefixjoin.PIECE_BYTES)):
+            tokens, counts = token_sets([x.as_py() for x in batch.column("text")], rank)
+            s1, s2, parity = (np.zeros(len(counts), np.int64) for _ in range(3))
+            full = counts > 0
+            s1[full], s2[full], parity[full] = names_of(tokens, counts[full])
+            most = prefixjoin.prefix_length(counts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sigs, pa.binary()), pa.array(ns, pa.int32()), pa.array(prefixes, pa.binary())],
-                ["doc_id", "sig", "n", "prefix"],
+                [
+                    batch.column("doc_id"), batch.column("th"), pa.array(s1), pa.array(s2), pa.array(counts, pa.int32()), pa.array(parity),
+                    prefixjoin.packed_array(tokens[prefixjoin.heads_of(counts, most)], most),
+                ],
+                [x.split()[0] for x in ROWS.split(", ")],
             )
 
     return run
@@ -75,61 +92,83 @@ def _prefixes(order):
 
 def _ship(order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in pieces(whole, "text", setjoin.PIECE_BYTES)):
-            keys, nodes, marks, sets = [], [], [], []
-            for wanted, text in zip(batch.column("wanted").to_pylist(), batch.column("text"), strict=True):
-                tokens = token_set(text.as_py(), order.value)
-                name, packed = setjoin.signature(tokens), tokens.tobytes()
-                for w in wanted:
-                    if w["sig"] == name:
-                        keys.append(w["key"])
-                        nodes.append(w["node"])
-                        marks.append(w["mark"])
-                        sets.append(packed)
-            longs = [pa.array(x, pa.int64()) for x in (keys, nodes, marks)]
-            yield pa.RecordBatch.from_arrays([*longs, pa.array(sets, pa.binary())], ["key", "node", "mark", "tokens"])
+        for batch in (part for whole in batches for part in pieces(whole, "text", prefixjoin.PIECE_BYTES)):
+            tokens, counts = token_sets([x.as_py() for x in batch.column("text")], order.value)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), prefixjoin.packed_array(tokens, counts)], ["node", "tokens"])
 
     return run
 
 
-def ship(docs: DataFrame, classes: DataFrame, tasks: DataFrame, order) -> DataFrame:
-    """The tasks with their members' sets, recomputed from one document of each class."""
-    wanted = materialise(
-        tasks.join(classes, "node").groupBy(F.col("rep").alias("w_id")).agg(F.collect_list(F.struct("key", "node", "mark", "sig")).alias("wanted"))
+def ship(docs: DataFrame, wanted: DataFrame, order) -> DataFrame:
+    """node, tokens (packed) of some classes (node, first), each recomputed from one of its documents."""
+    wanted = materialise(wanted.select("node", F.col("first.doc_id").alias("w_id"), F.col("first.th").alias("w_th")))
+    few = small_enough(wanted, F.lit(64))
+    found = docs.join(F.broadcast(wanted) if few else wanted, docs["doc_id"].eqNullSafe(wanted["w_id"]) & (docs["th"] == wanted["w_th"]))
+    sets = found.select("node", "text").mapInArrow(_ship(order), "node long, tokens binary")
+    return materialise(sets.dropDuplicates(["node"]), last=True)
+
+
+def open_pairs(pairs: DataFrame, members: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) of likely partners that are not in one component: of `pairs`, and of sets that share a list (list, node),
+    where whoever is in another component than its list's least member asks the others."""
+    marks = classes.select("node", "n", "parity").join(labels, "node", "left").withColumn("mark", F.coalesce("mark", "node"))
+    marked = members.join(marks, "node")
+    home = marked.groupBy("list").agg(F.min(F.struct("node", "mark")).alias("h"), F.max("mark").alias("most"), F.min("mark").alias("least"))
+    home = home.filter("least < most").select("list", F.col("h.mark").alias("home"))
+    marked = materialise(marked.join(home, "list"))
+    apart = marked.filter("mark <> home").select("list", F.col("node").alias("a"), F.col("mark").alias("k"), F.col("n").alias("m"), F.col("parity").alias("q"))
+    allowed = (5 * F.least("n", "m") >= 4 * F.greatest("n", "m")) & (9 * F.bit_count(F.col("parity").bitwiseXOR(F.col("q"))) <= F.col("n") + F.col("m"))
+    listed = marked.join(apart, "list").filter((F.col("mark") != F.col("k")) & allowed).select("a", F.col("node").alias("b"))
+    one, two = (labels.select(F.col("node").alias(x), F.col("mark").alias(f"mark_{x}")) for x in "ab")
+    direct = pairs.distinct().join(one, "a", "left").join(two, "b", "left").filter("coalesce(mark_a, a) <> coalesce(mark_b, b)").select("a", "b")
+    return materialise(listed.union(direct).distinct())
+
+
+def class_labels(docs: DataFrame, classes: DataFrame, order) -> DataFrame:
+    """node, mark (least node of its component) of every class that has a similar one."""
+    stars, pairs, lists = prefixjoin.candidates(classes)
+    both = F.explode(F.array("a", "b")).alias("node")
+    sets = ship(docs, classes.select("node", "first").join(stars.select(both).distinct(), "node"), order)
+    links = materialise(setjoin.search(stars.select("a", "b"), sets), last=True)
+    labels = setjoin.components(links)
+    pairs = open_pairs(pairs, prefixjoin.members_of(lists), classes, labels).join(stars, ["a", "b"], "left_anti")
+    if pairs.isEmpty():
+        return labels
+    more = pairs.select(both).distinct().join(sets, "node", "left_anti")
+    if not more.isEmpty():
+        sets = sets.union(ship(docs, classes.select("node", "first").join(more, "node"), order))
+    return setjoin.components(links.union(materialise(setjoin.search(pairs, sets))))
+
+
+def _components(docs: DataFrame) -> DataFrame:
+    """doc_id, th, n, component, head (whether the row has the least id, then text, of its component) of every row."""
+    text = text_of().cast("binary")
+    base = docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text"))
+    order = rarity(base.select("text"), shingle_hashes)
+    rows = materialise(base.mapInArrow(_rows(order), ROWS))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    grouped = rows.filter("n > 0").groupBy("s1", "s2").agg(
+        F.min(place).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix")
+    )
+    classes = materialise(grouped.withColumn("node", F.monotonically_increasing_id()), last=True)
+    narrow = materialise(rows.select("doc_id", "th", "s1", "s2", "n"))
+    discard(rows)
+    labels = class_labels(base, classes, order)
+    named = classes.select("s1", "s2", "node", "first")
+    marked = materialise(named.join(labels, "node"))
+    least = marked.groupBy("mark").agg(F.min("first").alias("least"))
+    linked = marked.join(least, "mark").select("s1", "s2", "least")
+    alone = named.join(labels, "node", "left_anti").select("s1", "s2", F.col("first").alias("least"))
+    ids = materialise(linked.union(alone))
+    discard(classes)
+    return narrow.join(ids, ["s1", "s2"], "left").select(
+        "doc_id", "th", "n", F.coalesce("least.doc_id", "doc_id").alias("component"), (F.col("least").isNull() | F.col("least").eqNullSafe(place)).alias("head")
     )
-    few = wanted.count() <= setjoin.BROADCAST_KEYS
-    found = docs.join(F.broadcast(wanted) if few else wanted, docs["doc_id"].eqNullSafe(wanted["w_id"])).select("wanted", "text")
-    return found.mapInArrow(_ship(order), "key long, node long, mark long, tokens binary")
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
-    base = docs.select("doc_id", text_of().cast("binary").alias("text"))
-    order = setjoin.rarity(base.select("text"), shingles)
-    rows = materialise(base.mapInArrow(_prefixes(order), "doc_id long, sig binary, n int, prefix binary"))
-    classes = materialise(
-        rows.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-        .withColumn("node", F.monotonically_increasing_id())
-    )
-    narrow = materialise(rows.select("doc_id", "sig", "n"))
-    discard(rows)
-    found = materialise(setjoin.posting_lists(classes))
-    whole, classes = classes, materialise(classes.select("sig", "node", "rep"))
-    discard(whole)
-    met = materialise(setjoin.meetings(found))
-    tasks = materialise(setjoin.star_tasks(met))
-    links = materialise(setjoin.search(ship(base, classes, tasks, order), setjoin.bundles_for(tasks), by_component=False))
-    labels = setjoin.components(links)
-    tasks = materialise(setjoin.open_tasks(found, met, labels.withColumn("head", F.col("mark")), later_only=False))
-    if not tasks.isEmpty():
-        links = links.union(setjoin.search(ship(base, classes, tasks, order), setjoin.bundles_for(tasks), by_component=True))
-        labels = setjoin.components(links)
-    named = classes.select("sig", "node", "rep").join(labels, "node", "left").withColumn("mark", F.coalesce("mark", "node"))
-    least = named.groupBy("mark").agg(F.min("rep").alias("component"))
-    ids = materialise(named.join(least, "mark").select(F.col("sig").alias("c_sig"), "component"))
-    return narrow.join(ids, F.col("sig") == F.col("c_sig"), "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
-    )
+    return _components(docs).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def op8_ngrams(spark, sf_dir: str) -> DataFrame:
@@ -137,7 +176,12 @@ def op8_ngrams(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the least doc_id stays (one of its rows, if it repeats)."""
-    found = similar_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k_id")).distinct()
-    kept = docs.join(found, docs["doc_id"].eqNullSafe(found["k_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]).select("doc_id", "text", "lang", "source", "n_chars")
+    """Pipeline stage: of each component the document with the least doc_id, then text, stays; one of its rows, if it repeats."""
+    found = materialise(_components(docs).groupBy("doc_id", "th", "head").agg(F.count("*").alias("rows")).filter("rows > 1 or not head"))
+    few = small_enough(found, F.lit(64))
+    marks = found.select(F.col("doc_id").alias("k_id"), F.col("th").alias("k_th"), "head")
+    same = docs["doc_id"].eqNullSafe(F.col("k_id")) & (F.xxhash64(text_of().cast("binary")) == F.col("k_th"))
+    marked = docs.join(F.broadcast(marks) if few else marks, same, "left").select("doc_id", "text", "lang", "source", "n_chars", "head")
+    # Unmarked rows are heads that occur once; of those that repeat, one stays.
+    once, repeated = marked.filter("head is null").drop("head"), marked.filter("head").drop("head")
+    return once.union(repeated.dropDuplicates(["doc_id", "text"]))

@@ -9,8 +9,8 @@ first n / 5 + 2, and so on. Each set is listed under its prefix tokens, and pair
 * and their parity bits (one bit per token, summed modulo 2) differ in no more places than the sets may differ in tokens.
 
 A list of more than LIMIT sets is dealt out again under its token together with the next prefix tokens, up to DEPTH
-tokens deep. A list in which members have more than DENSE partners on average is a group of copies: it is handed back as a
-list instead of all its pairs. Every pair of similar sets is in a pair or in a list that is given back.
+tokens deep. What is given back grows with the memberships, never with the pairs: every set with its least partner in each list,
+and the lists in which three or more sets have partners, for a second look at what the least partners leave open.
 """
 
 from __future__ import annotations
@@ -28,13 +28,12 @@ from graphloom.llm.words import mix
 
 LIMIT = 2048
 DEPTH = 3
-DENSE = 4
 #: Places in a prefix are kept in 16 bits; from here on the positional filter lets a pair pass.
 FAR = 65_535
 PIECE_BYTES = 2**22
 #: Postings of one bucket aimed at.
 BUCKET_ROWS = 1_000_000
-FOUND = "a long, b long, list long, heavy boolean, nodes array<long>, places array<int>"
+FOUND = "b long, lo long, hi long, list long, heavy boolean, nodes array<long>, places array<int>"
 
 
 def misses(n):
@@ -140,9 +139,9 @@ def _meet(blocks: pa.Table) -> pa.Table:
     which = np.repeat(np.arange(len(starts)), sizes)
     end = (starts + sizes)[which]
     heavy = sizes > LIMIT
-    met = np.zeros(len(starts), np.int64)
     hit = np.zeros(len(t), bool)
-    found, k = [], 1
+    lo, hi = d.copy(), np.full(len(d), -1)  # the least and the greatest of each entry's lesser partners
+    k = 1
     act = np.flatnonzero((end - np.arange(len(t)) > 1) & ~heavy[which])
     while len(act):
         other = act + k
@@ -152,37 +151,37 @@ def _meet(blocks: pa.Table) -> pa.Table:
         one, two = act[good], other[good]
         hit[one] = True
         hit[two] = True
-        open_ = met[which[one]] <= DENSE * sizes[which[one]]
-        met += np.bincount(which[one], minlength=len(met))
-        found.append((one[open_], two[open_]))
+        swap = d[one] > d[two]
+        less, more = np.where(swap, two, one), np.where(swap, one, two)
+        np.minimum.at(lo, more, d[less])
+        np.maximum.at(hi, more, d[less])
         k += 1
         act = act[end[act] - act > k]
-    dense = met > DENSE * sizes
-    a, b = (np.concatenate([x[i] for x in found]) if found else np.empty(0, np.int64) for i in (0, 1))
-    keep = ~dense[which[a]]
-    a, b = d[a[keep]], d[b[keep]]
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.empty((2, 0), np.int64)
+    later = np.flatnonzero(hi >= 0)
+    b, lo, hi = np.unique(np.stack([d[later], lo[later], hi[later]]), axis=1) if len(later) else np.empty((3, 0), np.int64)
+    hits = np.bincount(which[hit], minlength=len(starts))
     names, flags, nodes, places = [], [], [], []
     lists: set[int] = set()
-    for x in np.flatnonzero(dense | heavy).tolist():
+    for x in np.flatnonzero((hits > 2) | heavy).tolist():
         at = np.arange(starts[x], starts[x] + sizes[x])
         if heavy[x]:
             name = (bucket << 40) ^ int(t[at[0]])
         else:
             at = at[hit[at]]
-            name = xxhash.xxh3_64_intdigest(np.sort(d[at]).tobytes()) - 2**63
+            at = at[np.argsort(d[at])]
+            name = xxhash.xxh3_64_intdigest(d[at].tobytes()) - 2**63
             if name in lists:
                 continue
             lists.add(name)
-        for lo in range(0, len(at), LIMIT):
-            part = at[lo : lo + LIMIT]
+        for start in range(0, len(at), LIMIT):
+            part = at[start : start + LIMIT]
             names.append(name)
             flags.append(bool(heavy[x]))
             nodes.append(d[part])
-            places.append(p[part].astype(np.int32))
-    few, many = [None] * len(names), [None] * pairs.shape[1]
+            places.append(p[part].astype(np.int32) if heavy[x] else None)
+    few, many = [None] * len(names), [None] * len(b)
     return pa.table({
-        "a": pa.array(pairs[0].tolist() + few, pa.int64()), "b": pa.array(pairs[1].tolist() + few, pa.int64()),
+        **{c: pa.array(x.tolist() + few, pa.int64()) for c, x in (("b", b), ("lo", lo), ("hi", hi))},
         "list": pa.array(many + names, pa.int64()), "heavy": pa.array(many + flags, pa.bool_()),
         "nodes": pa.array(many + nodes, pa.list_(pa.int64())), "places": pa.array(many + places, pa.list_(pa.int32())),
     })
@@ -193,20 +192,34 @@ def _round(listed: DataFrame, depth: int) -> DataFrame:
     buckets = max(2 * partitions(listed.sparkSession), int(total // BUCKET_ROWS) + 1)
     kinds = ", ".join(f"{c} binary" for c in WIDTHS)
     blocks = listed.mapInArrow(_emit(depth, buckets), f"bucket long, {kinds}")
-    return materialise(blocks.groupBy("bucket").applyInArrow(_meet, FOUND))
+    return materialise(blocks.groupBy("bucket").applyInArrow(_meet, FOUND), last=True)
 
 
-def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """classes: node, n, parity, prefix (packed). Pairs (a < b) to verify, and lists (list, node) of many likely pairs."""
+def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """classes: node (0 or more), n, parity, prefix (packed). Written tables, from which every pair of similar sets can be had:
+    stars (a, b, more): each set b with lesser partners, the least of them, and whether there are more;
+    pairs (a, b): the least partners by list, with repeats; lists (list, nodes): sets with partners, three or more."""
     narrow = ["node", "n", "parity", "prefix"]
-    found = _round(classes.select(*narrow), 1)
-    pairs, dense, depth = found.filter("a is not null").select("a", "b"), found.filter("not heavy"), 1
-    while depth < DEPTH and not (heavy := found.filter("heavy")).isEmpty():
+    found = [_round(classes.select(*narrow), 1)]
+    while len(found) < DEPTH and not (heavy := found[-1].filter("heavy")).isEmpty():
         member = F.arrays_zip("nodes", "places")
         members = heavy.select(F.col("list").alias("key"), F.explode(member).alias("m")).select("key", F.col("m.nodes").alias("node"), F.col("m.places").alias("place"))
-        depth += 1
-        found = _round(members.join(classes.select(*narrow), "node"), depth)
-        pairs, dense = pairs.union(found.filter("a is not null").select("a", "b")), dense.union(found.filter("not heavy"))
-    dense = dense.union(found.filter("heavy"))
-    # Lists of one name from several buckets are the same; the chunks of one list differ in their nodes.
-    return pairs.distinct(), dense.select("list", F.explode("nodes").alias("node")).distinct()
+        found.append(_round(members.join(classes.select(*narrow), "node"), len(found) + 1))
+    pairs, lists = found[0].filter("b is not null").select("b", "lo", "hi"), found[-1].filter("heavy")
+    for x in found[1:]:
+        pairs = pairs.union(x.filter("b is not null").select("b", "lo", "hi"))
+    for x in found:
+        lists = lists.union(x.filter("not heavy"))
+    # A list that is too long even under DEPTH tokens has no partners yet: its members ask its least one.
+    deep = found[-1].filter("heavy")
+    if not deep.isEmpty():
+        deep = deep.select("list", F.explode("nodes").alias("b"))
+        heads = deep.groupBy("list").agg(F.min("b").alias("lo"), F.max("b").alias("hi"))
+        pairs = pairs.union(deep.join(heads, "list").filter("b > lo").select("b", "lo", "hi"))
+    stars = pairs.groupBy("b").agg(F.min("lo").alias("a"), F.max("hi").alias("hi")).select("a", "b", (F.col("a") < F.col("hi")).alias("more"))
+    return materialise(stars), pairs.select(F.col("lo").alias("a"), "b"), lists.select("list", "nodes")
+
+
+def members_of(lists: DataFrame) -> DataFrame:
+    """list, node: equal lists from several buckets once; a long list is in several pieces."""
+    return lists.dropDuplicates(["list", "nodes"]).select("list", F.explode("nodes").alias("node"))

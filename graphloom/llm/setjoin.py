@@ -1,63 +1,25 @@
-"""Exact self-join of token sets at Jaccard >= 4/5, shared by the n-gram join and the line dedup.
+"""T-occurrence searches by DivideSkip over inverted lists of token sets (Jaccard >= 4/5), and connected components.
 
-1. `rarity`: one pass counts all tokens in a sketch of CELLS counters (fixed size); a token is the rounded logarithm of
-   its count followed by its hash (`ranked`), so sorted sets are in rarity order and their prefixes come first. Any fixed
-   order is exact, a rarer-first one keeps the lists below short.
-2. Similar sets share at least c of their first n - ceil(4n/5) + c tokens (prefix filter), c = common(n).
-   `posting_lists` brings prefixes together by token: packed arrays, one block per bucket of token hashes.
-3. Star round (`star_tasks`): in each list every set is paired with the list's first set if lengths and places allow.
-   Pairs that meet in fewer than c lists are dropped. Exact for lists of two: if such a pair meets in longer lists too,
-   step 4 sees it, else its prefixes have too little in common.
-4. `open_tasks`: the longer lists that the first round leaves open go on, as groups of candidates, without the sets that
-   are in fewer than c lists altogether; lists that it has brought into one component (or given an earlier partner each)
-   are done. So copies of one text never expand into all pairs, and no link between components is lost.
-
-Both rounds decide by T-occurrence searches (`Index.similar`): DivideSkip over the inverted lists of a task's whole sets.
-Tokens hold 56 bits of hash; a wrong count needs a collision inside one pair of sets.
+`Index.similar` divides the lists of a query's tokens: the long ones are set aside, the short ones are merged with a heap
+that skips members which can not reach the bar, and what is left is looked up in the long ones by binary probes, dropping
+members on the way whose overlap has become out of reach.
 """
 
 from __future__ import annotations
 
 import heapq
 from bisect import bisect_left
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialise, partitions, pieces
+from graphloom.llm import prefixjoin
+from graphloom.llm.common import discard, materialise, partitions
 
-CELLS_LOG2 = 20
-SLABS = 64
-#: Places in a prefix are kept in 16 bits; from here on the positional filter lets a pair pass.
-FAR = 65_535
-#: Prefixes are dealt out in pieces of this size, which bounds the arrays beside them.
-PIECE_BYTES = 2**22
-#: Short lists with more entries than this are merged by counting in an array, and long lists that hold fewer entries than
-#: there would be probes are read through; both give what heap and probes give, without a Python step per entry.
-HEAP_ENTRIES = 2000
-#: Candidates that share a task with their pivot's set.
+#: Candidates that share a task with the set that asks among them.
 PER_TASK = 2000
-#: Up to so many documents are named by broadcast (some 50 MB); more are joined by shuffle.
-BROADCAST_KEYS = 150_000
-
-
-def need(n):
-    """Least overlap that a set of n tokens has with a similar one."""
-    return (4 * n + 4) // 5
-
-
-def common(n):
-    """Tokens that the prefixes of a set of n tokens and of a similar one have in common at least."""
-    return np.maximum(n // 10, 1)
-
-
-def prefix_length(n: int) -> int:
-    return n - need(n) + max(n // 10, 1)
 
 
 def may_be_similar(n, m):
@@ -65,154 +27,6 @@ def may_be_similar(n, m):
     return 5 * np.minimum(n, m) >= 4 * np.maximum(n, m)
 
 
-def places_allow(n, i, m, j):
-    """Positional filter: sets of n and m tokens that share the token at places i and j of their orders have at most
-    min(i, j) common tokens before it and as many behind it as the shorter rest holds."""
-    most = np.minimum(i, j) + 1 + np.minimum(n - i - 1, m - j - 1)
-    return (most >= -(-4 * (n.astype(np.int64) + m) // 9)) | (np.maximum(i, j) >= FAR)
-
-
-def count_cells(tokens_of):
-    """mapInArrow function: a partition's token counts by cell, in SLABS packed pieces."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(2**CELLS_LOG2, np.int64)
-        for batch in batches:
-            for part in pieces(batch, "text", 2 * PIECE_BYTES):
-                found = [tokens_of(text.as_py()) for text in part.column("text")]
-                cells = (np.concatenate(found) >> np.uint64(64 - CELLS_LOG2)).astype(np.int64)
-                counts += np.bincount(cells, minlength=len(counts))
-        slabs = np.minimum(counts, 2**32 - 1).astype(np.uint32).reshape(SLABS, -1)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(SLABS), pa.int32()), pa.array([s.tobytes() for s in slabs], pa.binary())], ["slab", "counts"]
-        )
-
-    return run
-
-
-def _sum_slabs(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(2**CELLS_LOG2 // SLABS, np.float64)
-    for x in pdf["counts"]:
-        total += np.frombuffer(x, np.uint32)
-    order = np.floor(2 * np.log2(total + 1)).astype(np.uint8)
-    return pd.DataFrame({"slab": [pdf["slab"].iloc[0]], "part": [pdf["part"].iloc[0]], "counts": [total.astype(np.float64).tobytes()], "ord": [order.tobytes()]})
-
-
-def _sum_again(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x, np.float64) for x in pdf["counts"])
-    return pd.DataFrame({"slab": [pdf["slab"].iloc[0]], "ord": [np.floor(2 * np.log2(total + 1)).astype(np.uint8).tobytes()]})
-
-
-def rarity(docs: DataFrame, tokens_of):
-    """Broadcast array of CELLS order classes (1 MB whatever the input)."""
-    spark = docs.sparkSession
-    parts = docs.mapInArrow(count_cells(tokens_of), "slab int, counts binary").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(16)))
-    some = parts.groupBy("slab", "part").applyInPandas(_sum_slabs, "slab int, part int, counts binary, ord binary")
-    rows = some.groupBy("slab").applyInPandas(_sum_again, "slab int, ord binary").collect()
-    order = np.zeros((SLABS, 2**CELLS_LOG2 // SLABS), np.uint8)
-    for r in rows:
-        order[r["slab"]] = np.frombuffer(r["ord"], np.uint8)
-    return spark.sparkContext.broadcast(order.reshape(-1))
-
-
-def ranked(hashes: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Tokens whose natural order is the rarity order: the class of the count in the first byte, 56 bits of hash behind."""
-    classes = order[hashes >> np.uint64(64 - CELLS_LOG2)].astype(np.uint64)
-    return (classes << np.uint64(56)) | (hashes >> np.uint64(8))
-
-
-def signature(tokens: np.ndarray) -> bytes:
-    """128-bit name of a sorted token set."""
-    return xxhash.xxh3_128_digest(tokens.tobytes())
-
-
-def posting_lists(classes: DataFrame, kind: type = np.uint64) -> DataFrame:
-    """classes: node (long), n (int), prefix (packed tokens of that kind). Per bucket: pairs of a list's first set and
-    another one (a, b) with the lists they met in, those of them with no third member, and the meetings asked for; and
-    the longer lists (by name of their members) with nodes, the meetings each asks for, and how often they occur."""
-    spark = classes.sparkSession
-    width = np.dtype(kind).itemsize
-    total = classes.agg(F.sum(F.octet_length("prefix")) / width).first()[0] or 0
-    buckets = max(2 * partitions(spark), int(total // 1_000_000) + 1)
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in pieces(whole, "prefix", PIECE_BYTES)):
-            lengths = [len(x.as_py()) // width for x in batch.column("prefix")]
-            tokens = np.frombuffer(b"".join(x.as_py() for x in batch.column("prefix")), kind)
-            nodes = np.repeat(batch.column("node").to_numpy(), lengths)
-            ns = np.repeat(batch.column("n").to_numpy(), lengths)
-            bucket = ((tokens >> kind(8)) % kind(buckets)).astype(np.int32)
-            places = np.concatenate([np.arange(k) for k in lengths]) if lengths else np.array([], int)
-            places = np.minimum(places, FAR).astype(np.uint16)
-            by = np.argsort(bucket, kind="stable")
-            bucket, tokens, nodes, ns, places = bucket[by], tokens[by], nodes[by], np.minimum(ns[by], 2**31 - 1).astype(np.int32), places[by]
-            cuts = np.flatnonzero(np.diff(bucket)) + 1
-            starts = np.concatenate([[0], cuts]) if len(bucket) else np.array([], int)
-            ends = np.concatenate([cuts, [len(bucket)]]) if len(bucket) else np.array([], int)
-            # Byte planes: the high bytes of numbers in a block are alike and compress away.
-            planes = lambda x: x.view(np.uint8).reshape(len(x), -1).T.tobytes()
-            pack = lambda x: pa.array([planes(x[s:e]) for s, e in zip(starts, ends, strict=True)], pa.binary())  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[starts] if len(starts) else [], pa.int32()), pack(tokens), pack(nodes), pack(ns), pack(places)], ["bucket", "t", "d", "n", "p"]
-            )
-
-    blocks = classes.select("node", "n", "prefix").mapInArrow(emit, "bucket int, t binary, d binary, n binary, p binary")
-    return blocks.groupBy("bucket").applyInArrow(lambda x: _lists(x, kind), LISTS)
-
-
-def _lists(blocks: pa.Table, kind: type) -> pa.Table:
-
-    def whole(name: str, kind: type) -> np.ndarray:
-        width = np.dtype(kind).itemsize
-        planes = (np.frombuffer(x.as_py(), np.uint8).reshape(width, -1) for x in blocks.column(name))
-        return np.ascontiguousarray(np.concatenate([x.T for x in planes])).view(kind).reshape(-1)
-
-    t, d, n, p = whole("t", kind), whole("d", np.int64), whole("n", np.int32), whole("p", np.uint16).astype(np.int64)
-    by = np.lexsort((d, t))
-    t, d, n, p = t[by], d[by], n[by], p[by]
-    same = t[1:] == t[:-1]
-    inside = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    t, d, n, p = t[inside], d[inside], n[inside], p[inside]
-    starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.array([], int)
-    ends = np.concatenate([starts[1:], [len(t)]]) if len(t) else starts
-    pairs: dict[tuple[int, int], list[int]] = {}
-    lists: dict[int, list] = {}
-    least = common(n)
-    fits = may_be_similar(n, np.repeat(n[starts], ends - starts)) if len(t) else np.zeros(0, bool)
-    if len(t):
-        head = np.repeat(starts, ends - starts)
-        fits &= places_allow(n, p, n[head], p[head])
-        least_pair = np.minimum(least, least[head])
-    for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-        two = e - s == 2
-        if not two:
-            name = xxhash.xxh3_64_intdigest(d[s:e].tobytes()) - 2**63
-            if name in lists:
-                lists[name][2] += 1
-            else:
-                # A partner has at least 4/5 of the tokens, so it may ask for less.
-                lists[name] = [d[s:e], common(need(n[s:e])), 1]
-        first = int(d[s])
-        for k in range(s + 1, e):
-            if fits[k]:
-                found = pairs.setdefault((first, int(d[k])), [0, 0, int(least_pair[k])])
-                found[0] += 1
-                found[1] += two
-    none, gap = [None] * len(pairs), [None] * len(lists)
-    column = lambda i, kind: pa.array([x[i] for x in pairs.values()] + gap, kind)
-    return pa.table({
-        "a": pa.array([x[0] for x in pairs] + gap, pa.int64()), "b": pa.array([x[1] for x in pairs] + gap, pa.int64()),
-        "met": column(0, pa.int32()), "alone": column(1, pa.int32()), "least": column(2, pa.int32()),
-        "list": pa.array(none + list(lists), pa.int64()),
-        "nodes": pa.array(none + [x[0] for x in lists.values()], pa.list_(pa.int64())),
-        "leasts": pa.array(none + [x[1].astype(np.int32) for x in lists.values()], pa.list_(pa.int32())),
-        "times": pa.array(none + [x[2] for x in lists.values()], pa.int32()),
-    })
-
-
-LISTS = "a long, b long, met int, alone int, least int, list long, nodes array<long>, leasts array<int>, times int"
-
-
 class Index:
     """Inverted lists over some sets (sorted token arrays), for T-occurrence searches."""
 
@@ -226,26 +40,16 @@ class Index:
         self.tokens = tokens[self.starts]
         self.ends = np.concatenate([self.starts[1:], [len(tokens)]])
 
-    def _entries(self, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The members of some lists one after the other, and the number of the list of each."""
-        sizes = self.ends[lists] - self.starts[lists]
-        which = np.repeat(np.arange(len(lists)), sizes)
-        return self.owner[np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + self.starts[lists][which]], which
-
-    def similar(self, query: np.ndarray, own: int = -1) -> list[int]:
-        """Members whose Jaccard similarity with the query is at least 4/5, by DivideSkip; own: the query's own number."""
+    def similar(self, query: np.ndarray) -> list[int]:
+        """Members whose Jaccard similarity with the query is at least 4/5, by DivideSkip."""
         n = len(query)
         fits = may_be_similar(self.sizes, n)
-        if own >= 0:
-            fits[own] = False
         if not fits.any():
             return []
         wanted = -(-4 * (n + self.sizes) // 9)
         least = int(wanted[fits].min())
         at = np.searchsorted(self.tokens, query)
         at = at[(at < len(self.tokens)) & (self.tokens[np.minimum(at, len(self.tokens) - 1)] == query)]
-        lengths = self.ends[at] - self.starts[at]
-        at = at[lengths > (own >= 0)]  # a list with nothing but the query itself can not help
         if len(at) < least:
             return []
         at = at[np.argsort(self.ends[at] - self.starts[at], kind="stable")]
@@ -253,29 +57,19 @@ class Index:
         apart = min(least - 1, int(least / (0.01 * np.log2(longest + 1) + 1)), len(at) - 1)
         short, long = at[: len(at) - apart], at[len(at) - apart :]
         bar = least - apart
-        entries, _ = self._entries(short)
-        if len(entries) <= HEAP_ENTRIES:
-            found = merge_skip([self.owner[self.starts[x] : self.ends[x]].tolist() for x in short], bar)
-            members, counts = np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
-        else:
-            seen = np.bincount(entries, minlength=len(self.sizes))
-            members = np.flatnonzero(seen >= bar)
-            counts = seen[members]
+        found = merge_skip([self.owner[self.starts[x] : self.ends[x]].tolist() for x in short], bar)
+        members, counts = np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
         kept = fits[members]
         members, counts = members[kept], counts[kept]
-        if not len(members):
-            return []
-        if len(long):
-            entries, which = self._entries(long)
-            m = len(self.sizes)
-            if len(members) * len(long) > len(entries):
-                counts = counts + np.bincount(entries, minlength=m)[members]
-            else:
-                # Binary probes into the long lists, all at once: their entries as sorted keys (list, member).
-                keys = which * m + entries
-                probe = (np.arange(len(long)) * m)[None, :] + members[:, None]
-                k = np.searchsorted(keys, probe)
-                counts = counts + ((k < len(keys)) & (keys[np.minimum(k, len(keys) - 1)] == probe)).sum(1)
+        # Binary probes into the long lists, each for all members that can still reach their overlap.
+        for left, x in zip(range(len(long), 0, -1), long, strict=True):
+            able = counts + left >= wanted[members]
+            members, counts = members[able], counts[able]
+            if not len(members):
+                return []
+            entries = self.owner[self.starts[x] : self.ends[x]]
+            k = np.searchsorted(entries, members)
+            counts = counts + (entries[np.minimum(k, len(entries) - 1)] == members)
         return np.sort(members[counts >= wanted[members]]).tolist()
 
 
@@ -311,116 +105,32 @@ def divide_skip(query: np.ndarray, sets: list[np.ndarray]) -> list[int]:
     return Index(sets).similar(query)
 
 
-def meetings(found: DataFrame) -> DataFrame:
-    """a, b, met, alone, least over all buckets."""
-    pairs = found.filter("list is null").groupBy("a", "b")
-    return pairs.agg(F.sum("met").alias("met"), F.sum("alone").alias("alone"), F.min("least").alias("least"))
-
-
-def star_tasks(met: DataFrame) -> DataFrame:
-    """key, node, mark of the searches that verify pairs (a, b): a asks (mark 0) among at most about PER_TASK b."""
-    pairs = met.filter("met >= least").select("a", "b")
+def search(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar. sets: node, tokens (packed). Each a asks among its b, at most about PER_TASK of
+    them in one task, so each of its sets is shipped once for that task; tasks are bundled into groups."""
+    spark = pairs.sparkSession
     sizes = pairs.groupBy("a").agg(F.count("*").alias("m"))
-    spread = pairs.join(sizes, "a").select(
-        F.xxhash64("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / PER_TASK))).alias("key"), "a", "b"
-    )
-    asks = spread.select("key", F.col("a").alias("node"), F.lit(0).cast("long").alias("mark")).distinct()
-    return asks.union(spread.select("key", F.col("b").alias("node"), F.lit(1).cast("long").alias("mark")))
-
-
-def open_tasks(found: DataFrame, met: DataFrame, status: DataFrame, later_only: bool) -> DataFrame:
-    """key, node, mark of the searches that decide what the first round has left open in the longer lists.
-
-    status: node, mark, head. later_only False: marks are component labels, and lists within one component are closed.
-    True: a set with mark 1 has its earlier partner, and lists without others are closed. Lists whose first sets have the
-    same head (component, or earliest partner) share a task; more than PER_TASK members are dealt into blocks, one task
-    for each two blocks."""
-    lists = found.filter("list is not null")
-    every = lists.select(F.explode(F.arrays_zip("nodes", "leasts")).alias("m"), "times").select(
-        F.col("m.nodes").alias("node"), F.col("m.leasts").alias("least"), "times"
-    )
-    two = met.filter("alone > 0")
-    in_two = two.select(F.col("a").alias("node"), F.lit(2**31 - 1).alias("least"), F.col("alone").alias("times"))
-    in_two = in_two.union(two.select("b", F.lit(2**31 - 1), "alone"))
-    enough = every.union(in_two).groupBy("node").agg(F.sum("times").alias("t"), F.min("least").alias("l")).filter("t >= l").select("node")
-    members = lists.dropDuplicates(["list"]).select("list", F.col("nodes")[0].alias("head_node"), F.explode("nodes").alias("node"))
-    members = members.join(enough, "node")
-    heads = status.select(F.col("node").alias("head_node"), "head")
-    members = members.join(heads, "head_node", "left").withColumn("home", F.coalesce("head", "head_node"))
-    marked = members.join(status.select("node", "mark"), "node", "left").withColumn("mark", F.coalesce("mark", F.lit(0) if later_only else F.col("node")))
-    late = F.when(F.col("node") > F.col("head_node"), F.col("mark"))
-    spread = marked.groupBy("list").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi"), F.min(late).alias("rest"))
-    open_lists = spread.filter("rest = 0" if later_only else "lo <> hi").select("list")
-    rows = marked.join(open_lists, "list").select("home", "node", "mark").distinct()
-    sizes = rows.groupBy("home").agg(F.ceil(F.count("*") / PER_TASK).alias("blocks"))
-    dealt = rows.join(sizes, "home").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    both = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(F.least("block", x).alias("i"), F.greatest("block", x).alias("j")))
-    return dealt.withColumn("t", F.explode(both)).select(F.xxhash64("home", "t.i", "t.j").alias("key"), "node", "mark")
-
-
-def bundles_for(tasks: DataFrame) -> int:
-    return max(4 * partitions(tasks.sparkSession), int(tasks.count() // PER_TASK) + 1)
-
-
-def search(shipped: DataFrame, bundles: int, by_component: bool) -> DataFrame:
-    """What the tasks find, as pairs (a < b). shipped: key, node, mark, tokens (packed sorted set), each task's members.
-
-    by_component: all that are not of a task's largest component ask; the task's links are given as stars of the sets that
-    they connect, so a group of copies gives one row per member. Otherwise marks of 0 ask, and every later set is given once
-    with its earliest partner in the task. A bundle of tasks is one group."""
-    rows = shipped.select(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(bundles).cast("long")).alias("bundle"), "key", "node", "mark", "tokens")
-
-    def connect(index: Index, members: list[np.ndarray], mark: np.ndarray) -> list[tuple[int, int]]:
-        up = np.unique(mark, return_inverse=True)[1].tolist()  # component of each member, as far as known
-        kinds, number = np.unique(mark, return_counts=True)
-        many, out = len(kinds), []
-        owner = {}
-
-        def root(i: int) -> int:
-            while owner.get(i, i) != i:
-                i = owner[i]
-            return i
-
-        largest = int(np.argmax(number))
-        for i in np.flatnonzero(mark != kinds[largest]).tolist():
-            if many == 1:
-                break
-            # Whoever has come to the largest component need not ask: a set outside it that is similar asks itself.
-            if root(up[i]) == root(largest):
-                continue
-            for j in index.similar(members[i], own=i):
-                x, y = root(up[i]), root(up[j])
-                if x != y:
-                    owner[x] = y
-                    many -= 1
-                    out.append((i, j))
-        return out
-
-    def earliest(index: Index, members: list[np.ndarray], mark: np.ndarray) -> list[tuple[int, int]]:
-        best: dict[int, int] = {}
-        for i in np.flatnonzero(mark == 0).tolist():
-            for j in index.similar(members[i], own=i):
-                low, high = min(i, j), max(i, j)
-                best[high] = min(low, best.get(high, low))
-        return [(low, high) for high, low in best.items()]
+    dealt = pairs.join(sizes, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / PER_TASK)))
+    bundles = max(4 * partitions(spark), int(pairs.count() // PER_TASK) + 1)
+    asks = dealt.select("a", "part", F.col("a").alias("node"), F.lit(0).alias("mark")).distinct()
+    members = asks.union(dealt.select("a", "part", F.col("b").alias("node"), F.lit(1)))
+    bundle = F.pmod(F.xxhash64("a", "part", F.lit(3)), F.lit(bundles).cast("long")).alias("bundle")
+    shipped = members.join(sets.select("node", "tokens"), "node").select(bundle, "a", "part", "node", "mark", "tokens")
 
     def run(table: pa.Table) -> pa.Table:
-        key, node, mark = (table.column(c).to_numpy() for c in ("key", "node", "mark"))
+        a, part, node, mark = (table.column(c).to_numpy() for c in ("a", "part", "node", "mark"))
         tokens = table.column("tokens")
-        by = np.lexsort((node, key))
-        cuts = np.flatnonzero(np.diff(key[by])) + 1
-        a, b = [], []
-        for mine in np.split(by, cuts):
-            if len(mine) < 2:
-                continue
-            members = [np.frombuffer(tokens[int(i)].as_py(), np.uint64) for i in mine]
-            for i, j in (connect if by_component else earliest)(Index(members), members, mark[mine]):
-                x, y = int(node[mine[i]]), int(node[mine[j]])
-                a.append(min(x, y))
-                b.append(max(x, y))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        by = np.lexsort((node, mark, part, a))
+        new = (a[by][1:] != a[by][:-1]) | (part[by][1:] != part[by][:-1])
+        one, two = [], []
+        for mine in np.split(by, np.flatnonzero(new) + 1):
+            query, *members = (prefixjoin.unpack(tokens[int(i)].as_py()) for i in mine)
+            found = Index(members).similar(query) if members else []
+            one += [int(a[mine[0]])] * len(found)
+            two += [int(node[mine[j + 1]]) for j in found]
+        return pa.table({"a": pa.array(one, pa.int64()), "b": pa.array(two, pa.int64())})
 
-    return rows.groupBy("bundle").applyInArrow(run, "a long, b long").filter("a <> b").distinct()
+    return shipped.groupBy("bundle").applyInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -431,9 +141,11 @@ def components(edges: DataFrame) -> DataFrame:
     labels = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("mark")).withColumnRenamed("a", "node"))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "mark"), "b").groupBy("a").agg(F.min("mark").alias("m"))
-        low = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("mark").alias("old"), F.least("mark", "m").alias("mark"))
+        low = labels.select("node", "mark").join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("mark").alias("old"), F.least("mark", "m").alias("mark"))
         jump = labels.select(F.col("node").alias("mark"), F.col("mark").alias("up"))
         new = materialise(low.join(jump, "mark", "left").select("node", "old", F.least("mark", F.coalesce("up", "mark")).alias("mark")))
+        last, labels = labels, new
+        discard(last)
         if new.filter("mark <> old").isEmpty():
+            discard(both)
             return new.select("node", "mark")
-        labels = new.select("node", "mark")
