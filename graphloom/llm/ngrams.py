@@ -4,8 +4,9 @@ Words are `[^\x20\x09-\x0D]+` of the text with A-Z lower-cased; a document's set
 whole word sequence where it has fewer words). Documents link when 100 * |intersection| >= 80 * |union|; a component is
 what links reach. Equal sets are one class. prefixjoin brings candidates together, and every candidate is decided by a
 DivideSkip T-occurrence search over the inverted lists of whole sets (setjoin). First each class is asked for by its least
-candidate; then, in lists whose members are not in one component yet, those apart from the least member ask the members of
-other components. So groups of copies never expand into all pairs. Components come from label propagation.
+candidate; then, in lists whose members are not in one component yet, those apart from the least member ask members of
+other components, one each for ROUNDS rounds and all that are likely at last. So groups of copies never expand into all
+pairs. Components come from label propagation.
 
 Sets are compared by 50-bit hashes of their shingles and classes by 128-bit names, so a wrong result needs a collision.
 Texts without words, and null texts, have an empty set and stay alone. Null or repeated doc_ids are allowed (a component's
@@ -27,6 +28,8 @@ from graphloom.llm.common import discard, materialise, pieces, rarity, small_eno
 from graphloom.llm.words import Words, mix, names_of, ranked, sets_of
 
 WORDS = 5
+#: Rounds in which sets left apart ask one more partner each, before all that is left is asked.
+ROUNDS = 2
 #: Odd multiplier of the polynomial over word hashes (fixed, so that all executors agree).
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -67,7 +70,7 @@ def token_sets(texts: list[bytes], rank: np.ndarray) -> tuple[np.ndarray, np.nda
     return sets_of(ranked(found, rank), sizes)
 
 
-ROWS = "doc_id long, th long, s1 long, s2 long, n int, parity long, prefix binary"
+ROWS = "doc_id long, th long, s1 long, s2 long, n int, parity binary, prefix binary"
 
 
 def _rows(order):
@@ -75,13 +78,15 @@ def _rows(order):
         rank = order.value
         for batch in (part for whole in batches for part in pieces(whole, "text", prefixjoin.PIECE_BYTES)):
             tokens, counts = token_sets([x.as_py() for x in batch.column("text")], rank)
-            s1, s2, parity = (np.zeros(len(counts), np.int64) for _ in range(3))
+            s1, s2 = (np.zeros(len(counts), np.int64) for _ in range(2))
             full = counts > 0
-            s1[full], s2[full], parity[full] = names_of(tokens, counts[full])
+            s1[full], s2[full] = names_of(tokens, counts[full])
+            at = np.where(full, np.cumsum(full) - 1, -1)
+            parity = prefixjoin.parities(tokens, counts[full]).take(pa.array(at, pa.int64(), mask=~full))
             most = prefixjoin.prefix_length(counts)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), batch.column("th"), pa.array(s1), pa.array(s2), pa.array(counts, pa.int32()), pa.array(parity),
+                    batch.column("doc_id"), batch.column("th"), pa.array(s1), pa.array(s2), pa.array(counts, pa.int32()), parity,
                     prefixjoin.packed_array(tokens[prefixjoin.heads_of(counts, most)], most),
                 ],
                 [x.split()[0] for x in ROWS.split(", ")],
@@ -108,36 +113,43 @@ def ship(docs: DataFrame, wanted: DataFrame, order) -> DataFrame:
     return materialise(sets.dropDuplicates(["node"]), last=True)
 
 
-def open_pairs(pairs: DataFrame, members: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) of likely partners that are not in one component: of `pairs`, and of sets that share a list (list, node),
-    where whoever is in another component than its list's least member asks the others."""
+def open_pairs(pairs: DataFrame, members: DataFrame, classes: DataFrame, labels: DataFrame, asked: DataFrame) -> DataFrame:
+    """Pairs (a, b) of likely partners not asked yet that are not in one component: of `pairs`, and of sets that share a list
+    (list, node), where whoever is in another component than its list's least member asks the others."""
     marks = classes.select("node", "n", "parity").join(labels, "node", "left").withColumn("mark", F.coalesce("mark", "node"))
-    marked = members.join(marks, "node")
+    marked = members.join(marks.select("node", "mark"), "node")
     home = marked.groupBy("list").agg(F.min(F.struct("node", "mark")).alias("h"), F.max("mark").alias("most"), F.min("mark").alias("least"))
     home = home.filter("least < most").select("list", F.col("h.mark").alias("home"))
-    marked = materialise(marked.join(home, "list"))
+    marked = materialise(members.join(home, "list").join(marks, "node"))
     apart = marked.filter("mark <> home").select("list", F.col("node").alias("a"), F.col("mark").alias("k"), F.col("n").alias("m"), F.col("parity").alias("q"))
-    allowed = (5 * F.least("n", "m") >= 4 * F.greatest("n", "m")) & (9 * F.bit_count(F.col("parity").bitwiseXOR(F.col("q"))) <= F.col("n") + F.col("m"))
-    listed = marked.join(apart, "list").filter((F.col("mark") != F.col("k")) & allowed).select("a", F.col("node").alias("b"))
+    listed = marked.join(apart, "list").filter("mark <> k and 5 * least(n, m) >= 4 * greatest(n, m)")
+    listed = listed.select("a", F.col("node").alias("b"), "n", "m", F.col("parity").alias("p"), "q").mapInArrow(prefixjoin.likely, "a long, b long")
     one, two = (labels.select(F.col("node").alias(x), F.col("mark").alias(f"mark_{x}")) for x in "ab")
-    direct = pairs.distinct().join(one, "a", "left").join(two, "b", "left").filter("coalesce(mark_a, a) <> coalesce(mark_b, b)").select("a", "b")
-    return materialise(listed.union(direct).distinct())
+    direct = pairs.join(one, "a", "left").join(two, "b", "left").filter("coalesce(mark_a, a) <> coalesce(mark_b, b)").select("a", "b")
+    both = listed.union(direct).select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct()
+    return materialise(both.join(asked, ["a", "b"], "left_anti"))
 
 
 def class_labels(docs: DataFrame, classes: DataFrame, order) -> DataFrame:
     """node, mark (least node of its component) of every class that has a similar one."""
     stars, pairs, lists = prefixjoin.candidates(classes)
+    pairs, members = materialise(pairs.distinct()), materialise(prefixjoin.members_of(lists))
     both = F.explode(F.array("a", "b")).alias("node")
-    sets = ship(docs, classes.select("node", "first").join(stars.select(both).distinct(), "node"), order)
-    links = materialise(setjoin.search(stars.select("a", "b"), sets), last=True)
+    wanted = stars.select(both).distinct().union(members.select("node")).union(pairs.select(both)).distinct()
+    sets = ship(docs, classes.select("node", "first").join(wanted, "node"), order)
+    asked = stars.select("a", "b")
+    links = materialise(setjoin.search(asked, sets), last=True)
     labels = setjoin.components(links)
-    pairs = open_pairs(pairs, prefixjoin.members_of(lists), classes, labels).join(stars, ["a", "b"], "left_anti")
-    if pairs.isEmpty():
-        return labels
-    more = pairs.select(both).distinct().join(sets, "node", "left_anti")
-    if not more.isEmpty():
-        sets = sets.union(ship(docs, classes.select("node", "first").join(more, "node"), order))
-    return setjoin.components(links.union(materialise(setjoin.search(pairs, sets))))
+    for left in reversed(range(ROUNDS + 1)):
+        still = open_pairs(pairs, members, classes, labels, asked)
+        if still.isEmpty():
+            break
+        if left:  # one partner each first; what that joins need not ask again
+            still = materialise(still.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        links = links.union(materialise(setjoin.search(still, sets), last=True))
+        asked = asked.union(still)
+        labels = setjoin.components(links)
+    return labels
 
 
 def _components(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ first n / 5 + 2, and so on. Each set is listed under its prefix tokens, and pair
 
 * the lengths allow it (5 * min >= 4 * max; lists are in the order of length, so a scan ends early),
 * the places of the token allow enough overlap,
-* and their parity bits (one bit per token, summed modulo 2) differ in no more places than the sets may differ in tokens.
+* and their parity bits (one bit per token, summed modulo 2; 64, 256 or 1024 of them by the size of the set) differ in no
+  more places than the sets may differ in tokens.
 
 A list of more than LIMIT sets is dealt out again under its token together with the next prefix tokens, up to DEPTH
 tokens deep. What is given back grows with the memberships, never with the pairs: every set with its least partner in each list,
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import materialise, partitions, pieces
-from graphloom.llm.words import mix
+from graphloom.llm.words import HASH, mix
 
 LIMIT = 2048
 DEPTH = 3
@@ -73,7 +74,58 @@ def _planes(x: np.ndarray, width: int) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1)[:, :width]
 
 
-WIDTHS = {"t": (np.uint64, 5), "d": (np.int64, 8), "n": (np.int32, 4), "p": (np.uint16, 2), "s": (np.int64, 8)}
+WIDTHS = {"t": (np.uint64, 5), "d": (np.int64, 8), "n": (np.int32, 4), "p": (np.uint16, 2)} | {f"s{k}": (np.uint64, 8) for k in range(4)}
+
+
+def parity_words(n):
+    """Words of 64 parity bits that a set of n tokens keeps; more tokens need more, to tell unlike sets apart."""
+    return np.where(n <= 80, 1, np.where(n <= 400, 4, 16))
+
+
+def parities(tokens: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Binary array of the parity words of some sets (none empty). Fewer words are the sums of more, by number modulo their count."""
+    h = mix(tokens & np.uint64(2**HASH - 1))
+    bits = np.uint64(1) << (h >> np.uint64(58))
+    keep = parity_words(counts)
+    starts = np.cumsum(keep) - keep
+    out = np.zeros(keep.sum(), np.uint64)
+    if len(counts):
+        one = keep == 1
+        whole = np.bitwise_xor.reduceat(bits, np.cumsum(counts) - counts)
+        out[starts[one]] = whole[one]
+        wide = np.repeat(~one, counts)
+        which = np.repeat(np.arange(len(counts)), counts)[wide]
+        word = ((h[wide] >> np.uint64(32)) & np.uint64(15)).astype(np.int64) % keep[which]
+        np.bitwise_xor.at(out, starts[which] + word, bits[wide])
+    offsets = np.append(starts, len(out)).astype(np.int32) * 8
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+
+
+def folded(raw: list[bytes], most: int) -> np.ndarray:
+    """The parity words of some sets, up to `most` of them each, with zeros behind."""
+    out = np.zeros((len(raw), most), np.uint64)
+    sizes = np.array([len(x) // 8 for x in raw])
+    for size in np.unique(sizes).tolist():
+        mine = np.flatnonzero(sizes == size)
+        words = np.frombuffer(b"".join([raw[i] for i in mine.tolist()]), np.uint64).reshape(len(mine), size)
+        if size > most:
+            words = np.bitwise_xor.reduce(words.reshape(len(mine), size // most, most), axis=1)
+        out[mine, : words.shape[1]] = words
+    return out
+
+
+def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: a, b of the rows (a, b, n, m, p, q; sizes and parities) that the parity bits allow."""
+    for batch in batches:
+        n, m = (batch.column(c).to_numpy().astype(np.int64) for c in "nm")
+        p, q = ([x.as_py() for x in batch.column(c)] for c in "pq")
+        ok = np.zeros(len(n), bool)
+        width = np.minimum(parity_words(n), parity_words(m))
+        for w in (1, 4, 16):
+            mine = np.flatnonzero(width == w)
+            one, two = (folded([x[i] for i in mine.tolist()], w) for x in (p, q))
+            ok[mine] = np.bitwise_count(one ^ two).sum(1) <= (n[mine] + m[mine]) // 9
+        yield batch.select(["a", "b"]).filter(pa.array(ok))
 
 
 def _emit(depth: int, buckets: int):
@@ -96,11 +148,12 @@ def _emit(depth: int, buckets: int):
                 tokens = tokens ^ mix(batch.column("key").to_numpy().view(np.uint64)[row])
             key = mix(tokens)
             bucket = (key % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
+            parity = folded([x.as_py() for x in batch.column("parity")], 4)
+            by = np.argsort(bucket * 2 + (parity_words(n)[row] > 1), kind="stable")  # zeros stay together
             bucket, row = bucket[by], row[by]
             columns = {
                 "t": key[by] >> np.uint64(24), "d": batch.column("node").to_numpy()[row], "n": np.minimum(n, 2**31 - 1).astype(np.int32)[row],
-                "p": np.minimum(place[by], FAR).astype(np.uint16), "s": batch.column("parity").to_numpy()[row],
+                "p": np.minimum(place[by], FAR).astype(np.uint16), **{f"s{k}": parity[:, k][row] for k in range(4)},
             }
             starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.empty(0, np.int64)
             ends = np.append(starts[1:], len(bucket))
@@ -129,11 +182,12 @@ def places_allow(n, i, m, j):
 
 
 def _meet(blocks: pa.Table) -> pa.Table:
-    t, d, n, p, s = (_whole(blocks, c) for c in WIDTHS)
+    t, d, n, p, *s = (_whole(blocks, c) for c in WIDTHS)
     n, p = n.astype(np.int64), p.astype(np.int64)
     bucket = int(blocks.column("bucket")[0].as_py())
     by = np.lexsort((n, t))
-    t, d, n, p, s = t[by], d[by], n[by], p[by], s[by].view(np.uint64)
+    t, d, n, p, s = t[by], d[by], n[by], p[by], np.stack(s, 1)[by]
+    folds, wide = np.bitwise_xor.reduce(s, axis=1), parity_words(n) > 1
     starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
     sizes = np.diff(np.append(starts, len(t)))
     which = np.repeat(np.arange(len(starts)), sizes)
@@ -147,8 +201,13 @@ def _meet(blocks: pa.Table) -> pa.Table:
         other = act + k
         fits = 5 * n[act] >= 4 * n[other]
         act, other = act[fits], other[fits]
-        good = places_allow(n[act], p[act], n[other], p[other]) & (np.bitwise_count(s[act] ^ s[other]) <= (n[act] + n[other]) // 9)
-        one, two = act[good], other[good]
+        most = (n[act] + n[other]) // 9
+        good = places_allow(n[act], p[act], n[other], p[other]) & (np.bitwise_count(folds[act] ^ folds[other]) <= most)
+        one, two, most = act[good], other[good], most[good]
+        both = np.flatnonzero(wide[one] & wide[two])
+        good = np.ones(len(one), bool)
+        good[both] = np.bitwise_count(s[one[both]] ^ s[two[both]]).sum(1) <= most[both]
+        one, two = one[good], two[good]
         hit[one] = True
         hit[two] = True
         swap = d[one] > d[two]

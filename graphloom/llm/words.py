@@ -91,13 +91,10 @@ def sets_of(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (np.concatenate(out) if out else np.empty(0, np.uint64)), counts
 
 
-def names_of(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per set (none empty): its 128-bit name as two longs (sums of mixed hashes) and its 64 parity bits."""
+def names_of(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per set (none empty): its 128-bit name as two longs, sums of mixed hashes."""
     if not len(counts):
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     starts = np.cumsum(counts) - counts
-    h = tokens & np.uint64(2**HASH - 1)
-    one = mix(h * _K[0] + _K[1])
-    two = mix(one + _K[2])
-    bits = np.uint64(1) << (two >> np.uint64(58))
-    return np.add.reduceat(one, starts).view(np.int64), np.add.reduceat(two, starts).view(np.int64), np.bitwise_xor.reduceat(bits, starts).view(np.int64)
+    one = mix((tokens & np.uint64(2**HASH - 1)) * _K[0] + _K[1])
+    return np.add.reduceat(one, starts).view(np.int64), np.add.reduceat(mix(one + _K[2]), starts).view(np.int64)

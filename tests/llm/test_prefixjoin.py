@@ -7,16 +7,16 @@ import pyarrow as pa
 import pytest
 
 from graphloom.llm import common, prefixjoin
-from graphloom.llm.words import HASH, names_of
+from graphloom.llm.words import HASH
 
-CLASSES = "node long, n int, parity long, prefix binary"
+CLASSES = "node long, n int, parity binary, prefix binary"
 
 
 def classes_of(spark, sets):
     arrays = [np.array(sorted(s), np.uint64) for s in sets]
     counts = np.array([len(a) for a in arrays])
-    _, _, parity = names_of(np.concatenate(arrays), counts)
-    rows = [(i, len(a), int(p), prefixjoin.pack(a[: int(prefixjoin.prefix_length(len(a)))])) for i, (a, p) in enumerate(zip(arrays, parity, strict=True))]
+    parity = prefixjoin.parities(np.concatenate(arrays), counts).to_pylist()
+    rows = [(i, len(a), p, prefixjoin.pack(a[: int(prefixjoin.prefix_length(len(a)))])) for i, (a, p) in enumerate(zip(arrays, parity, strict=True))]
     return spark.createDataFrame(rows, CLASSES).repartition(3)
 
 
@@ -48,6 +48,28 @@ def test_all_similar_pairs(spark, monkeypatch, limit, seed):
                 assert least[b] == a or (b in more and ((a, b) in pairs or together.get(a, set()) & together.get(b, set())))
 
 
+def test_parity_never_hides_similar_sets():
+    rng = random.Random(7)
+    sets = []
+    for n in (10, 70, 75, 85, 90, 300, 380, 420, 450, 2000):
+        base = rng.sample(range(10**6), n)
+        sets += [base, base[: -(-n * 9 // 10)], [*base[: n - n // 10], *range(10**7, 10**7 + n // 10)], rng.sample(range(10**6), n)]
+    arrays = [np.array(sorted(s), np.uint64) for s in sets]
+    sizes = np.array([len(a) for a in arrays])
+    words = prefixjoin.parities(np.concatenate(arrays), sizes).to_pylist()
+    assert [len(x) // 8 for x in words] == prefixjoin.parity_words(sizes).tolist()
+    at = [(i, j) for i in range(len(sets)) for j in range(len(sets))]
+    columns = {"a": [i for i, _ in at], "b": [j for _, j in at], "n": [len(sets[i]) for i, _ in at], "m": [len(sets[j]) for _, j in at]}
+    columns |= {"p": [words[i] for i, _ in at], "q": [words[j] for _, j in at]}
+    kept = {(r["a"], r["b"]) for out in prefixjoin.likely([pa.RecordBatch.from_pydict(columns)]) for r in out.to_pylist()}
+    for i, j in at:
+        one, two = set(sets[i]), set(sets[j])
+        if 5 * len(one & two) >= 4 * len(one | two):
+            assert (i, j) in kept
+    far = [(i, j) for i, j in at if not set(sets[i]) & set(sets[j]) and 5 * min(sizes[i], sizes[j]) >= 4 * max(sizes[i], sizes[j])]
+    assert sum(x in kept for x in far) < 0.1 * len(far)
+
+
 def test_packing():
     tokens = np.array([0, 1, 2**56 - 1, 2**50 + 7], np.uint64)
     assert prefixjoin.unpack(prefixjoin.pack(tokens)).tolist() == tokens.tolist()
