@@ -1,6 +1,6 @@
 """Operator 5: nearest neighbours by inner product with a forest of random-projection trees.
 
-Fit (driver): on at most SAMPLE vectors (by hash of vec_id; the documented bound), TREES complete trees are grown; a node
+Fit (driver): on at most SAMPLE vectors (those with the least hash; the documented bound), TREES complete trees are grown; a node
 splits at the median of its points' projections on the difference of two of them. The number of leaves a query visits is
 set on the sample too: the least that finds TARGET of the sample's true neighbours. Every vector is then indexed: it
 gets its leaf in each tree. A query walks all trees through one shared priority queue of margins until it has visited that
@@ -31,7 +31,7 @@ EVERY = 20
 SAMPLE = 20_000
 TREES = 6
 #: Vectors per leaf aimed at; depth is bounded so that the sample fills every leaf.
-LEAF = 3000
+LEAF = 500
 MAX_DEPTH = 12
 CELL_ROWS = 8000
 #: Share of true neighbours to be found on the sample; the contract asks for 0.9.
@@ -39,75 +39,93 @@ TARGET = 0.96
 TRIALS = 300
 
 
-class Forest:
-    def __init__(self, points: np.ndarray, depth: int, seed: int = 5):
-        self.depth, self.inner = depth, 2**depth - 1
-        dim = points.shape[1] if len(points) else 1
-        self.normals = np.zeros((TREES, self.inner, dim), np.float32)
-        self.cuts = np.zeros((TREES, self.inner), np.float32)
-        rng = np.random.default_rng(seed)
-        for t in range(TREES):
-            at = np.zeros(len(points), np.int64)
-            for node in range(self.inner):
-                mine = np.flatnonzero(at == node)
-                if len(mine) < 2:
-                    continue
-                a, b = points[rng.choice(mine, 2, replace=False)]
-                normal = (a - b) / max(float(np.linalg.norm(a - b)), 1e-9)
-                along = points[mine] @ normal
-                self.normals[t, node], self.cuts[t, node] = normal, np.median(along)
-                at[mine] = 2 * node + 1 + (along > self.cuts[t, node])
-
-    def leaves(self, points: np.ndarray) -> np.ndarray:
-        """TREES x points: the cell (tree and leaf) of every point."""
-        out = np.empty((TREES, len(points)), np.int64)
-        for t in range(TREES):
-            at = np.zeros(len(points), np.int64)
-            for _ in range(self.depth):
-                at = 2 * at + 1 + (np.einsum("ij,ij->i", points, self.normals[t][at]) > self.cuts[t][at])
-            out[t] = t * 2**self.depth + at - self.inner
-        return out
-
-    def visits(self, query: np.ndarray, most: int) -> list[int]:
-        """Cells in the order of the least margin by which the query misses them, over all trees at once."""
-        margins = [(self.normals[t] @ query - self.cuts[t]).tolist() for t in range(TREES)]
-        queue, out = [(0.0, t, 0) for t in range(TREES)], []
-        while queue and len(out) < most:
-            missed, t, node = heapq.heappop(queue)
-            while node < self.inner:
-                m = margins[t][node]
-                near = 2 * node + 1 + (m > 0)
-                heapq.heappush(queue, (max(missed, abs(m)), t, 4 * node + 3 - near))
-                node = near
-            out.append(t * 2**self.depth + node - self.inner)
-        return out
+#: A forest is a pair of arrays, normals (TREES x inner nodes x dimensions) and cuts (TREES x inner nodes): plain arrays can
+#: be broadcast to executors that know nothing of this module.
+Forest = tuple[np.ndarray, np.ndarray]
+
+
+def grow(points: np.ndarray, depth: int, seed: int = 5) -> Forest:
+    inner = 2**depth - 1
+    dim = points.shape[1] if len(points) else 1
+    normals, cuts = np.zeros((TREES, inner, dim)), np.zeros((TREES, inner))
+    rng = np.random.default_rng(seed)
+    for t in range(TREES):
+        at = np.zeros(len(points), np.int64)
+        for node in range(inner):
+            mine = np.flatnonzero(at == node)
+            if len(mine) < 2:
+                continue
+            a, b = points[rng.choice(mine, 2, replace=False)]
+            normals[t, node] = (a - b) / max(float(np.linalg.norm(a - b)), 1e-9)
+            along = points[mine] @ normals[t, node]
+            cuts[t, node] = np.median(along)
+            at[mine] = 2 * node + 1 + (along > cuts[t, node])
+    return normals, cuts
+
+
+def depth_of(forest: Forest) -> int:
+    return int(np.log2(forest[1].shape[1] + 1))
+
+
+def leaves(forest: Forest, points: np.ndarray) -> np.ndarray:
+    """TREES x points: the cell (tree and leaf) of every point."""
+    normals, cuts = forest
+    depth, inner = depth_of(forest), cuts.shape[1]
+    out = np.empty((TREES, len(points)), np.int64)
+    for t in range(TREES):
+        at = np.zeros(len(points), np.int64)
+        for _ in range(depth):
+            at = 2 * at + 1 + (np.einsum("ij,ij->i", points, normals[t][at]) > cuts[t][at])
+        out[t] = t * 2**depth + at - inner
+    return out
+
+
+def visits(forest: Forest, query: np.ndarray, most: int) -> list[int]:
+    """Cells in the order of the least margin by which the query misses them, over all trees at once."""
+    normals, cuts = forest
+    depth, inner = depth_of(forest), cuts.shape[1]
+    margins = [(normals[t] @ query - cuts[t]).tolist() for t in range(TREES)]
+    queue, out = [(0.0, t, 0) for t in range(TREES)], []
+    while queue and len(out) < most:
+        missed, t, node = heapq.heappop(queue)
+        while node < inner:
+            m = margins[t][node]
+            near = 2 * node + 1 + (m > 0)
+            heapq.heappush(queue, (max(missed, abs(m)), t, 4 * node + 3 - near))
+            node = near
+        out.append(t * 2**depth + node - inner)
+    return out
 
 
 def calibrate(forest: Forest, points: np.ndarray) -> int:
     """Leaves to visit so that TARGET of the sample's neighbours is found within the sample."""
-    total = TREES * 2**forest.depth
-    tried = points[:TRIALS].astype(np.float64)
-    if not len(tried) or forest.depth == 0:
+    total = TREES * 2 ** depth_of(forest)
+    tried = points[:TRIALS]
+    if not len(tried) or total == TREES:
         return total
-    near = tried @ points.T.astype(np.float64)
+    near = tried @ points.T
     near[np.arange(len(tried)), np.arange(len(tried))] = -np.inf
     want = np.argsort(-near, axis=1)[:, : min(TOP, len(points) - 1)]
-    cells = forest.leaves(points)
+    cells = leaves(forest, points)
     rank = np.full((len(tried), total), total, np.int64)
-    for i, q in enumerate(points[:TRIALS]):
-        order = forest.visits(q, total)
+    for i, q in enumerate(tried):
+        order = visits(forest, q, total)
         rank[i, order] = np.arange(len(order))
     first = np.stack([rank[i][cells[:, want[i]]].min(0) for i in range(len(tried))])
     return int(np.quantile(first, TARGET)) + 1
 
 
-def _index(forest, chunks: int):
+def _index(forest, chunks: int, kind: str):
+    """kind: the components' type, float or double, as which they are shipped; all arithmetic is in double precision."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes = batch.column("node").to_numpy()
-            points = np.stack(batch.column("v").to_numpy(zero_copy_only=False)).astype(np.float32) if len(nodes) else np.zeros((0, 1), np.float32)
-            cells = forest.value.leaves(points)
-            vectors = pa.array([p.tobytes() for p in points] * TREES, pa.binary())
+            if not len(nodes):
+                continue
+            points = np.stack(batch.column("v").to_numpy(zero_copy_only=False)).astype(np.float64)
+            cells = leaves(forest.value, points)
+            vectors = pa.array([p.tobytes() for p in points.astype(kind)] * TREES, pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cells.reshape(-1)), pa.array(np.tile(nodes % chunks, TREES)), pa.array(np.tile(nodes, TREES)), vectors],
                 ["cell", "chunk", "node", "v"],
@@ -116,18 +134,18 @@ def _index(forest, chunks: int):
     return run
 
 
-def _route(forest, most: int, chunks: int):
+def _route(forest, most: int, chunks: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells, parts, nodes, vectors = [], [], [], []
             for node, v in zip(batch.column("node").to_pylist(), batch.column("v").to_numpy(zero_copy_only=False), strict=True):
-                point = np.asarray(v, np.float32)
-                visited = forest.value.visits(point, most)
+                point = np.asarray(v, np.float64)
+                visited = visits(forest.value, point, most)
                 for c in range(chunks):
                     cells += visited
                     parts += [c] * len(visited)
                 nodes += [node] * (len(visited) * chunks)
-                vectors += [point.tobytes()] * (len(visited) * chunks)
+                vectors += [point.astype(kind).tobytes()] * (len(visited) * chunks)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cells, pa.int64()), pa.array(parts, pa.int64()), pa.array(nodes, pa.int64()), pa.array(vectors, pa.binary())],
                 ["cell", "chunk", "node", "v"],
@@ -146,13 +164,17 @@ def _best(near: np.ndarray, k: int) -> np.ndarray:
     return top
 
 
-def _rerank(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+def _rerank(kind: str):
+    return lambda vectors, queries: _best_of(vectors, queries, kind)
+
+
+def _best_of(vectors: pa.Table, queries: pa.Table, kind: str) -> pa.Table:
     """q, hits: the best of the cell, one row for each query. Scores are summed the same way whatever the block."""
     out_q, out_c, out_s = [], [], []
     k = min(TOP + 1, len(vectors))
     if len(vectors) and len(queries):
         vectors = vectors.sort_by("node")
-        unpack = lambda t: np.stack([np.frombuffer(x.as_py(), np.float32) for x in t.column("v")]).astype(np.float64)
+        unpack = lambda t: np.stack([np.frombuffer(x.as_py(), kind) for x in t.column("v")]).astype(np.float64)
         points, asked = unpack(vectors), unpack(queries)
         nodes, qs = vectors.column("node").to_numpy(), queries.column("node").to_numpy()
         for at in range(0, len(qs), 128):
@@ -189,20 +211,22 @@ def nearest(rows: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
     )
     n = distinct.count()
     share = min(1.0, SAMPLE / max(n, 1))
-    chosen = distinct.filter(F.pmod(F.xxhash64("h"), F.lit(10**6).cast("long")) < int(share * 10**6) + (share == 1.0)).select("v").limit(SAMPLE).toPandas()
-    points = np.stack(chosen["v"].to_numpy()).astype(np.float32) if len(chosen) else np.zeros((0, 1), np.float32)
+    chosen = distinct.filter(F.pmod(F.xxhash64("h"), F.lit(10**6).cast("long")) < int(1.2 * share * 10**6) + (share == 1.0)).select("h", "node", "v").orderBy(F.xxhash64("h"), "node").limit(SAMPLE).toPandas()
+    points = np.stack(chosen["v"].to_numpy()).astype(np.float64) if len(chosen) else np.zeros((0, 1))
     depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(n, 1) / LEAF)))))
-    model = Forest(points, depth)
-    most = calibrate(model, points)
-    forest = spark.sparkContext.broadcast(model)
+    grown = grow(points, depth)
+    most = calibrate(grown, points)
+    forest = spark.sparkContext.broadcast(grown)
+    # Floats and doubles are shipped as they are, so no component is rounded.
+    kind = "float32" if rows.schema["embedding"].dataType.elementType.simpleString() == "float" else "float64"
     chunks = max(1, round(n / 2**depth / CELL_ROWS))
     asked = good.filter(F.col("vec_id") % every == 0)
     queries = materialise(asked.join(distinct.select("h", "v", "node"), ["h", "v"]).select(F.col("vec_id").alias("query_id"), "node", "v"))
     cells = "cell long, chunk long, node long, v binary"
-    indexed = distinct.select("node", "v").mapInArrow(_index(forest, chunks), cells)
-    routed = queries.select("node", "v").dropDuplicates(["node"]).mapInArrow(_route(forest, most, chunks), cells)
+    indexed = distinct.select("node", "v").mapInArrow(_index(forest, chunks, kind), cells)
+    routed = queries.select("node", "v").dropDuplicates(["node"]).mapInArrow(_route(forest, most, chunks, kind), cells)
     found = indexed.groupBy("cell", "chunk").cogroup(routed.groupBy("cell", "chunk")).applyInArrow(
-        _rerank, "q long, hits array<struct<far:double,node:long>>"
+        _rerank(kind), "q long, hits array<struct<far:double,node:long>>"
     )
     best = found.groupBy("q").agg(F.flatten(F.collect_list("hits")).alias("hits"))
     best = best.select("q", F.explode(F.slice(F.array_sort(F.array_distinct("hits")), 1, TOP + 1)).alias("hit"))
