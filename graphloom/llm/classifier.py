@@ -1,14 +1,17 @@
 """Operator 7: quality classifier by nearest-neighbour voting in a latent-semantic space.
 
-Features of a text: hashed byte trigrams (log counts times inverse document frequency) and indicator bins of its form
-(capitals, digits, symbols, repeated words, word and line lengths). A singular value decomposition of the labelled
-sample's feature matrix gives the latent space; the labelled vectors (at most MAX_LABELLED x DIM doubles, 2 MB) are
-broadcast, every document's exact cosine products with all of them are computed in blocks, and its NEIGHBOURS nearest
-labels vote with weight similarity ** POWER.
+Features of a text: hashed byte trigrams (log counts times inverse document frequency, unit length) and indicator bins of its
+form (capitals, digits, symbols, repeated words, word and line lengths), which hold 45 % of a vector's squared length. A
+singular value decomposition of the labelled sample's feature matrix gives the latent space; the labelled vectors (at most
+MAX_LABELLED x DIM doubles, 2 MB) are broadcast, every document's exact cosine products with all of them are computed in
+blocks, and its NEIGHBOURS nearest labels vote with weight similarity ** POWER.
 
 Fit: rows of `labels` whose crc32(doc_id as text) mod 5 is not 0, at most MAX_LABELLED of them (the documented bound on the
-only sample taken), chosen by a hash of doc_id. No label, language, source or id is an input of a score. Null texts count as empty; null
-labels and ids are not learned from; without any usable label every score is 0.5. Scoring is one pass without a shuffle.
+only sample taken): those with the least hash of doc_id, in that order, so the fit depends on the rows alone and not on
+their layout. No label, language, source or id is an input of a score. Null texts count as empty; null labels and ids are
+not learned from; labels without a document are passed over; without any usable label every score is 0.5. Texts of any
+length are read whole, one at a time. Repeated rows and ties get equal scores, an empty table gives an empty result, and
+further columns are ignored under any name. Scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.llm.common import text_of
 
@@ -26,11 +30,11 @@ MAX_LABELLED = 4000
 GRAMS = 2048
 DIM = 64
 NEIGHBOURS = 9
-POWER = 12.0
+POWER = 40.0
 THRESHOLD = 0.3
 BLOCK = 256
 #: Weight of one form indicator beside the unit-length trigram part.
-FORM_WEIGHT = 1.0
+FORM_WEIGHT = 0.3
 FORMS, BINS = 9, 8
 WIDTH = GRAMS + FORMS * BINS
 
@@ -106,20 +110,19 @@ def _raw_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         made = [features(t.as_py()) for t in batch.column("text")]
         blobs = [np.concatenate(m).tobytes() for m in made]
-        yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(blobs, pa.binary())], ["quality", "blob"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("h", "doc_id", "quality")), pa.array(blobs, pa.binary())], ["h", "doc_id", "quality", "blob"])
 
 
-def fit(labelled: DataFrame) -> Model:
-    """labelled: doc_id, text, quality. Takes at most MAX_LABELLED rows, those with the least hash of doc_id."""
-    rows = labelled.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(
-        "doc_id", F.col("quality").cast("int").alias("quality"), text_of().cast("binary").alias("text")
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """docs: doc_id, text; labels: doc_id, quality. Learns from at most MAX_LABELLED labels, those with the least hash of doc_id."""
+    usable = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(
+        F.xxhash64("doc_id", F.lit(7)).alias("h"), "doc_id", F.col("quality").cast("int").alias("quality")
     )
-    n = rows.count()
-    share = min(1.0, 1.2 * MAX_LABELLED / max(n, 1))
-    h = F.xxhash64("doc_id", F.lit(7))
-    if share < 1.0:
-        rows = rows.filter(F.pmod(h, F.lit(1_000_000).cast("long")) < int(share * 1_000_000))
-    got = rows.mapInArrow(_raw_features, "quality int, blob binary").limit(MAX_LABELLED).toPandas()
+    chosen = usable.distinct().orderBy("h", "doc_id", "quality").limit(MAX_LABELLED)
+    rows = docs.select("doc_id", text_of().cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
+    found = rows.select("h", "doc_id", "quality", "text").mapInArrow(_raw_features, "h long, doc_id long, quality int, blob binary")
+    # Rows that share an id may be more than the labels: the bound holds for them too.
+    got = found.orderBy("h", "doc_id", "quality", "blob").limit(MAX_LABELLED).toPandas()
     if not len(got):
         return Model(np.ones(GRAMS, np.float32), np.zeros((WIDTH, DIM), np.float32), np.zeros((0, DIM), np.float32), np.zeros(0))
     raw = np.stack([np.frombuffer(x, np.float32) for x in got["blob"]])
@@ -137,20 +140,19 @@ def fit(labelled: DataFrame) -> Model:
 def _scorer(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = model.score([t.as_py() for t in batch.column("__text")])
-            at = batch.schema.get_field_index("__text")
-            cols = [c for i, c in enumerate(batch.columns) if i != at]
-            names = [c for i, c in enumerate(batch.schema.names) if i != at]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(scores, pa.float64())], [*names, "score"])
+            *own, text = batch.columns
+            scores = model.score([t.as_py() for t in text])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "score"])
 
     return run
 
 
 def score_documents(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """`keep` columns and the score (0 to 1) of every document."""
-    rows = docs.select(*keep, text_of().cast("binary").alias("__text"))
-    own = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "__text"]
-    return rows.mapInArrow(_scorer(model), ", ".join([*own, "score double"]))
+    own = [docs.schema[c] for c in keep]
+    rows = docs.select(*(F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(own)), text_of().cast("binary").alias("text"))
+    schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(own)]).add("score", T.DoubleType())
+    return rows.mapInArrow(_scorer(model), schema).toDF(*keep, "score")
 
 
 def held_out():
@@ -160,7 +162,7 @@ def held_out():
 def op7_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").filter(~held_out())
-    model = fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = fit(docs, labels)
     return score_documents(docs, model, ["doc_id"]).select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )
