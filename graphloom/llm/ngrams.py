@@ -3,10 +3,10 @@ r"""Operator 8: exact n-gram Jaccard join of documents.
 Words are `[^\x20\x09-\x0D]+` of the text with A-Z lower-cased; a document's set holds its distinct 5-word shingles (its
 whole word sequence where it has fewer words). Documents link when 100 * |intersection| >= 80 * |union|; a component is
 what links reach. Equal sets are one class. prefixjoin brings candidates together, and every candidate is decided by a
-DivideSkip T-occurrence search over the inverted lists of whole sets (setjoin). First each class is asked for by its least
-candidate; then, in lists whose members are not in one component yet, those apart from the least member ask members of
-other components, one each for ROUNDS rounds and all that are likely at last. So groups of copies never expand into all
-pairs. Components come from label propagation.
+DivideSkip T-occurrence search over the inverted lists of whole sets (setjoin). First each class is asked for by its
+likeliest candidate; then, in lists whose members are not in one component yet, those apart from the least member's
+component search the members of other components, block by block, until a link is found. So groups of copies never expand
+into all pairs, and no link between components is lost. Components come from label propagation.
 
 Sets are compared by 50-bit hashes of their shingles and classes by 128-bit names, so a wrong result needs a collision.
 Texts without words, and null texts, have an empty set and stay alone. Null or repeated doc_ids are allowed (a component's
@@ -28,8 +28,8 @@ from graphloom.llm.common import discard, materialise, pieces, rarity, small_eno
 from graphloom.llm.words import Words, mix, names_of, ranked, sets_of
 
 WORDS = 5
-#: Rounds in which sets left apart ask one more partner each, before all that is left is asked.
-ROUNDS = 2
+#: Candidates that are searched at once in a second look.
+TRIED = 16
 #: Odd multiplier of the polynomial over word hashes (fixed, so that all executors agree).
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -113,43 +113,58 @@ def ship(docs: DataFrame, wanted: DataFrame, order) -> DataFrame:
     return materialise(sets.dropDuplicates(["node"]), last=True)
 
 
-def open_pairs(pairs: DataFrame, members: DataFrame, classes: DataFrame, labels: DataFrame, asked: DataFrame) -> DataFrame:
-    """Pairs (a, b) of likely partners not asked yet that are not in one component: of `pairs`, and of sets that share a list
-    (list, node), where whoever is in another component than its list's least member asks the others."""
-    marks = classes.select("node", "n", "parity").join(labels, "node", "left").withColumn("mark", F.coalesce("mark", "node"))
-    marked = members.join(marks.select("node", "mark"), "node")
-    home = marked.groupBy("list").agg(F.min(F.struct("node", "mark")).alias("h"), F.max("mark").alias("most"), F.min("mark").alias("least"))
-    home = home.filter("least < most").select("list", F.col("h.mark").alias("home"))
-    marked = materialise(members.join(home, "list").join(marks, "node"))
-    apart = marked.filter("mark <> home").select("list", F.col("node").alias("a"), F.col("mark").alias("k"), F.col("n").alias("m"), F.col("parity").alias("q"))
-    listed = marked.join(apart, "list").filter("mark <> k and 5 * least(n, m) >= 4 * greatest(n, m)")
-    listed = listed.select("a", F.col("node").alias("b"), "n", "m", F.col("parity").alias("p"), "q").mapInArrow(prefixjoin.likely, "a long, b long")
-    one, two = (labels.select(F.col("node").alias(x), F.col("mark").alias(f"mark_{x}")) for x in "ab")
-    direct = pairs.join(one, "a", "left").join(two, "b", "left").filter("coalesce(mark_a, a) <> coalesce(mark_b, b)").select("a", "b")
-    both = listed.union(direct).select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct()
-    return materialise(both.join(asked, ["a", "b"], "left_anti"))
+def _links(askers: tuple, members: tuple) -> list[tuple[int, int]]:
+    """(asker, member): for each asker and component other than its own, one similar member of that component if there is one."""
+    nodes, marks, sets = members
+    sizes, words = prefixjoin.likeness(sets, 16)
+    out = []
+    for node, mark, query, size, own in zip(askers[0].tolist(), askers[1].tolist(), askers[2], *prefixjoin.likeness(askers[2], 16), strict=True):
+        far = prefixjoin.apart_of(size, own, sizes, words)
+        far[marks == mark] = 2**30
+        for other in np.unique(marks[far < 2**30]).tolist():
+            mine = np.flatnonzero((marks == other) & (far < 2**30))
+            mine = mine[np.argsort(far[mine], kind="stable")]
+            for at in range(0, len(mine), TRIED):  # likeliest first; one link joins the components
+                some = mine[at : at + TRIED]
+                found = setjoin.Index([sets[i] for i in some.tolist()]).similar(query)
+                if found:
+                    out.append((node, int(nodes[some[found[0]]])))
+                    break
+    return out
 
 
 def class_labels(docs: DataFrame, classes: DataFrame, order) -> DataFrame:
     """node, mark (least node of its component) of every class that has a similar one."""
     stars, pairs, lists = prefixjoin.candidates(classes)
-    pairs, members = materialise(pairs.distinct()), materialise(prefixjoin.members_of(lists))
     both = F.explode(F.array("a", "b")).alias("node")
-    wanted = stars.select(both).distinct().union(members.select("node")).union(pairs.select(both)).distinct()
-    sets = ship(docs, classes.select("node", "first").join(wanted, "node"), order)
-    asked = stars.select("a", "b")
-    links = materialise(setjoin.search(asked, sets), last=True)
+    firsts = classes.select("node", "first")
+    sets = ship(docs, firsts.join(stars.select(both).distinct(), "node"), order)
+    links = materialise(setjoin.search(stars.select("a", "b"), sets), last=True)
     labels = setjoin.components(links)
-    for left in reversed(range(ROUNDS + 1)):
-        still = open_pairs(pairs, members, classes, labels, asked)
-        if still.isEmpty():
-            break
-        if left:  # one partner each first; what that joins need not ask again
-            still = materialise(still.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-        links = links.union(materialise(setjoin.search(still, sets), last=True))
-        asked = asked.union(still)
-        labels = setjoin.components(links)
-    return labels
+
+    def sets_for(nodes: DataFrame) -> DataFrame:
+        more = materialise(nodes.join(sets, "node", "left_anti"))
+        return sets if more.isEmpty() else sets.union(ship(docs, firsts.join(more, "node"), order))
+
+    # Lists whose members are in several components: those apart from the least member's component ask.
+    members = prefixjoin.members_of(lists).join(labels, "node", "left").withColumn("mark", F.coalesce("mark", "node"))
+    home = members.groupBy("list").agg(F.min(F.struct("node", "mark")).alias("h"), F.max("mark").alias("most"), F.min("mark").alias("least"))
+    members = materialise(members.join(home.filter("least < most").select("list", F.col("h.mark").alias("home")), "list"))
+    askers = materialise(members.filter("mark <> home").select("node", "mark").distinct())
+    new = []
+    if not askers.isEmpty():
+        roots = labels.select("node", F.col("mark").alias("root"))
+        new.append(prefixjoin.second_look(members.select("list", "node", "mark"), roots, askers, sets_for, _links))
+    one, two = (labels.select(F.col("node").alias(x), F.col("mark").alias(f"mark_{x}")) for x in "ab")
+    direct = pairs.distinct().join(stars, ["a", "b"], "left_anti").join(one, "a", "left").join(two, "b", "left")
+    direct = materialise(direct.filter("coalesce(mark_a, a) <> coalesce(mark_b, b)").select("a", "b"))
+    if not direct.isEmpty():
+        new.append(materialise(setjoin.search(direct, sets_for(direct.select(both).distinct())), last=True))
+    if not new:
+        return labels
+    for x in new:
+        links = links.union(x)
+    return setjoin.components(links)
 
 
 def _components(docs: DataFrame) -> DataFrame:

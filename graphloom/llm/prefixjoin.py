@@ -34,7 +34,9 @@ FAR = 65_535
 PIECE_BYTES = 2**22
 #: Postings of one bucket aimed at.
 BUCKET_ROWS = 1_000_000
-FOUND = "b long, lo long, hi long, list long, heavy boolean, nodes array<long>, places array<int>"
+#: Sets of each side of a second look's task.
+BLOCK = 1000
+FOUND = "b long, a long, far int, others int, list long, heavy boolean, nodes array<long>, places array<int>"
 
 
 def misses(n):
@@ -82,11 +84,57 @@ def parity_words(n):
     return np.where(n <= 80, 1, np.where(n <= 400, 4, 16))
 
 
-def parities(tokens: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """Binary array of the parity words of some sets (none empty). Fewer words are the sums of more, by number modulo their count."""
+def parities(tokens: np.ndarray, counts: np.ndarray, keep: np.ndarray | None = None) -> pa.Array:
+    """Binary array of the parity words of some sets (none empty), as many as parity_words() says or `keep` (1, 4 or 16).
+    Fewer words are the sums of more, by number modulo their count."""
     h = mix(tokens & np.uint64(2**HASH - 1))
     bits = np.uint64(1) << (h >> np.uint64(58))
-    keep = parity_words(counts)
+    keep = parity_words(counts) if keep is None else keep
+    starts = np.cumsum(keep) - keep
+    out = np.zeros(keep.sum(), np.uint64)
+    if len(counts):
+        one = keep == 1
+        whole = np.bitwise_xor.reduceat(bits, np.cumsum(counts) - counts)
+        out[starts[one]] = whole[one]
+        wide = np.repeat(~one, counts)
+        which = np.repeat(np.arange(len(counts)), counts)[wide]
+        word = ((h[wide] >> np.uint64(32)) & np.uint64(15)).astype(np.int64) % keep[which]
+        np.bitwise_xor.at(out, starts[which] + word, bits[wide])
+    offsets = np.append(starts, len(out)).astype(np.int32) * 8
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+
+
+def folded(raw: list[bytes], most: int) -> np.ndarray:
+    """The parity words of some sets, up to `most` of them each, with zeros behind."""
+    out = np.zeros((len(raw), most), np.uint64)
+    sizes = np.array([len(x) // 8 for x in raw])
+    for size in np.unique(sizes).tolist():
+        mine = np.flatnonzero(sizes == size)
+        words = np.frombuffer(b"".join([raw[i] for i in mine.tolist()]), np.uint64).reshape(len(mine), size)
+        if size > most:
+            words = np.bitwise_xor.reduce(words.reshape(len(mine), size // most, most), axis=1)
+        out[mine, : words.shape[1]] = words
+    return out
+
+
+def _planes(x: np.ndarray, width: int) -> np.ndarray:
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1)[:, :width]
+
+
+WIDTHS = {"t": (np.uint64, 5), "d": (np.int64, 8), "n": (np.int32, 4), "p": (np.uint16, 2)} | {f"s{k}": (np.uint64, 8) for k in range(4)}
+
+
+def parity_words(n):
+    """Words of 64 parity bits that a set of n tokens keeps; more tokens need more, to tell unlike sets apart."""
+    return np.where(n <= 80, 1, np.where(n <= 400, 4, 16))
+
+
+def parities(tokens: np.ndarray, counts: np.ndarray, keep: np.ndarray | None = None) -> pa.Array:
+    """Binary array of the parity words of some sets (none empty), as many as parity_words() says or `keep` (1, 4 or 16).
+    Fewer words are the sums of more, by number modulo their count."""
+    h = mix(tokens & np.uint64(2**HASH - 1))
+    bits = np.uint64(1) << (h >> np.uint64(58))
+    keep = parity_words(counts) if keep is None else keep
     starts = np.cumsum(keep) - keep
     out = np.zeros(keep.sum(), np.uint64)
     if len(counts):
@@ -194,7 +242,8 @@ def _meet(blocks: pa.Table) -> pa.Table:
     end = (starts + sizes)[which]
     heavy = sizes > LIMIT
     hit = np.zeros(len(t), bool)
-    lo, hi = d.copy(), np.full(len(d), -1)  # the least and the greatest of each entry's lesser partners
+    # Of each entry: its likeliest lesser partner (difference in parity for its size, then place), and how many it has.
+    best, lesser = np.full(len(d), 2**62), np.zeros(len(d), np.int64)
     k = 1
     act = np.flatnonzero((end - np.arange(len(t)) > 1) & ~heavy[which])
     while len(act):
@@ -202,22 +251,24 @@ def _meet(blocks: pa.Table) -> pa.Table:
         fits = 5 * n[act] >= 4 * n[other]
         act, other = act[fits], other[fits]
         most = (n[act] + n[other]) // 9
-        good = places_allow(n[act], p[act], n[other], p[other]) & (np.bitwise_count(folds[act] ^ folds[other]) <= most)
-        one, two, most = act[good], other[good], most[good]
+        apart = np.bitwise_count(folds[act] ^ folds[other]).astype(np.int64)
+        good = places_allow(n[act], p[act], n[other], p[other]) & (apart <= most)
+        one, two, most, apart = act[good], other[good], most[good], apart[good]
         both = np.flatnonzero(wide[one] & wide[two])
-        good = np.ones(len(one), bool)
-        good[both] = np.bitwise_count(s[one[both]] ^ s[two[both]]).sum(1) <= most[both]
-        one, two = one[good], two[good]
+        apart[both] = np.bitwise_count(s[one[both]] ^ s[two[both]]).sum(1)
+        good = apart <= most
+        one, two, far = one[good], two[good], 1000 * apart[good] // np.maximum(most[good], 1)
         hit[one] = True
         hit[two] = True
         swap = d[one] > d[two]
         less, more = np.where(swap, two, one), np.where(swap, one, two)
-        np.minimum.at(lo, more, d[less])
-        np.maximum.at(hi, more, d[less])
+        np.minimum.at(best, more, far << 40 | less)
+        np.add.at(lesser, more, 1)
         k += 1
         act = act[end[act] - act > k]
-    later = np.flatnonzero(hi >= 0)
-    b, lo, hi = np.unique(np.stack([d[later], lo[later], hi[later]]), axis=1) if len(later) else np.empty((3, 0), np.int64)
+    later = np.flatnonzero(lesser)
+    stars = np.stack([d[later], d[best[later] & (2**40 - 1)], best[later] >> 40, lesser[later]])
+    b, a, far, others = np.unique(stars, axis=1) if len(later) else np.empty((4, 0), np.int64)
     hits = np.bincount(which[hit], minlength=len(starts))
     names, flags, nodes, places = [], [], [], []
     lists: set[int] = set()
@@ -240,7 +291,8 @@ def _meet(blocks: pa.Table) -> pa.Table:
             places.append(p[part].astype(np.int32) if heavy[x] else None)
     few, many = [None] * len(names), [None] * len(b)
     return pa.table({
-        **{c: pa.array(x.tolist() + few, pa.int64()) for c, x in (("b", b), ("lo", lo), ("hi", hi))},
+        "b": pa.array(b.tolist() + few, pa.int64()), "a": pa.array(a.tolist() + few, pa.int64()),
+        "far": pa.array(far.tolist() + few, pa.int32()), "others": pa.array(others.tolist() + few, pa.int32()),
         "list": pa.array(many + names, pa.int64()), "heavy": pa.array(many + flags, pa.bool_()),
         "nodes": pa.array(many + nodes, pa.list_(pa.int64())), "places": pa.array(many + places, pa.list_(pa.int32())),
     })
@@ -255,30 +307,95 @@ def _round(listed: DataFrame, depth: int) -> DataFrame:
 
 
 def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """classes: node (0 or more), n, parity, prefix (packed). Written tables, from which every pair of similar sets can be had:
-    stars (a, b, more): each set b with lesser partners, the least of them, and whether there are more;
-    pairs (a, b): the least partners by list, with repeats; lists (list, nodes): sets with partners, three or more."""
+    """classes: node (0 or more), n, parity, prefix (packed). From what comes back every pair of similar sets can be had:
+    stars (a, b, more): each set b with lesser partners, the likeliest of them, and whether there are more (a written table);
+    pairs (a, b): the likeliest partners by list, with repeats; lists (list, nodes): sets with partners, three or more."""
     narrow = ["node", "n", "parity", "prefix"]
     found = [_round(classes.select(*narrow), 1)]
     while len(found) < DEPTH and not (heavy := found[-1].filter("heavy")).isEmpty():
         member = F.arrays_zip("nodes", "places")
         members = heavy.select(F.col("list").alias("key"), F.explode(member).alias("m")).select("key", F.col("m.nodes").alias("node"), F.col("m.places").alias("place"))
         found.append(_round(members.join(classes.select(*narrow), "node"), len(found) + 1))
-    pairs, lists = found[0].filter("b is not null").select("b", "lo", "hi"), found[-1].filter("heavy")
+    columns = ["a", "b", "far", "others"]
+    pairs, lists = found[0].filter("b is not null").select(*columns), found[-1].filter("heavy")
     for x in found[1:]:
-        pairs = pairs.union(x.filter("b is not null").select("b", "lo", "hi"))
+        pairs = pairs.union(x.filter("b is not null").select(*columns))
     for x in found:
         lists = lists.union(x.filter("not heavy"))
     # A list that is too long even under DEPTH tokens has no partners yet: its members ask its least one.
     deep = found[-1].filter("heavy")
     if not deep.isEmpty():
         deep = deep.select("list", F.explode("nodes").alias("b"))
-        heads = deep.groupBy("list").agg(F.min("b").alias("lo"), F.max("b").alias("hi"))
-        pairs = pairs.union(deep.join(heads, "list").filter("b > lo").select("b", "lo", "hi"))
-    stars = pairs.groupBy("b").agg(F.min("lo").alias("a"), F.max("hi").alias("hi")).select("a", "b", (F.col("a") < F.col("hi")).alias("more"))
-    return materialise(stars), pairs.select(F.col("lo").alias("a"), "b"), lists.select("list", "nodes")
+        heads = deep.groupBy("list").agg(F.min("b").alias("a"))
+        pairs = pairs.union(deep.join(heads, "list").filter("b > a").select("a", "b", F.lit(10**6).alias("far"), F.lit(2).alias("others")))
+    more = (F.max("others") > 1) | (F.min("a") < F.max("a"))
+    stars = pairs.groupBy("b").agg(F.min_by("a", "far").alias("a"), more.alias("more")).select("a", "b", "more")
+    return materialise(stars), pairs.select("a", "b"), lists.select("list", "nodes")
 
 
 def members_of(lists: DataFrame) -> DataFrame:
     """list, node: equal lists from several buckets once; a long list is in several pieces."""
     return lists.dropDuplicates(["list", "nodes"]).select("list", F.explode("nodes").alias("node"))
+
+
+def second_look(lists: DataFrame, roots: DataFrame, askers: DataFrame, sets_for, answer) -> DataFrame:
+    """Searches of askers (node, mark) among the members (node, mark) of their lists. lists: list, node, mark, asks.
+
+    roots: node, root: lists whose least members have the same root are searched as one home. A home's members and askers are
+    dealt in blocks of BLOCK, each pair of blocks is a task, and a task holds the sets of its two blocks alone. sets_for(nodes)
+    gives the sets (node, tokens); answer(askers, members) is called with each side's nodes, marks and sets, and yields pairs."""
+    spark = lists.sparkSession
+    opened = lists.join(askers.select("node"), "node", "left_semi").select("list").distinct()
+    mine = lists.join(opened, "list", "left_semi")
+    least = mine.groupBy("list").agg(F.min("node").alias("node")).join(roots, "node", "left").select("list", F.coalesce("root", "node").alias("home"))
+    members = materialise(mine.join(least, "list").select("home", "node").distinct())
+    asks = members.join(askers, "node").select("home", "node", "mark")
+    blocks = members.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("pm")).join(asks.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("pa")), "home")
+
+    def deal(rows: DataFrame, own: str, other: str, side: int) -> DataFrame:
+        block, across = F.pmod(F.xxhash64("node"), F.col(own)), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))
+        rows = rows.join(blocks, "home").select("home", "node", block.alias("own"), across.alias("other"))
+        pair = ("own", "other") if side else ("other", "own")
+        return rows.select(F.xxhash64("home", *pair).alias("key"), "node", F.lit(side).alias("side"))
+
+    tasks = materialise(deal(members, "pm", "pa", 0).union(deal(asks.drop("mark"), "pa", "pm", 1)))
+    sets = sets_for(tasks.select("node").distinct())
+    bundles = max(2 * partitions(spark), int(tasks.count() // BLOCK) + 1)
+    marks = lists.select("node", "mark").distinct()
+    shipped = tasks.join(sets.join(marks, "node"), "node").withColumn("bundle", F.pmod("key", F.lit(bundles).cast("long")))
+
+    def run(table: pa.Table) -> pa.Table:
+        key, node, side, mark = (table.column(c).to_numpy() for c in ("key", "node", "side", "mark"))
+        tokens = table.column("tokens")
+        by = np.lexsort((node, side, key))
+        out: list[tuple[int, int]] = []
+        for part in np.split(by, np.flatnonzero(key[by][1:] != key[by][:-1]) + 1):
+            cut = int((side[part] == 0).sum())
+            sides = [(node[x], mark[x], [unpack(tokens[int(i)].as_py()) for i in x]) for x in (part[cut:], part[:cut])]
+            if cut and cut < len(part):
+                out += answer(*sides)
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+    return materialise(shipped.select("bundle", "key", "node", "side", "mark", "tokens").groupBy("bundle").applyInArrow(run, "a long, b long"), last=True)
+
+
+def likeness(sets: list[np.ndarray], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and parity words of some sets."""
+    sizes = np.array([len(x) for x in sets])
+    return sizes, folded(parities(np.concatenate(sets), sizes, np.full(len(sets), words)).to_pylist(), words)
+
+
+def apart_of(size: int, words: np.ndarray, sizes: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """How far a set's parity is from others', with those out of reach at 2**30."""
+    far = np.bitwise_count(words[None, :] ^ others).sum(1).astype(np.int64)
+    may = (9 * far <= size + sizes) & (5 * np.minimum(size, sizes) >= 4 * np.maximum(size, sizes))
+    return np.where(may, far, 2**30)
+
+
+def overlaps(query: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Tokens that a set has in common with others."""
+    sizes = np.array([len(x) for x in sets])
+    tokens = np.concatenate(sets)
+    at = np.searchsorted(query, tokens)
+    same = query[np.minimum(at, len(query) - 1)] == tokens
+    return np.add.reduceat(same.astype(np.int64), np.cumsum(sizes) - sizes)

@@ -44,7 +44,7 @@ def test_all_similar_pairs(spark, monkeypatch, limit, seed):
     for b in range(len(sets)):
         for a in range(b):
             if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
-                assert b in least and least[b] <= a
+                assert b in least and least[b] < b
                 assert least[b] == a or (b in more and ((a, b) in pairs or together.get(a, set()) & together.get(b, set())))
 
 
@@ -58,16 +58,22 @@ def test_parity_never_hides_similar_sets():
     sizes = np.array([len(a) for a in arrays])
     words = prefixjoin.parities(np.concatenate(arrays), sizes).to_pylist()
     assert [len(x) // 8 for x in words] == prefixjoin.parity_words(sizes).tolist()
-    at = [(i, j) for i in range(len(sets)) for j in range(len(sets))]
-    columns = {"a": [i for i, _ in at], "b": [j for _, j in at], "n": [len(sets[i]) for i, _ in at], "m": [len(sets[j]) for _, j in at]}
-    columns |= {"p": [words[i] for i, _ in at], "q": [words[j] for _, j in at]}
-    kept = {(r["a"], r["b"]) for out in prefixjoin.likely([pa.RecordBatch.from_pydict(columns)]) for r in out.to_pylist()}
-    for i, j in at:
-        one, two = set(sets[i]), set(sets[j])
-        if 5 * len(one & two) >= 4 * len(one | two):
-            assert (i, j) in kept
-    far = [(i, j) for i, j in at if not set(sets[i]) & set(sets[j]) and 5 * min(sizes[i], sizes[j]) >= 4 * max(sizes[i], sizes[j])]
-    assert sum(x in kept for x in far) < 0.1 * len(far)
+    for kept in (1, 4, 16):
+        n, own = prefixjoin.likeness(arrays, kept)
+        assert (own == prefixjoin.folded([w for w in prefixjoin.parities(np.concatenate(arrays), sizes, np.full(len(sets), 16)).to_pylist()], kept)).all()
+        far = wrong = 0
+        for i, s in enumerate(sets):
+            found = prefixjoin.apart_of(int(n[i]), own[i], n, own)
+            for j, x in enumerate(sets):
+                same = len(set(s) & set(x))
+                if 9 * same >= 4 * (len(s) + len(x)):
+                    assert found[j] < 2**30
+                elif not same and 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j]) and n[i] < 100 * kept:
+                    far += 1
+                    wrong += found[j] < 2**30
+        assert wrong < 0.1 * far
+    both = prefixjoin.overlaps(arrays[4], arrays)
+    assert both.tolist() == [len(set(sets[4]) & set(x)) for x in sets]
 
 
 def test_packing():
