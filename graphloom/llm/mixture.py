@@ -13,7 +13,7 @@ down). The seeded order is the md5 of seed, epoch and doc_id; rows that share it
 together. The prefix needs no sorted leaf: orders are cut in BINS ranges, and only the range that the quota ends in is
 sorted, so a leaf with a third of all rows is spread over its ranges.
 
-Null lang or source count as the value 'unknown'; null texts have no tokens; a leaf without tokens is kept once; an
+Null lang or source are values of their own, apart from every text; null texts have no tokens; a leaf without tokens is kept once; an
 empty table gives an empty result; the caller's columns are kept, but for `domain`, `n_tokens` and `copies`, which are set.
 """
 
@@ -48,6 +48,11 @@ def weight(col: str, weights: dict[str, int]) -> Column:
     return out
 
 
+def named(col: str) -> Column:
+    """A leaf's part of the name: null becomes '', any other value gets a sign before it."""
+    return F.coalesce(F.concat(F.lit("="), F.col(col)), F.lit(""))
+
+
 def split_budget(nodes: DataFrame, parents: list[str], budget: str) -> DataFrame:
     """nodes: parents..., name, cap, w and the budget of the parent; adds `quota`."""
     order = [F.col("cap") / F.col("w"), F.col("name")]
@@ -76,7 +81,7 @@ def plan_leaves(leaves: DataFrame, domains: dict[str, int], langs: dict[str, int
     total = tree.agg(F.call_function("div", F.coalesce(F.sum("tokens"), F.lit(0)) * budget[0], F.lit(budget[1]).cast("long")).alias("b0"))
     top = tree.groupBy("domain").agg(F.sum("cap").alias("cap")).withColumn("w", weight("domain", domains)).withColumn("name", F.col("domain"))
     top = split_budget(top.crossJoin(F.broadcast(total)), [], "b0").select("domain", F.col("quota").alias("b1"))
-    mid = tree.groupBy("domain", "lang").agg(F.sum("cap").alias("cap")).withColumn("w", weight("lang", langs)).withColumn("name", F.col("lang"))
+    mid = tree.groupBy("domain", "lang").agg(F.sum("cap").alias("cap")).withColumn("w", weight("lang", {f"={k}": v for k, v in langs.items()})).withColumn("name", F.col("lang"))
     mid = split_budget(mid.join(top, "domain"), ["domain"], "b1").select("domain", "lang", F.col("quota").alias("b2"))
     low = tree.withColumn("w", F.lit(1).cast("long")).withColumn("name", F.col("source"))
     low = split_budget(low.join(mid, ["domain", "lang"]), ["domain", "lang"], "b2")
@@ -94,7 +99,7 @@ def mix(
     leaf = ["m_domain", "m_lang", "m_source"]
     tokens = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     tagged = docs.withColumn("m_domain", F.expr(domain_sql)).withColumn(
-        "m_lang", F.coalesce("lang", F.lit("unknown"))).withColumn("m_source", F.coalesce("source", F.lit("unknown")))
+        "m_lang", named("lang")).withColumn("m_source", named("source"))
     narrow = materialise(tagged.select("doc_id", *leaf, tokens.alias("m_tokens")))
     stats = narrow.groupBy(*leaf).agg(F.sum("m_tokens").alias("tokens"))
     plan = materialise(plan_leaves(
@@ -142,13 +147,13 @@ def _level(name: str, source: str, parents: str, budget: str) -> str:
     {name} AS (SELECT *, CAST(CASE WHEN isfull THEN cap ELSE (w * ({budget} - lc)) // lw END AS BIGINT) AS quota FROM {name}_l)"""
 
 
-OP3_SQL = f"""WITH d AS (SELECT doc_id, lang, source, {DOMAIN_SQL} AS domain, coalesce(lang, 'unknown') AS ml, coalesce(source, 'unknown') AS ms,
+OP3_SQL = f"""WITH d AS (SELECT doc_id, lang, source, {DOMAIN_SQL} AS domain, coalesce('=' || lang, '') AS ml, coalesce('=' || source, '') AS ms,
       CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS n_tokens FROM documents),
     leaves AS (SELECT domain, ml, ms, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY ALL),
     tot AS (SELECT coalesce(sum(tokens), 0)::BIGINT * {BUDGET[0]} // {BUDGET[1]} AS b0 FROM leaves),
     t1 AS (SELECT domain, domain AS name, sum(tokens)::BIGINT * {EPOCHS} AS cap, {_cases('domain', DOMAINS)} AS w, any_value(b0) AS b0 FROM leaves, tot GROUP BY domain),
     {_level('q1', 't1', '', 'b0')},
-    t2 AS (SELECT l.domain, l.ml, l.ml AS name, sum(tokens)::BIGINT * {EPOCHS} AS cap, {_cases('l.ml', LANGS)} AS w, any_value(quota) AS b1
+    t2 AS (SELECT l.domain, l.ml, l.ml AS name, sum(tokens)::BIGINT * {EPOCHS} AS cap, {_cases('l.ml', {f'={k}': v for k, v in LANGS.items()})} AS w, any_value(quota) AS b1
       FROM leaves l JOIN q1 ON l.domain = q1.domain GROUP BY l.domain, l.ml),
     {_level('q2', 't2', 'domain', 'b1')},
     t3 AS (SELECT l.domain, l.ml, l.ms, l.ms AS name, tokens, tokens * {EPOCHS} AS cap, 1 AS w, quota AS b2

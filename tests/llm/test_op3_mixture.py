@@ -41,3 +41,11 @@ def test_shortage_goes_to_siblings_first(spark):
 def test_extra_columns(spark):
     df = awkward(spark).withColumn("w", F.lit(1)).withColumn("cut", F.lit("x"))
     assert "w" in mixture.mix(df).columns and mixture.mix(df).count() > 0
+
+
+def test_null_is_no_name(spark, tmp_path):
+    rows = [(i, "w " * (i % 5 + 1), lang, source, 1) for i, (lang, source) in enumerate([(None, None), ("unknown", "unknown"), ("", ""), ("=", None)] * 20)]
+    folder = table_dir(tmp_path, spark, df=spark.createDataFrame(rows, DOCS))
+    assert got(spark, folder) == oracle(folder)
+    leaves = mixture.mix(spark.read.parquet(f"{folder}/documents.parquet"), budget=(1, 1)).select("lang", "source").distinct().count()
+    assert leaves == 4
