@@ -56,3 +56,24 @@ def test_awkward_and_empty(spark, tmp_path):
     assert got(spark, folder) == oracle(folder)
     assert len(got(spark, table_dir(tmp_path / "c", spark))) == 12
     assert got(spark, table_dir(tmp_path / "b", spark, df=spark.createDataFrame([], DOCS))) == []
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_null_host_is_no_empty_host_and_copies_count(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(rules, "BROADCAST_LINES", most)
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    line = "one line that is found in thirty texts of either host"
+    rows = [(i, f"{line}\n{own(i)}", "en", None, 1) for i in range(30)] + [(100 + i, f"{line}\n{own(100 + i)}", "en", "", 1) for i in range(30)]
+    rows += [(200 + i, f"{own(7)}\n{own(8)}", "en", "src1", 1) for i in range(51)]  # exact copies are documents too
+    rows += [(300 + i, f"{line}\n{own(300 + i)}", "en", "src2", 1) for i in range(51)]
+    folder = table_dir(tmp_path, spark, df=spark.createDataFrame(rows, DOCS))
+    assert got(spark, folder) == oracle(folder)
+    out = {r.doc_id: r.text for r in rules.stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).collect()}
+    assert out == {r[0]: (own(r[0]) if r[0] >= 300 else r[1]) for r in rows if not 200 <= r[0] < 300}
+
+
+def test_clashing_names_and_long_text(spark):
+    df = spark.createDataFrame([(1, "word " * 400_000, "s", 5, "a"), (2, None, None, 6, "b")], "doc_id long, text string, source string, `a.b` int, __host string")
+    out = rules.judge_documents(df, ["doc_id", "a.b", "__host", "source"])
+    assert out.columns == ["doc_id", "a.b", "__host", "source", *rules.NAMES, "cleaned"]
+    assert [(r[0], r[1], r[2], r[3], r.n_words) for r in sorted(out.collect())] == [(1, 5, "a", "s", 400_000), (2, 6, "b", None, 0)]
