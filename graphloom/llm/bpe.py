@@ -22,7 +22,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.llm.common import pieces, text_of
 
@@ -151,22 +153,24 @@ def _per_text(path: str | None, make: Callable, names: list[str], kinds: list[pa
     return run
 
 
-def _schema(df: DataFrame, more: str) -> str:
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), more])
+def _by_number(df: DataFrame, without: list[str], value: Column, into: str, kind: T.DataType, run) -> DataFrame:
+    """df but for some columns, and last what `run` makes of `value`. Callers' columns go by number, so that no name can clash."""
+    own = [f for f in df.schema.fields if f.name not in (*without, into)]
+    rows = df.select(*(F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(own)), value.alias("given"))
+    schema = T.StructType([*(T.StructField(f"c{i}", f.dataType) for i, f in enumerate(own)), T.StructField("made", kind)])
+    return rows.mapInArrow(run, schema).toDF(*(f.name for f in own), into)
 
 
 def encode(docs: DataFrame, path: str | None = None, into: str = "ids") -> DataFrame:
     """docs without `into`, plus the ids of its text. path: a tokenizer file that the executors can read."""
-    base = docs.drop(into)
-    run = _per_text(path, lambda b, t: (b.encode(t),), [into], [pa.list_(pa.int32())], "__text")
-    return base.withColumn("__text", text_of()).mapInArrow(run, _schema(base, f"`{into}` array<int>"))
+    run = _per_text(path, lambda b, t: (b.encode(t),), ["made"], [pa.list_(pa.int32())], "given")
+    return _by_number(docs, [], text_of(), into, T.ArrayType(T.IntegerType()), run)
 
 
 def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """rows without ids, plus the decoded text; null ids decode to an empty text."""
-    base = rows.drop(ids, into)
-    run = _per_text(path, lambda b, x: (b.decode(x or []),), [into], [pa.string()], "__ids", text=False)
-    return rows.drop(into).withColumnRenamed(ids, "__ids").mapInArrow(run, _schema(base, f"`{into}` string"))
+    run = _per_text(path, lambda b, x: (b.decode(x or []),), ["made"], [pa.string()], "given", text=False)
+    return _by_number(rows, [ids], F.col(f"`{ids}`"), into, T.StringType(), run)
 
 
 def _digests(bpe: Bpe, text: str) -> tuple[int, str, str]:
@@ -189,7 +193,5 @@ def op6_bpe(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document with its token ids and their number."""
-    from pyspark.sql import functions as F
-
     rows = encode(docs.select("doc_id", "text", "lang", "source", "n_chars"))
     return rows.withColumn("n_tokens", F.size("ids").cast("long"))

@@ -53,3 +53,11 @@ def test_round_trip_with_clashing_columns(spark):
     lib = library()
     for r in rows:
         assert r.decoded == lib.decode(lib.encode(r.text or "", add_special_tokens=False).ids, skip_special_tokens=False)
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "some text", 3, "x", "y")], "doc_id long, text string, `a.b` int, __text string, given string")
+    coded = bpe.encode(df, into="c0")
+    assert coded.columns == [*df.columns, "c0"]
+    (back,) = bpe.decode(coded, ids="c0", into="made").collect()
+    assert (back["a.b"], back["__text"], back.given, back.made.strip()) == (3, "x", "y", bpe.Bpe(bpe.tokenizer_path()).decode(coded.first().c0).strip())
