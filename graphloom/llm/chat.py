@@ -4,7 +4,8 @@ Template (fixed format): every turn is written `<|turn|>role<|text|>text<|end|>`
 before each backslash and inside every control string (`<|`, `<s>`, `</s>`, `[INST]`, `[/INST]`, `<<SYS>>`, `<</SYS>>`);
 dropping one backslash before any character undoes it, so no text can forge a marker and nothing is lost.
 
-Windows: a turn costs its word and punctuation pieces plus OVERHEAD. With P the prefix sum of costs before a turn and W
+Windows: a turn costs its tokens plus OVERHEAD. Tokens are the caller's `cost` (such as counts by operator 6, a join away, where
+the budget must hold for one tokenizer) or, by default, the word, digit and punctuation pieces of PIECES. With P the prefix sum of costs before a turn and W
 half of what the budget leaves beside the system turn and the history, spans are cut where floor(P / W) changes and around
 turns that cost more than W. A span costs at most 2 * W, so the window keeps to the budget unless one single turn, or a
 system turn that leaves no room, is larger (turns are never cut). Each window holds the conversation's
@@ -42,17 +43,20 @@ def _render(role: Column, text: Column) -> Column:
     return F.concat(F.lit(TURN), escape(role), F.lit(TEXT), escape(text), F.lit(END))
 
 
-def format_windows(turns: DataFrame, budget: int = 1024, history: int = 128) -> DataFrame:
+def format_windows(turns: DataFrame, budget: int = 1024, history: int = 128, cost: Column | None = None) -> DataFrame:
     """Rows conv_id, window (long, in order), formatted, repeated (turns at the start that are repeats), loss
     (array of struct(start, length) in characters of formatted, counted from 0), cost.
 
-    turns: conv_id, turn, role, text. history must not exceed a quarter of the budget.
+    turns: conv_id, turn, role, text. history must not exceed a quarter of the budget. cost: the tokens of a turn's text, a
+    column over turns, null as 0.
     """
     if not 0 <= history <= budget // 4:
         raise ValueError("history must lie between 0 and a quarter of the budget")
+    text = F.coalesce("text", F.lit(""))
+    pieces = F.regexp_count(text, F.lit(PIECES)) if cost is None else F.coalesce(cost, F.lit(0))
     base = turns.select(
-        "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    ).withColumn("cost", (F.regexp_count("text", F.lit(PIECES)) + OVERHEAD).cast("long")).withColumn(
+        "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"), (pieces + OVERHEAD).cast("long").alias("cost")
+    ).withColumn(
         "block", F.call_function("div", F.col("turn").cast("long"), F.lit(BLOCK).cast("long")) - (F.col("turn") < 0).cast("long")
     )
     order = ["turn", "role", "text"]

@@ -1,7 +1,9 @@
 import hashlib
 from collections import defaultdict
 
-from graphloom.llm import chat
+from pyspark.sql import functions as F
+
+from graphloom.llm import bpe, chat
 from tests.llm.helpers import SMALL, table_dir
 
 SCHEMA = "conv_id long, turn long, role string, text string"
@@ -60,3 +62,16 @@ def test_windows(spark):
         assert r.formatted.count("<|end|>") == len(r.turns) + r.repeated
     assert repeated > 20 and len(rows) > 100
     assert chat.format_windows(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_budget_in_tokens_of_a_tokenizer(spark):
+    """With counts by operator 6 as costs, windows keep to a budget of that tokenizer's tokens."""
+    model = bpe.Bpe(bpe.tokenizer_path())
+    rows = [(1, i, ("user", "assistant")[i % 2], f"Turn {i}, " + "unbelievably long-winded; " * (i * 7 % 30)) for i in range(60)]
+    counted = bpe.encode(spark.createDataFrame(rows, SCHEMA)).withColumn("n", F.size("ids"))
+    windows = chat.read_turns(chat.format_windows(counted, 400, 64, cost=F.col("n"))).collect()
+    said = [t.text for r in sorted(windows, key=lambda r: r.window) for t in r.turns]
+    assert said == [r[3] for r in rows] and len(windows) > 5
+    for r in windows:
+        own = sum(len(model.encode(t.text)) + chat.OVERHEAD for t in r.turns)
+        assert own <= r.cost <= 400 or len(r.turns) == 1
