@@ -1,6 +1,8 @@
+import struct
 import zlib
 from collections import Counter, defaultdict
 
+import xxhash
 from pyspark.sql import functions as F
 
 from graphloom.llm import shards
@@ -56,3 +58,41 @@ def test_hot_key_and_clashing_columns(spark):
     rows = shards.shard_rows(df, 16, 1).collect()
     assert len(rows) == 6000 and Counter(r["count"] for r in rows)[7] == 4000
     check(rows, 16)
+
+
+def hashed(*values, seed=42):
+    """xxhash64 of longs (int) and ints (one-element tuples), one after the other; nulls leave the hash as it is."""
+    for v in values:
+        if v is not None:
+            raw = struct.pack("<i", v[0]) if isinstance(v, tuple) else struct.pack("<q", v)
+            seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed - 2**64 if seed >= 2**63 else seed
+
+
+def independent(rows, m, seed):
+    """(shard, slot) by row, with numbering, Feistel network and cycle walk written out in plain Python."""
+    n = len(rows)
+    order = sorted(range(n), key=lambda i: (hashed(*rows[i]) % shards.BUCKETS, hashed(*rows[i]), rows[i]))
+    a = next(x for x in range(1, n + 2) if x * x >= n)
+    b = -(-n // a)
+    assert a * b >= n
+    out = {}
+    for number, i in enumerate(order):
+        y = number
+        while True:
+            left, right = divmod(y, b)
+            for k in range(shards.ROUNDS):
+                left = (left + hashed(right, (seed,), (2 * k,)) % a) % a
+                right = (right + hashed(left, (seed,), (2 * k + 1,)) % b) % b
+            y = left * b + right
+            if y < n:
+                break
+        out[i] = (y % m, y // m)
+    return out
+
+
+def test_against_an_independent_network(spark):
+    docs = [(r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    want = independent(docs, 16, 20240901)
+    got = {r.doc_id: (r.shard, r.slot) for r in shards.op1_shards(spark, SMALL).collect()}
+    assert got == {docs[i][0]: v for i, v in want.items()}
