@@ -147,14 +147,15 @@ def class_labels(docs: DataFrame, classes: DataFrame, order) -> DataFrame:
         return sets if more.isEmpty() else sets.union(ship(docs, firsts.join(more, "node"), order))
 
     # Lists whose members are in several components: those apart from the least member's component ask.
-    members = prefixjoin.members_of(lists).join(labels, "node", "left").withColumn("mark", F.coalesce("mark", "node"))
-    home = members.groupBy("list").agg(F.min(F.struct("node", "mark")).alias("h"), F.max("mark").alias("most"), F.min("mark").alias("least"))
-    members = materialise(members.join(home.filter("least < most").select("list", F.col("h.mark").alias("home")), "list"))
-    askers = materialise(members.filter("mark <> home").select("node", "mark").distinct())
+    members = lists.dropDuplicates(["list", "nodes"]).select("list", F.explode("nodes").alias("node"))
+    marked = materialise(members.join(labels, "node", "left").select("list", "node", F.coalesce("mark", "node").alias("mark")))
+    home = marked.groupBy("list").agg(F.min(F.struct("node", "mark")).alias("h"), F.max("mark").alias("most"), F.min("mark").alias("least"))
+    home = home.filter("least < most").select("list", F.col("h.mark").alias("home"))
+    askers = materialise(marked.join(home, "list").filter("mark <> home").select("node").distinct())
     new = []
     if not askers.isEmpty():
         roots = labels.select("node", F.col("mark").alias("root"))
-        new.append(prefixjoin.second_look(members.select("list", "node", "mark"), roots, askers, sets_for, _links))
+        new.append(prefixjoin.second_look(lists.join(home.select("list"), "list", "left_semi"), roots, askers, labels, sets_for, _links))
     one, two = (labels.select(F.col("node").alias(x), F.col("mark").alias(f"mark_{x}")) for x in "ab")
     direct = pairs.distinct().join(stars, ["a", "b"], "left_anti").join(one, "a", "left").join(two, "b", "left")
     direct = materialise(direct.filter("coalesce(mark_a, a) <> coalesce(mark_b, b)").select("a", "b"))

@@ -333,24 +333,20 @@ def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return materialise(stars), pairs.select("a", "b"), lists.select("list", "nodes")
 
 
-def members_of(lists: DataFrame) -> DataFrame:
-    """list, node: equal lists from several buckets once; a long list is in several pieces."""
-    return lists.dropDuplicates(["list", "nodes"]).select("list", F.explode("nodes").alias("node"))
-
-
-def second_look(lists: DataFrame, roots: DataFrame, askers: DataFrame, sets_for, answer) -> DataFrame:
-    """Searches of askers (node, mark) among the members (node, mark) of their lists. lists: list, node, mark, asks.
+def second_look(lists: DataFrame, roots: DataFrame, askers: DataFrame, marks: DataFrame | None, sets_for, answer) -> DataFrame:
+    """Searches of askers (node) among the members of their lists (list, nodes). marks: node, mark of whoever has one.
 
     roots: node, root: lists whose least members have the same root are searched as one home. A home's members and askers are
     dealt in blocks of BLOCK, each pair of blocks is a task, and a task holds the sets of its two blocks alone. sets_for(nodes)
-    gives the sets (node, tokens); answer(askers, members) is called with each side's nodes, marks and sets, and yields pairs."""
+    gives the sets (node, tokens); answer(askers, members) is called with each side's nodes, marks (without one, the node) and
+    sets, and yields pairs (a, b)."""
     spark = lists.sparkSession
-    opened = lists.join(askers.select("node"), "node", "left_semi").select("list").distinct()
-    mine = lists.join(opened, "list", "left_semi")
-    least = mine.groupBy("list").agg(F.min("node").alias("node")).join(roots, "node", "left").select("list", F.coalesce("root", "node").alias("home"))
-    members = materialise(mine.join(least, "list").select("home", "node").distinct())
-    asks = members.join(askers, "node").select("home", "node", "mark")
-    blocks = members.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("pm")).join(asks.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("pa")), "home")
+    parts = lists.dropDuplicates(["list", "nodes"])
+    least = parts.groupBy("list").agg(F.min(F.array_min("nodes")).alias("node")).join(roots, "node", "left").select("list", F.coalesce("root", "node").alias("home"))
+    members = materialise(parts.join(least, "list").select("home", F.explode("nodes").alias("node")).distinct())
+    asks = materialise(members.join(askers.select("node"), "node"))
+    asking = asks.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("pa"))
+    blocks = materialise(members.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("pm")).join(asking, "home"))
 
     def deal(rows: DataFrame, own: str, other: str, side: int) -> DataFrame:
         block, across = F.pmod(F.xxhash64("node"), F.col(own)), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))
@@ -358,11 +354,11 @@ def second_look(lists: DataFrame, roots: DataFrame, askers: DataFrame, sets_for,
         pair = ("own", "other") if side else ("other", "own")
         return rows.select(F.xxhash64("home", *pair).alias("key"), "node", F.lit(side).alias("side"))
 
-    tasks = materialise(deal(members, "pm", "pa", 0).union(deal(asks.drop("mark"), "pa", "pm", 1)))
+    tasks = materialise(deal(members, "pm", "pa", 0).union(deal(asks, "pa", "pm", 1)))
     sets = sets_for(tasks.select("node").distinct())
     bundles = max(2 * partitions(spark), int(tasks.count() // BLOCK) + 1)
-    marks = lists.select("node", "mark").distinct()
-    shipped = tasks.join(sets.join(marks, "node"), "node").withColumn("bundle", F.pmod("key", F.lit(bundles).cast("long")))
+    sets = sets.withColumn("mark", F.col("node")) if marks is None else sets.join(marks, "node", "left").withColumn("mark", F.coalesce("mark", "node"))
+    shipped = tasks.join(sets, "node").withColumn("bundle", F.pmod("key", F.lit(bundles).cast("long")))
 
     def run(table: pa.Table) -> pa.Table:
         key, node, side, mark = (table.column(c).to_numpy() for c in ("key", "node", "side", "mark"))

@@ -38,8 +38,9 @@ def test_all_similar_pairs(spark, monkeypatch, limit, seed):
     stars, pairs, lists = prefixjoin.candidates(classes_of(spark, sets))
     stars, pairs = stars.collect(), {(r.a, r.b) for r in pairs.collect()}
     together = {}
-    for r in prefixjoin.members_of(lists).collect():
-        together.setdefault(r.node, set()).add(r.list)
+    for r in lists.collect():
+        for node in r.nodes:
+            together.setdefault(node, set()).add(r.list)
     least, more = {r.b: r.a for r in stars}, {r.b for r in stars if r.more}
     for b in range(len(sets)):
         for a in range(b):
