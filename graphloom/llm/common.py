@@ -90,7 +90,7 @@ def small_enough(df: DataFrame, size: Column) -> bool:
 def _count_cells(hashes_of: Callable[[list[bytes]], np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(2**CELLS_LOG2, np.int64)
-        for batch in (part for whole in batches for part in pieces(whole, "text", 2**22)):
+        for batch in (part for whole in batches for part in pieces(whole, "text", 2**20)):
             cells = (hashes_of([x.as_py() for x in batch.column("text")]) >> np.uint64(64 - CELLS_LOG2)).astype(np.int64)
             counts += np.bincount(cells, minlength=len(counts))
         slabs = counts.astype(np.float64).reshape(SLABS, -1)

@@ -31,9 +31,9 @@ LIMIT = 2048
 DEPTH = 3
 #: Places in a prefix are kept in 16 bits; from here on the positional filter lets a pair pass.
 FAR = 65_535
-PIECE_BYTES = 2**22
+PIECE_BYTES = 2**20
 #: Postings of one bucket aimed at.
-BUCKET_ROWS = 1_000_000
+BUCKET_ROWS = 250_000
 #: Sets of each side of a second look's task.
 BLOCK = 1000
 FOUND = "b long, a long, far int, others int, list long, heavy boolean, nodes array<long>, places array<int>"
