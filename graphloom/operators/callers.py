@@ -66,23 +66,26 @@ def receiver_token(receivers) -> F.Column:
     return F.substring_index(F.get(ranked, F.lit(0))["r"], ".", 1)
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder that the session names (a temporary one where it names none, as in tests)."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Checkpoint in the folder that the session names. In local mode alone a temporary one is made where it names none."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="graphloom-"))
     return df.checkpoint()
 
 
 def reach(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """Frontier search over (src, dst): node and its least depth from each root, up to depth. Visited nodes are never
     expanded again, so the work per round is the frontier's edges. Each round is checkpointed: its plan stays small."""
-    edges = _cut(edges)
+    edges = checkpointed(edges)
     seen = roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"))
     front = seen
     for k in range(1, depth + 1):
         step = front.join(edges, front["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
-        front = _cut(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(k)))
+        front = checkpointed(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(k)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
@@ -102,7 +105,7 @@ def subclass_paths(classes: DataFrame, root: str, depth: int) -> DataFrame:
     """Subclass tree as paths: depth, path, node. Bases are matched by their last dotted part; a path never repeats a name,
     so diamonds come once per branch and cycles end."""
     up = classes.select(F.col("name").alias("child"), F.substring_index("base", ".", -1).alias("parent"))
-    level = classes.filter(F.col("name") == root).select(F.lit(0).alias("depth"), F.array("name").alias("path"), F.col("name").alias("node")).limit(1)
+    level = classes.filter(F.col("name") == root).select(F.lit(0).alias("depth"), F.array("name").alias("path"), F.col("name").alias("node")).distinct()
     out = None
     for k in range(1, depth + 1):
         joined = level.join(up, level["node"] == up["parent"]).filter(~F.array_contains("path", F.col("child")))

@@ -55,7 +55,8 @@ def never_dead() -> F.Column:
 
 
 def framework_decorated(decorators: F.Column) -> F.Column:
-    """Case-folded comparison of the last dotted part; `x.connect` counts too."""
+    """Case-folded comparison of the last dotted part, on both sides, so that decorators written in mixed case count as their
+    list entries are meant; `x.connect` counts too."""
     bare = lambda d: F.lower(F.substring_index(F.regexp_replace(F.regexp_replace(d, r"\(.*$", ""), "@", ""), ".", -1))
     return F.exists(decorators, lambda d: bare(d).isin(FRAMEWORK_DECORATORS) | d.rlike(r"\.connect(\(|$)"))
 

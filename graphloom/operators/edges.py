@@ -16,6 +16,24 @@ SKIP_VARS = [
 ]
 TASK_DECORATORS = ["task", "shared_task", "periodic_task"]
 DISPATCH = ["delay", "apply_async", "s", "si"]
+# What counts as each form of source text. Edges are only comparable if these match the same strings.
+DOTTED_CALL = r"(\w+(?:\.\w+)*\.\w+)\s*\("
+ARGUMENT = r"\w+\s*\(\s*(\w+)\s*[,)]"
+KEYWORD_ARGUMENT = r"=\s*(\w+)\s*[,)\n]"
+ANNOTATED_VAR = r"\b(\w+)\s*:\s*([A-Z]\w*)(?:\s*=|\s*[,\)])"
+CONSTRUCTED_VAR = r"(?m)^[ \t]+(\w+)\s*=\s*(?:await\s+)?([A-Z]\w*)\s*\("
+FACTORY_VAR = r"(?m)^[ \t]+(\w+)\s*=\s*(?:await\s+)?([a-z_]\w*)\s*\("
+METHOD_CALL = r"\b(\w+)\.(\w+)\s*\("
+CLASS_FIELD = r"(?m)^[ \t]+(\w+)\s*:\s*([A-Z]\w*)(?:\s*=|\s*$)"
+CONSTRUCTED_FIELD = r"self\.(\w+)\s*(?::\s*\w[\w\[\], |]*\s*)?=\s*([A-Z]\w*)\s*\("
+ANNOTATED_FIELD = r"self\.(\w+)\s*:\s*([A-Z]\w*)\s*="
+FACTORY_FIELD = r"self\.(\w+)\s*=\s*(?:await\s+)?(\w+)\s*\("
+FIELD_CALL = r"self\.(\w+)\.(\w+)\s*\("
+REGISTERED = r"(?:decorate|register|use)\s*\(\s*['\"]\w{4,}['\"]\s*,\s*(\w{4,})"
+ARRAY_ELEMENT = r"[\[,]\s*(?:\w+\.)?(\w{4,})\s*(?=[,\]])"
+PROPERTY_VALUE = r":\s*(?:\w+\.)?(\w{4,})\s*[,}\n]"
+JSX_TAG = r"<\s*([A-Z]\w{3,})[\s/>]"
+SINGLETON = r"(?m)^([a-z_][a-z0-9_]*)\s*(?::\s*\w[\w\[\], \|]*\s*)?=\s*([A-Z]\w*)\s*\("
 
 KEY = ["callee", "caller", "caller_file"]
 
@@ -35,7 +53,7 @@ def drop_ambiguous(edges: DataFrame, methods: DataFrame) -> DataFrame:
 
 def receivers(source: Column, callee: Column) -> Column:
     """Dotted prefixes in front of calls of callee."""
-    calls = F.regexp_extract_all(source, F.lit(r"(\w+(?:\.\w+)*\.\w+)\s*\("), 1)
+    calls = F.regexp_extract_all(source, F.lit(DOTTED_CALL), 1)
     mine = F.filter(calls, lambda x: F.substring_index(x, ".", -1) == callee)
     return F.array_sort(F.array_distinct(F.transform(mine, lambda x: F.regexp_replace(x, r"\.\w+$", ""))))
 
@@ -61,7 +79,7 @@ def _known(rows: DataFrame, names: DataFrame, at: int, trusted: bool) -> DataFra
 def references(functions: DataFrame) -> DataFrame:
     """Pass 2: functions handed over as arguments (dependency injection, callbacks)."""
     args = F.concat(
-        F.regexp_extract_all("source", F.lit(r"\w+\s*\(\s*(\w+)\s*[,)]"), 1), F.regexp_extract_all("source", F.lit(r"=\s*(\w+)\s*[,)\n]"), 1)
+        F.regexp_extract_all("source", F.lit(ARGUMENT), 1), F.regexp_extract_all("source", F.lit(KEYWORD_ARGUMENT), 1)
     )
     rows = functions.withColumn("callee", F.explode(F.array_distinct(args)))
     rows = rows.filter((F.col("callee") != F.col("name")) & ~F.col("callee").isin(SKIP_NAMES))
@@ -79,11 +97,7 @@ def factories(functions: DataFrame, classes: DataFrame) -> DataFrame:
 def typed_calls(functions: DataFrame, classes: DataFrame, class_methods: DataFrame) -> DataFrame:
     """Pass 3: calls on variables whose class is annotated, constructed or returned by a factory."""
     base = functions.select("name", "class_name", "file", "source", "seq")
-    ways = [
-        (1, r"\b(\w+)\s*:\s*([A-Z]\w*)(?:\s*=|\s*[,\)])"),
-        (2, r"(?m)^[ \t]+(\w+)\s*=\s*(?:await\s+)?([A-Z]\w*)\s*\("),
-        (0, r"(?m)^[ \t]+(\w+)\s*=\s*(?:await\s+)?([a-z_]\w*)\s*\("),
-    ]
+    ways = [(1, ANNOTATED_VAR), (2, CONSTRUCTED_VAR), (0, FACTORY_VAR)]
     made = [
         base.select("seq", F.posexplode(F.arrays_zip(F.regexp_extract_all("source", F.lit(p), 1).alias("var"), F.regexp_extract_all("source", F.lit(p), 2).alias("type"))).alias("pos", "x"))
         .select("seq", F.lit(way).alias("way"), "pos", "x.var", "x.type")
@@ -91,27 +105,39 @@ def typed_calls(functions: DataFrame, classes: DataFrame, class_methods: DataFra
     ]
     by_factory = made[2].join(factories(functions, classes).select(F.col("type").alias("made"), F.col("name").alias("type")), "type").select("seq", "way", "pos", "var", F.col("made").alias("type"))
     types = made[0].union(made[1]).union(by_factory).groupBy("seq", "var").agg(F.max_by("type", F.struct("way", "pos")).alias("type"))
-    pattern = F.lit(r"\b(\w+)\.(\w+)\s*\(")
+    pattern = F.lit(METHOD_CALL)
     calls = base.select("name", "class_name", "file", "seq", F.explode(F.arrays_zip(F.regexp_extract_all("source", pattern, 1).alias("var"), F.regexp_extract_all("source", pattern, 2).alias("callee"))).alias("x"))
     calls = calls.select("name", "class_name", "file", "seq", "x.var", "x.callee")
     found = calls.join(types, ["seq", "var"]).join(class_methods.select(F.col("class_name").alias("type"), F.col("name").alias("callee")).distinct(), ["type", "callee"], "left_semi")
     return _known(found, found.select(F.col("callee").alias("name")), 3, True)
 
 
-def field_calls(functions: DataFrame, class_methods: DataFrame) -> DataFrame:
-    """Pass 3b: calls on fields of self whose class is assigned or annotated in any method of the class."""
+def _pairs(rows: DataFrame, keys: list, pattern: str) -> DataFrame:
+    """keys, pos, var, type: the two groups of a pattern, match by match."""
+    one, two = (F.regexp_extract_all("source", F.lit(pattern), g) for g in (1, 2))
+    return rows.select(*keys, F.posexplode(F.arrays_zip(one.alias("var"), two.alias("type"))).alias("pos", "x")).select(*keys, "pos", "x.var", "x.type")
+
+
+def field_types(functions: DataFrame, made: DataFrame | None = None, bodies: DataFrame | None = None) -> DataFrame:
+    """class_name, file, var, type: fields annotated in the class body (bodies: class_name, file, source), then, the last one
+    winning, those constructed or annotated in methods; a factory's result (made: name, type) only fills what is missing."""
+    base, keys = functions.filter(F.col("class_name").isNotNull()), ["class_name", "file", "seq"]
+    rows = _pairs(base, keys, CONSTRUCTED_FIELD).withColumn("way", F.lit(1)).union(_pairs(base, keys, ANNOTATED_FIELD).withColumn("way", F.lit(2)))
+    if bodies is not None:
+        rows = rows.union(_pairs(bodies.withColumn("seq", F.lit(None).cast("long")), keys, CLASS_FIELD).withColumn("way", F.lit(0)))
+    found = rows.groupBy("class_name", "file", "var").agg(F.max_by("type", F.struct(F.col("way") > 0, "seq", "way", "pos")).alias("type"))
+    if made is None:
+        return found
+    calls = _pairs(base, keys, FACTORY_FIELD).join(made.select(F.col("name").alias("type"), F.col("type").alias("made")), "type")
+    filled = calls.groupBy("class_name", "file", "var").agg(F.min_by("made", F.struct("seq", "pos")).alias("type"))
+    return found.union(filled.join(found, ["class_name", "file", "var"], "left_anti").select("class_name", "file", "var", "type"))
+
+
+def field_calls(functions: DataFrame, class_methods: DataFrame, made: DataFrame | None = None, bodies: DataFrame | None = None) -> DataFrame:
+    """Pass 3b: calls on fields of self whose class is known; see field_types."""
     base = functions.filter(F.col("class_name").isNotNull())
-    ways = [(1, r"self\.(\w+)\s*=\s*([A-Z]\w*)\s*\("), (2, r"self\.(\w+)\s*:\s*([A-Z]\w*)\s*=")]
-    made = None
-    for way, p in ways:
-        got = base.select("class_name", "file", "seq", F.posexplode(F.arrays_zip(F.regexp_extract_all("source", F.lit(p), 1).alias("var"), F.regexp_extract_all("source", F.lit(p), 2).alias("type"))).alias("pos", "x"))
-        got = got.select("class_name", "file", "seq", F.lit(way).alias("way"), "pos", "x.var", "x.type")
-        made = got if made is None else made.union(got)
-    types = made.groupBy("class_name", "file", "var").agg(F.max_by("type", F.struct("seq", "way", "pos")).alias("type"))
-    pattern = F.lit(r"self\.(\w+)\.(\w+)\s*\(")
-    calls = base.select("name", "class_name", "file", "seq", F.explode(F.arrays_zip(F.regexp_extract_all("source", pattern, 1).alias("var"), F.regexp_extract_all("source", pattern, 2).alias("callee"))).alias("x"))
-    calls = calls.select("name", "class_name", "file", "seq", "x.var", "x.callee")
-    found = calls.join(types, ["class_name", "file", "var"])
+    calls = _pairs(base, ["name", "class_name", "file", "seq"], FIELD_CALL).withColumnsRenamed({"type": "callee"}).drop("pos")
+    found = calls.join(field_types(functions, made, bodies), ["class_name", "file", "var"])
     found = found.join(class_methods.select(F.col("class_name").alias("type"), F.col("name").alias("callee")).distinct(), ["type", "callee"], "left_semi")
     return _known(found, found.select(F.col("callee").alias("name")), 4, True)
 
@@ -139,12 +165,13 @@ def unique_calls(calls: DataFrame, methods: DataFrame) -> DataFrame:
     return calls.filter(~F.col("var").isin(SKIP_VARS)).join(target, "callee").filter(~F.col("caller_class").eqNullSafe(F.col("target")))
 
 
-def framework_references(functions: DataFrame, names: DataFrame) -> DataFrame:
-    """Pass 6: handlers registered by a string and a name, array elements, property values and JSX tags."""
-    ways = [r"['\"][^'\"]*['\"]\s*,\s*(\w{4,})\s*[,)]", r"[\[,]\s*(\w{4,})\s*(?=[,\]])", r"\w+\s*:\s*(\w{4,})\s*[,}]", r"<([A-Z]\w{3,})"]
-    found = F.array_distinct(F.concat(*[F.regexp_extract_all("source", F.lit(p), 1) for p in ways]))
-    rows = functions.withColumn("callee", F.explode(found)).filter(F.col("callee") != F.col("name"))
-    return _known(rows, names, 6, True)
+def framework_references(functions: DataFrame, names: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """Pass 6: handlers registered under a string, array elements and property values that are functions, and JSX tags that are
+    functions or classes."""
+    found = lambda *ways: F.array_distinct(F.concat(*[F.regexp_extract_all("source", F.lit(p), 1) for p in ways]))
+    others = lambda ways: functions.withColumn("callee", F.explode(found(*ways))).filter(F.col("callee") != F.col("name"))
+    known = names.select("name") if classes is None else names.select("name").union(classes.select("name"))
+    return _known(others([REGISTERED, ARRAY_ELEMENT, PROPERTY_VALUE]), names, 6, True).union(_known(others([JSX_TAG]), known, 6, True)).distinct()
 
 
 def import_calls(calls: DataFrame, methods: DataFrame, imported: DataFrame) -> DataFrame:
@@ -166,7 +193,7 @@ def import_calls(calls: DataFrame, methods: DataFrame, imported: DataFrame) -> D
 
 def class_instances(files: DataFrame, classes: DataFrame) -> DataFrame:
     """Module-level singletons: class_name, var, file."""
-    p = F.lit(r"(?m)^([a-z_][a-z0-9_]*)\s*(?::\s*\w[\w\[\], \|]*\s*)?=\s*([A-Z]\w*)\s*\(")
+    p = F.lit(SINGLETON)
     rows = files.select("path", F.explode(F.arrays_zip(F.regexp_extract_all("source", p, 1).alias("var"), F.regexp_extract_all("source", p, 2).alias("type"))).alias("x"))
     return rows.select(F.col("x.type").alias("class_name"), "x.var", F.col("path").alias("file")).join(classes.select(F.col("name").alias("class_name")).distinct(), "class_name", "left_semi")
 

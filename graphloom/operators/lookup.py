@@ -56,8 +56,8 @@ def importers(imports: DataFrame, query: str) -> DataFrame:
     """Importers of the file: those of the exact key, else of all keys that match by suffix either way."""
     q = F.lit(query)
     rows = imports.withColumn("exact", F.col("target") == q).filter(F.col("exact") | F.col("target").endswith(query) | q.endswith(F.col("target")))
-    best = F.max(F.col("exact").cast("int")).over(Window.partitionBy(F.lit(1)))
-    return rows.withColumn("best", best).filter(F.col("exact").cast("int") == F.col("best")).select("importer").distinct()
+    best = rows.agg(F.max("exact").alias("best"))
+    return rows.crossJoin(F.broadcast(best)).filter(F.col("exact") == F.col("best")).select("importer").distinct()
 
 
 def forward_imports(imports: DataFrame, query: str) -> DataFrame:
@@ -108,7 +108,8 @@ def reference_lines(sources: DataFrame, needle: str, most: int = 3) -> DataFrame
 def narrowed(rows: DataFrame, part: str) -> DataFrame:
     """Keep rows of files that hold `part`, unless none does."""
     hit = F.col("file").contains(part)
-    return rows.withColumn("any_hit", F.max(hit.cast("int")).over(Window.partitionBy(F.lit(1)))).filter(hit | (F.col("any_hit") == 0)).drop("any_hit")
+    any_hit = rows.agg(F.coalesce(F.max(hit), F.lit(False)).alias("any_hit"))
+    return rows.crossJoin(F.broadcast(any_hit)).filter(hit | ~F.col("any_hit")).drop("any_hit")
 
 
 DETAILS = {"full": (), "summary": ("source", "signature", "decorators", "docstring"), "signatures": ("source", "docstring", "decorators")}

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from graphloom.functions import paths
 from graphloom.functions.text import soft_cap, source_tokens, split_tokens, stem_match
+from graphloom.operators.callers import checkpointed
 
 PRUNE = 0.3
 
@@ -127,7 +128,8 @@ def quota_merge(results: DataFrame, n: int) -> DataFrame:
     quota = F.when(F.col("kind") == "file", max(2, n // 5)).otherwise(max(3, n // 3))
     order = [F.desc("score"), "name", "file"]
     best = results.groupBy("name", "kind", "file").agg(F.max("score").alias("score"))
-    ranked = best.withColumn("kr", F.row_number().over(Window.partitionBy("kind").orderBy(*order))).withColumn("inside", F.col("kr") <= quota)
+    # No more than n of a kind can be picked; the filter on the rank lets every task drop the rest before they meet.
+    ranked = best.withColumn("kr", F.row_number().over(Window.partitionBy("kind").orderBy(*order))).filter(F.col("kr") <= n).withColumn("inside", F.col("kr") <= quota)
     place = F.row_number().over(Window.orderBy(F.desc("inside"), *order))
     picked = ranked.orderBy(F.desc("inside"), *order).limit(n)
     return picked.withColumn("place", place).select("name", "kind", "file", "score", "place")
@@ -151,15 +153,25 @@ def with_expansion(primary: DataFrame, more: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.orderBy("tier", F.desc("score"), "id")))
 
 
+def numbered(rows: DataFrame, order: list, into: str) -> DataFrame:
+    """rows with their place (from 1) in a global order: sorted ranges are numbered on their own, and only the ranges' sizes meet."""
+    at = checkpointed(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part, local = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit(2**33 - 1))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = at.groupBy(part.alias("part")).agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    joined = at.withColumn("part", part).join(F.broadcast(sizes), "part")
+    return joined.withColumn(into, F.col("before") + local + 1).drop("_at", "part", "before")
+
+
 def low_confidence(results: DataFrame) -> DataFrame:
-    return results.withColumn("low_confidence", F.max("score").over(Window.partitionBy(F.lit(1))) < 0.55)
+    best = results.agg((F.max("score") < 0.55).alias("low_confidence"))
+    return results.crossJoin(F.broadcast(best))
 
 
 def directory_cap(files: DataFrame, most: int = 2) -> DataFrame:
     """At most `most` files of a directory first; what exceeds that follows. files: path, score."""
     rank = F.row_number().over(Window.partitionBy(paths.directory("path")).orderBy(F.desc("score"), "path"))
-    rows = files.withColumn("over", (rank > most).cast("int"))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy("over", F.desc("score"), "path")))
+    return numbered(files.withColumn("over", (rank > most).cast("int")), ["over", F.desc("score"), "path"], "place")
 
 
 def file_scores(symbols: DataFrame, names: DataFrame) -> DataFrame:

@@ -51,13 +51,19 @@ def naming(names: DataFrame, most: int = 500) -> DataFrame:
     return out.withColumn("style", F.when(F.col("snake") >= F.greatest("camel", "pascal"), "snake_case").when(F.col("camel") >= F.col("pascal"), "camelCase").otherwise("PascalCase"))
 
 
+def shares(counted: DataFrame) -> DataFrame:
+    """counted with each row's share of all `n`."""
+    total = counted.agg(F.sum("n").alias("total"))
+    return counted.crossJoin(F.broadcast(total)).withColumn("share", F.round(F.col("n") / F.col("total"), 6)).drop("total")
+
+
 def file_naming(files: DataFrame) -> DataFrame:
     """style, n, share among styled stems (no dunder, no index)."""
     stem = F.regexp_replace(paths.basename("path"), r"\.[^.]*$", "")
     rows = files.select(stem.alias("stem")).filter(~F.col("stem").startswith("__") & (F.col("stem") != "index"))
     style = F.when(F.col("stem").rlike(SNAKE), "snake_case").when(F.col("stem").rlike(KEBAB), "kebab-case").when(F.col("stem").rlike(PASCAL), "PascalCase").when(F.col("stem").rlike(CAMEL), "camelCase")
     counted = rows.select(style.alias("style")).filter("style is not null").groupBy("style").agg(F.count("*").alias("n"))
-    return counted.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 6))
+    return shares(counted)
 
 
 def structure(files: DataFrame) -> DataFrame:
@@ -98,7 +104,7 @@ def import_style(links: DataFrame) -> DataFrame:
     """links: file, target -> relative and absolute, each (file, target) once."""
     kind = F.when(F.col("target").rlike(r"^\.|^/"), "relative").otherwise("absolute")
     rows = links.select("file", "target").distinct().groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
-    return rows.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 6))
+    return shares(rows)
 
 
 def top_packages(links: DataFrame, top: int = 10) -> DataFrame:

@@ -366,30 +366,6 @@ def g14_two_hops(spark, sf):
     return callers.two_hops(relation(spark, sf, "imports"), s).select("file", F.round("score", 6).alias("score"), _b("hop"))
 
 
-_DEAD = """WITH f AS (SELECT DISTINCT name, class_name, file, min(seq) OVER (PARTITION BY name, class_name, file) AS seq FROM functions),
-  called AS (SELECT DISTINCT callee AS name, receiver AS class_name FROM edges WHERE trusted),
-  imp AS (SELECT DISTINCT name FROM symbol_imports)"""
-
-
-@query(f"""{_DEAD} SELECT name, class_name, file, seq, name IN (SELECT name FROM imp) AS re_exported FROM f
-  WHERE (name, class_name) NOT IN (SELECT (name, class_name) FROM called) AND NOT (name IN (SELECT name FROM imp) AND name IN (SELECT name FROM called))""")
-def h01_unused_functions(spark, sf):
-    f = relation(spark, sf, "functions").groupBy("name", "class_name", "file").agg(F.min("seq").alias("seq")).withColumn("decorators", F.array().cast("array<string>"))
-    called = relation(spark, sf, "edges").filter("trusted").select(F.col("callee").alias("name"), F.col("receiver").alias("class_name")).distinct()
-    imported = relation(spark, sf, "symbol_imports").select("name").distinct()
-    none = spark.createDataFrame([], "name string, file string")
-    bases = spark.createDataFrame([], "class_name string, name string")
-    out = dead.unused_functions(f, called, imported, none, imported, bases)
-    return out.select("name", "class_name", "file", "seq", "re_exported")
-
-
-@query("""SELECT name, file FROM classes WHERE file NOT LIKE '%/tests/%' AND name NOT IN (SELECT split_part(base, '.', -1) FROM classes WHERE base IS NOT NULL)
-  UNION ALL SELECT name, file FROM classes WHERE false""")
-def h02_unused_classes(spark, sf):
-    e = lambda s: spark.createDataFrame([], s)
-    return dead.unused_classes(relation(spark, sf, "classes"), e("name string"), e("class_name string"), e("name string")).select("name", "file")
-
-
 @query("""SELECT path, list_contains(string_split(lower(path), '/'), 'tests') AS is_test, CASE regexp_extract(path, '[^.]+$') WHEN 'py' THEN 'python' WHEN 'ts' THEN 'typescript' ELSE 'javascript' END AS language,
   split_part(path, '/', -1) AS base FROM files""")
 def h03_path_predicates(spark, sf):

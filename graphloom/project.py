@@ -86,10 +86,10 @@ class Project:
         return names.join(self.import_edges(), ["importer", "imp"]).select("importer", "target", "name").distinct()
 
     def _caller_edges(self) -> DataFrame:
-        named = self.functions.select("name").union(self.classes.select("name")).distinct()
         passes = [
             edges.primary(self.functions), edges.references(self.functions), edges.typed_calls(self.functions, self.classes, self.methods),
-            edges.field_calls(self.functions, self.methods), edges.dispatched(self.functions), edges.framework_references(self.functions, named),
+            edges.field_calls(self.functions, self.methods, edges.factories(self.functions, self.classes)), edges.dispatched(self.functions),
+            edges.framework_references(self.functions, self.functions, self.classes),
         ]
         out = passes[0]
         for p in passes[1:]:

@@ -111,9 +111,28 @@ def test_edges(spark):
     assert key(edges.dispatched(f)) == {("job", "local")}
     files = spark.createDataFrame([("/m.py", "executor = Executor(1)\nother = thing()\n  inner = Chat()")], "path string, source string")
     assert [tuple(r) for r in edges.class_instances(files, classes).collect()] == [("Executor", "executor", "/m.py")]
-    web = functions(spark, [("reg", None, "/w.ts", "on('x', handle_it); const a = [first_fn, last_fn]; <Panel/>", [], None, [])])
-    names = spark.createDataFrame([("handle_it",), ("Panel",), ("first_fn",)], "name string")
-    assert {c for c, _ in key(edges.framework_references(web, names))} == {"handle_it", "Panel", "first_fn"}
+    web = functions(spark, [("reg", None, "/w.ts", "app.register('name', handle_it); on('other', not_this); const a = [app.first_fn, last_fn]; <Panel/>; x = {key: api.prop_fn}", [], None, [])])
+    names = spark.createDataFrame([("handle_it",), ("first_fn",), ("not_this",), ("prop_fn",)], "name string")
+    tags = spark.createDataFrame([("Panel",), ("prop_fn",)], "name string")
+    assert {c for c, _ in key(edges.framework_references(web, names, tags))} == {"handle_it", "Panel", "first_fn", "prop_fn"}
+
+
+def test_field_types(spark):
+    f = functions(spark, [
+        ("__init__", "A", "/a.py", "    self.one = Tool()\n    self.two: Chat = x\n    self.three = await make()\n    self.one: Chat = y", [], None, []),
+        ("go", "A", "/a.py", "    self.three = other()\n    self.body.run()", [], None, []),
+    ])
+    made = spark.createDataFrame([("make", "Exec"), ("other", "Tool")], "name string, type string")
+    bodies = spark.createDataFrame([("A", "/a.py", "class A:\n    body: Exec\n    one: Exec = None\n")], "class_name string, file string, source string")
+    found = {r["var"]: r.type for r in edges.field_types(f, made, bodies).collect()}
+    assert found == {"one": "Chat", "two": "Chat", "three": "Exec", "body": "Exec"}
+    assert {r["var"] for r in edges.field_types(f).collect()} == {"one", "two"}
+
+
+def test_numbered(spark):
+    rows = spark.range(1000).selectExpr("id * 7919 % 1000 as x").repartition(9)
+    got = search.numbered(rows, ["x"], "place").collect()
+    assert sorted((r.x, r.place) for r in got) == [(i, i + 1) for i in range(1000)]
 
 
 def test_callers_of_a_class(spark):

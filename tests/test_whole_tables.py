@@ -73,11 +73,6 @@ def callers_tables(tmp_path, spark):
     return str(tmp_path)
 
 
-def test_h01_unused_functions(spark, tmp_path):
-    found = queries_graph.h01_unused_functions(spark, callers_tables(tmp_path, spark)).collect()
-    assert {r.name for r in found} == {"blue_ring", "old_lamp"}
-
-
 def test_g02_g04_callers(spark, tmp_path):
     folder = callers_tables(tmp_path, spark)
     assert {(r.class_name, r.file) for r in queries_graph.g04_allow_list(spark, folder).collect()} == {("Brand3", "NATION_10"), ("Brand7", "NATION_9"), ("Brand9", "NATION_8")}
