@@ -5,8 +5,9 @@ whole word sequence where it has fewer words). Documents link when 100 * |inters
 what links reach. Equal sets are one class. prefixjoin brings candidates together, and every candidate is decided by a
 DivideSkip T-occurrence search over the inverted lists of whole sets (setjoin). First each class is asked for by its
 likeliest candidate; then, in lists whose members are not in one component yet, those apart from the least member's
-component search the members of other components, block by block, until a link is found. So groups of copies never expand
-into all pairs, and no link between components is lost. Components come from label propagation.
+component look for the likeliest members of other components by parity bits alone, and search those; whoever has more than
+TRIED likely ones in a component searches all members, block by block, until a link is found. So groups of copies never
+expand into all pairs, and no link between components is lost. Components come from label propagation.
 
 Sets are compared by 50-bit hashes of their shingles and classes by 128-bit names, so a wrong result needs a collision.
 Texts without words, and null texts, have an empty set and stay alone. Null or repeated doc_ids are allowed (a component's
@@ -133,39 +134,77 @@ def _links(askers: tuple, members: tuple) -> list[tuple[int, int]]:
     return out
 
 
+def _size_and_parity(raw: bytes) -> tuple[int, bytes]:
+    return int.from_bytes(raw[:8], "big"), raw[8:]
+
+
+def _likely(askers: tuple, members: tuple) -> list[tuple[int, int]]:
+    """(asker, member) by parity alone: for each asker and component other than its own the TRIED likeliest members, and
+    (asker, asker) if there are more."""
+    nodes, marks, _ = members
+    wide = [prefixjoin.folded([p for _, p in side[2]], 16) for side in (askers, members)]
+    sizes = [np.array([n for n, _ in side[2]]) for side in (askers, members)]
+    out = []
+    for node, mark, size, own in zip(askers[0].tolist(), askers[1].tolist(), sizes[0].tolist(), wide[0], strict=True):
+        far = np.full(len(nodes), 2**30)
+        width = np.minimum(prefixjoin.parity_words(np.array(size)), prefixjoin.parity_words(sizes[1]))
+        for w in (1, 4, 16):
+            mine = np.flatnonzero((width == w) & (marks != mark))
+            if len(mine):
+                fold = lambda x: np.bitwise_xor.reduce(x.reshape(-1, 16 // w, w), axis=1)  # noqa: B023, E731
+                far[mine] = prefixjoin.apart_of(size, fold(own)[0], sizes[1][mine], fold(wide[1][mine]))
+        for other in np.unique(marks[far < 2**30]).tolist():
+            mine = np.flatnonzero((marks == other) & (far < 2**30))
+            best = mine[np.argsort(far[mine], kind="stable")]
+            out += [(node, int(x)) for x in nodes[best[:TRIED]]] + [(node, node)] * (len(mine) > TRIED)
+    return out
+
+
 def class_labels(docs: DataFrame, classes: DataFrame, order) -> DataFrame:
     """node, mark (least node of its component) of every class that has a similar one."""
     stars, pairs, lists = prefixjoin.candidates(classes)
     both = F.explode(F.array("a", "b")).alias("node")
     firsts = classes.select("node", "first")
-    sets = ship(docs, firsts.join(stars.select(both).distinct(), "node"), order)
-    links = materialise(setjoin.search(stars.select("a", "b"), sets), last=True)
-    labels = setjoin.components(links)
+    close = materialise(prefixjoin.likely(stars.select("a", "b"), classes))
+    shipped = ship(docs, firsts.join(close.select(both).distinct(), "node"), order)
 
     def sets_for(nodes: DataFrame) -> DataFrame:
-        more = materialise(nodes.join(sets, "node", "left_anti"))
-        return sets if more.isEmpty() else sets.union(ship(docs, firsts.join(more, "node"), order))
+        more = materialise(nodes.join(shipped, "node", "left_anti"))
+        return shipped if more.isEmpty() else shipped.union(ship(docs, firsts.join(more, "node"), order))
 
+    links = [materialise(setjoin.search(close, shipped), last=True)]
+    labels = setjoin.components(links[0])
     # Lists whose members are in several components: those apart from the least member's component ask.
     members = lists.dropDuplicates(["list", "nodes"]).select("list", F.explode("nodes").alias("node"))
     marked = materialise(members.join(labels, "node", "left").select("list", "node", F.coalesce("mark", "node").alias("mark")))
     home = marked.groupBy("list").agg(F.min(F.struct("node", "mark")).alias("h"), F.max("mark").alias("most"), F.min("mark").alias("least"))
-    home = home.filter("least < most").select("list", F.col("h.mark").alias("home"))
+    home = materialise(home.filter("least < most").select("list", F.col("h.mark").alias("home")))
     askers = materialise(marked.join(home, "list").filter("mark <> home").select("node").distinct())
-    new = []
+    open_lists = lists.join(home.select("list"), "list", "left_semi")
+    # Two components, the second look by parity alone; then the likeliest pairs on whole sets.
+    one, two = (labels.select(F.col("node").alias(x), F.col("mark").alias(f"mark_{x}")) for x in "ab")
+    apart = lambda df: df.join(one, "a", "left").join(two, "b", "left").filter("coalesce(mark_a, a) <> coalesce(mark_b, b)").select("a", "b")
+    asked = prefixjoin.likely(apart(pairs.distinct().join(stars, ["a", "b"], "left_anti")), classes)
     if not askers.isEmpty():
         roots = labels.select("node", F.col("mark").alias("root"))
-        new.append(prefixjoin.second_look(lists.join(home.select("list"), "list", "left_semi"), roots, askers, labels, sets_for, _links))
-    one, two = (labels.select(F.col("node").alias(x), F.col("mark").alias(f"mark_{x}")) for x in "ab")
-    direct = pairs.distinct().join(stars, ["a", "b"], "left_anti").join(one, "a", "left").join(two, "b", "left")
-    direct = materialise(direct.filter("coalesce(mark_a, a) <> coalesce(mark_b, b)").select("a", "b"))
-    if not direct.isEmpty():
-        new.append(materialise(setjoin.search(direct, sets_for(direct.select(both).distinct())), last=True))
-    if not new:
-        return labels
-    for x in new:
-        links = links.union(x)
-    return setjoin.components(links)
+        sketches = classes.select("node", "n", "parity")
+        sketch = lambda nodes: nodes.join(sketches, "node").select("node", F.concat(F.unhex(F.lpad(F.hex("n"), 16, "0")), "parity").alias("tokens"))
+        found = prefixjoin.second_look(open_lists, roots, askers, labels, sketch, _likely, _size_and_parity)
+        likely = found.filter("a <> b").distinct()
+        asked = asked.union(likely)
+        crowded = materialise(found.filter("a = b").select(F.col("a").alias("node")).distinct())
+    asked = materialise(asked.distinct())
+    if not asked.isEmpty():
+        links.append(materialise(setjoin.search(asked, sets_for(asked.select(both).distinct())), last=True))
+        labels = setjoin.components(links[0].union(links[1]))
+    if not askers.isEmpty() and not crowded.isEmpty():
+        # Those with more likely partners than were tried search all of them, block by block.
+        links.append(prefixjoin.second_look(open_lists, roots, crowded, labels, sets_for, _links))
+        whole = links[0]
+        for x in links[1:]:
+            whole = whole.union(x)
+        labels = setjoin.components(whole)
+    return labels
 
 
 def _components(docs: DataFrame) -> DataFrame:

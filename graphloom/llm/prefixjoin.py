@@ -333,13 +333,31 @@ def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return materialise(stars), pairs.select("a", "b"), lists.select("list", "nodes")
 
 
-def second_look(lists: DataFrame, roots: DataFrame, askers: DataFrame, marks: DataFrame | None, sets_for, answer) -> DataFrame:
+def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that all parity bits of classes (node, n, parity) allow."""
+    one, two = (classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}")) for x in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
+            p, q = ([x.as_py() for x in batch.column(c)] for c in ("pa", "pb"))
+            ok, width = np.zeros(len(n), bool), np.minimum(parity_words(n), parity_words(m))
+            for w in (1, 4, 16):
+                mine = np.flatnonzero(width == w)
+                left, right = (folded([x[i] for i in mine.tolist()], w) for x in (p, q))
+                ok[mine] = 9 * np.bitwise_count(left ^ right).sum(1, dtype=np.int64) <= (n + m)[mine]
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
+
+
+def second_look(lists: DataFrame, roots: DataFrame, askers: DataFrame, marks: DataFrame | None, sets_for, answer, read=unpack) -> DataFrame:
     """Searches of askers (node) among the members of their lists (list, nodes). marks: node, mark of whoever has one.
 
     roots: node, root: lists whose least members have the same root are searched as one home. A home's members and askers are
     dealt in blocks of BLOCK, each pair of blocks is a task, and a task holds the sets of its two blocks alone. sets_for(nodes)
-    gives the sets (node, tokens); answer(askers, members) is called with each side's nodes, marks (without one, the node) and
-    sets, and yields pairs (a, b)."""
+    gives the sets (node, tokens, or other bytes that `read` understands); answer(askers, members) is called with each side's
+    nodes, marks (without one, the node) and what was read, and yields pairs (a, b)."""
     spark = lists.sparkSession
     parts = lists.dropDuplicates(["list", "nodes"])
     least = parts.groupBy("list").agg(F.min(F.array_min("nodes")).alias("node")).join(roots, "node", "left").select("list", F.coalesce("root", "node").alias("home"))
@@ -367,7 +385,7 @@ def second_look(lists: DataFrame, roots: DataFrame, askers: DataFrame, marks: Da
         out: list[tuple[int, int]] = []
         for part in np.split(by, np.flatnonzero(key[by][1:] != key[by][:-1]) + 1):
             cut = int((side[part] == 0).sum())
-            sides = [(node[x], mark[x], [unpack(tokens[int(i)].as_py()) for i in x]) for x in (part[cut:], part[:cut])]
+            sides = [(node[x], mark[x], [read(tokens[int(i)].as_py()) for i in x]) for x in (part[cut:], part[:cut])]
             if cut and cut < len(part):
                 out += answer(*sides)
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})

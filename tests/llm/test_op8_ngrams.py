@@ -2,10 +2,11 @@ import random
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from graphloom.llm import ngrams, setjoin
+from graphloom.llm import common, ngrams, prefixjoin, setjoin
 from tests.llm.helpers import DOCS, SMALL, awkward_rows, table_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -67,6 +68,34 @@ def test_groups_of_near_copies(spark, tmp_path):
     assert sorted(r.doc_id for r in kept) == sorted({r[2] for r in brute(rows)})
 
 
+@pytest.mark.parametrize(("tried", "block"), [(1, 4), (16, 3), (2, 1000)])
+def test_chains_and_bridges(spark, tmp_path, monkeypatch, tried, block):
+    """Clusters that hang together by single links, looked for with few tries in small blocks and joins by shuffle."""
+    monkeypatch.setattr(ngrams, "TRIED", tried)
+    monkeypatch.setattr(prefixjoin, "BLOCK", block)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    rng = random.Random(tried)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    rows = []
+    for g in range(5):
+        base = [word() for _ in range(rng.choice((40, 90, 600)))]
+        for i in range(16):
+            for _ in range(rng.choice((0, 1, len(base) // 40))):
+                base[rng.randrange(len(base))] = word()
+            rows.append((1000 * g + rng.randrange(1000), " ".join(base), "en", "s", 1))
+    rows = list({r[0]: r for r in rows}.values())
+    rng.shuffle(rows)
+    assert got(spark, table_dir(tmp_path, spark, df=spark.createDataFrame(rows, DOCS).repartition(3))) == brute(rows)
+
+
+def test_clashing_names_and_long_text(spark):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(30_000)]
+    near = [*words[:20_000], "other", *words[20_001:]]
+    df = spark.createDataFrame([(3, " ".join(words), 1, "x"), (5, " ".join(near), 2, "y"), (7, None, 3, "z")], "doc_id long, text string, th int, `a.b` string")
+    assert {r.doc_id: r.component_id for r in ngrams.similar_components(df).collect()} == {3: 3, 5: 3, 7: 7}
+
+
 def test_awkward_and_empty(spark, tmp_path):
     assert got(spark, table_dir(tmp_path / "a", spark)) == brute(awkward_rows())
     assert got(spark, table_dir(tmp_path / "b", spark, df=spark.createDataFrame([], DOCS))) == []
