@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -54,12 +55,38 @@ def materialise(df: DataFrame, codec: str = "zstd", last: bool = False) -> DataF
     fs.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._graphloom_path = path
+    if scopes := _scopes(spark):
+        scopes[-1].append(out)
     if last:
         del df
         release(spark)
     return out
 
 
+def _scopes(spark: SparkSession) -> list[list[DataFrame]]:
+    """The open scratch scopes. They hang on the context: modules are shipped to executors and must hold no DataFrames."""
+    return spark.sparkContext.__dict__.setdefault("_graphloom_scopes", [])
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the tables that are written inside, but for those handed to the function it gives."""
+    _scopes(spark).append([])
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        for df in _scopes(spark).pop():
+            if not any(df is k for k in kept):
+                discard(df)
+        release(spark)
+
+
 def release(spark: SparkSession) -> None:
     """Spark deletes the files of a shuffle when the driver collects its plan as garbage, which may be long after its use."""
     gc.collect()

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import prefixjoin, setjoin
-from graphloom.llm.common import discard, materialise, pieces, rarity, small_enough, text_of
+from graphloom.llm.common import discard, materialise, pieces, rarity, scratch, small_enough, text_of
 from graphloom.llm.words import Words, mix, names_of, ranked, sets_of
 
 WORDS = 5
@@ -117,9 +117,9 @@ def ship(docs: DataFrame, wanted: DataFrame, order) -> DataFrame:
 def _links(askers: tuple, members: tuple) -> list[tuple[int, int]]:
     """(asker, member): for each asker and component other than its own, one similar member of that component if there is one."""
     nodes, marks, sets = members
-    sizes, words = prefixjoin.likeness(sets, 16)
+    sizes, words = prefixjoin.likeness(sets, 64)
     out = []
-    for node, mark, query, size, own in zip(askers[0].tolist(), askers[1].tolist(), askers[2], *prefixjoin.likeness(askers[2], 16), strict=True):
+    for node, mark, query, size, own in zip(askers[0].tolist(), askers[1].tolist(), askers[2], *prefixjoin.likeness(askers[2], 64), strict=True):
         far = prefixjoin.apart_of(size, own, sizes, words)
         far[marks == mark] = 2**30
         for other in np.unique(marks[far < 2**30]).tolist():
@@ -141,18 +141,21 @@ def _size_and_parity(raw: bytes) -> tuple[int, bytes]:
 def _likely(askers: tuple, members: tuple) -> list[tuple[int, int]]:
     """(asker, member) by parity alone: for each asker and component other than its own the TRIED likeliest members, and
     (asker, asker) if there are more."""
-    nodes, marks, _ = members
-    wide = [prefixjoin.folded([p for _, p in side[2]], 16) for side in (askers, members)]
-    sizes = [np.array([n for n, _ in side[2]]) for side in (askers, members)]
+    nodes, marks, sketches = members
+    sizes = np.array([n for n, _ in sketches])
+    widths, at = prefixjoin.parity_words(sizes), {}
     out = []
-    for node, mark, size, own in zip(askers[0].tolist(), askers[1].tolist(), sizes[0].tolist(), wide[0], strict=True):
+    for node, mark, (size, raw) in zip(askers[0].tolist(), askers[1].tolist(), askers[2], strict=True):
         far = np.full(len(nodes), 2**30)
-        width = np.minimum(prefixjoin.parity_words(np.array(size)), prefixjoin.parity_words(sizes[1]))
-        for w in (1, 4, 16):
-            mine = np.flatnonzero((width == w) & (marks != mark))
-            if len(mine):
-                fold = lambda x: np.bitwise_xor.reduce(x.reshape(-1, 16 // w, w), axis=1)  # noqa: B023, E731
-                far[mine] = prefixjoin.apart_of(size, fold(own)[0], sizes[1][mine], fold(wide[1][mine]))
+        width = np.minimum(prefixjoin.parity_words(size), widths)
+        for w in np.unique(width).tolist():
+            if w not in at:  # all members that have so many words or more, folded to that many
+                whole = np.flatnonzero(widths >= w)
+                at[w] = whole, prefixjoin.folded([sketches[i][1] for i in whole.tolist()], w)
+            mine, words = at[w]
+            use = (width[mine] == w) & (marks[mine] != mark)
+            if use.any():
+                far[mine[use]] = prefixjoin.apart_of(size, prefixjoin.folded([raw], w)[0], sizes[mine[use]], words[use])
         for other in np.unique(marks[far < 2**30]).tolist():
             mine = np.flatnonzero((marks == other) & (far < 2**30))
             best = mine[np.argsort(far[mine], kind="stable")]
@@ -209,13 +212,25 @@ def class_labels(docs: DataFrame, classes: DataFrame, order) -> DataFrame:
 
 def _components(docs: DataFrame) -> DataFrame:
     """doc_id, th, n, component, head (whether the row has the least id, then text, of its component) of every row."""
+    with scratch(docs.sparkSession) as keep:
+        narrow, ids = (keep(x) for x in _narrow_and_ids(docs))
+    return narrow.join(ids, ["s1", "s2"], "left").select(
+        "doc_id", "th", "n", F.coalesce("least.doc_id", "doc_id").alias("component"), (F.col("least").isNull() | F.col("least").eqNullSafe(_place())).alias("head")
+    )
+
+
+def _place():
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+
+
+def _narrow_and_ids(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Written tables: doc_id, th, s1, s2, n of every row; s1, s2, least (place of the component's first row) of every set."""
     text = text_of().cast("binary")
     base = docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text"))
     order = rarity(base.select("text"), shingle_hashes)
     rows = materialise(base.mapInArrow(_rows(order), ROWS))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     grouped = rows.filter("n > 0").groupBy("s1", "s2").agg(
-        F.min(place).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix")
+        F.min(_place()).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix")
     )
     classes = materialise(grouped.withColumn("node", F.monotonically_increasing_id()), last=True)
     narrow = materialise(rows.select("doc_id", "th", "s1", "s2", "n"))
@@ -226,11 +241,7 @@ def _components(docs: DataFrame) -> DataFrame:
     least = marked.groupBy("mark").agg(F.min("first").alias("least"))
     linked = marked.join(least, "mark").select("s1", "s2", "least")
     alone = named.join(labels, "node", "left_anti").select("s1", "s2", F.col("first").alias("least"))
-    ids = materialise(linked.union(alone))
-    discard(classes)
-    return narrow.join(ids, ["s1", "s2"], "left").select(
-        "doc_id", "th", "n", F.coalesce("least.doc_id", "doc_id").alias("component"), (F.col("least").isNull() | F.col("least").eqNullSafe(place)).alias("head")
-    )
+    return narrow, materialise(linked.union(alone))
 
 
 def similar_components(docs: DataFrame) -> DataFrame:

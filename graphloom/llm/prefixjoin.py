@@ -6,7 +6,7 @@ first n / 5 + 2, and so on. Each set is listed under its prefix tokens, and pair
 
 * the lengths allow it (5 * min >= 4 * max; lists are in the order of length, so a scan ends early),
 * the places of the token allow enough overlap,
-* and their parity bits (one bit per token, summed modulo 2; 64, 256 or 1024 of them by the size of the set) differ in no
+* and their parity bits (one bit per token, summed modulo 2; 64 of them or more, by the size of the set) differ in no
   more places than the sets may differ in tokens.
 
 A list of more than LIMIT sets is dealt out again under its token together with the next prefix tokens, up to DEPTH
@@ -79,13 +79,21 @@ def _planes(x: np.ndarray, width: int) -> np.ndarray:
 WIDTHS = {"t": (np.uint64, 5), "d": (np.int64, 8), "n": (np.int32, 4), "p": (np.uint16, 2)} | {f"s{k}": (np.uint64, 8) for k in range(4)}
 
 
+#: Most words of parity bits that a set keeps.
+MOST_WORDS = 4**7
+
+
 def parity_words(n):
-    """Words of 64 parity bits that a set of n tokens keeps; more tokens need more, to tell unlike sets apart."""
-    return np.where(n <= 80, 1, np.where(n <= 400, 4, 16))
+    """Words of 64 parity bits that a set of n tokens keeps, a power of four: more tokens need more, to tell unlike sets apart.
+    They take a tenth of the set's own size at most, from some hundred tokens on."""
+    words = np.ones_like(np.asarray(n), dtype=np.int64)
+    for k in range(7):
+        words = np.where(np.asarray(n) > 100 * 4**k, 4 ** (k + 1), words)
+    return words
 
 
 def parities(tokens: np.ndarray, counts: np.ndarray, keep: np.ndarray | None = None) -> pa.Array:
-    """Binary array of the parity words of some sets (none empty), as many as parity_words() says or `keep` (1, 4 or 16).
+    """Binary array of the parity words of some sets (none empty), as many as parity_words() says or `keep` (powers of four).
     Fewer words are the sums of more, by number modulo their count."""
     h = mix(tokens & np.uint64(2**HASH - 1))
     bits = np.uint64(1) << (h >> np.uint64(58))
@@ -98,7 +106,7 @@ def parities(tokens: np.ndarray, counts: np.ndarray, keep: np.ndarray | None = N
         out[starts[one]] = whole[one]
         wide = np.repeat(~one, counts)
         which = np.repeat(np.arange(len(counts)), counts)[wide]
-        word = ((h[wide] >> np.uint64(32)) & np.uint64(15)).astype(np.int64) % keep[which]
+        word = ((h[wide] >> np.uint64(32)) & np.uint64(MOST_WORDS - 1)).astype(np.int64) % keep[which]
         np.bitwise_xor.at(out, starts[which] + word, bits[wide])
     offsets = np.append(starts, len(out)).astype(np.int32) * 8
     return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
@@ -130,7 +138,7 @@ def parity_words(n):
 
 
 def parities(tokens: np.ndarray, counts: np.ndarray, keep: np.ndarray | None = None) -> pa.Array:
-    """Binary array of the parity words of some sets (none empty), as many as parity_words() says or `keep` (1, 4 or 16).
+    """Binary array of the parity words of some sets (none empty), as many as parity_words() says or `keep` (powers of four).
     Fewer words are the sums of more, by number modulo their count."""
     h = mix(tokens & np.uint64(2**HASH - 1))
     bits = np.uint64(1) << (h >> np.uint64(58))
@@ -143,7 +151,7 @@ def parities(tokens: np.ndarray, counts: np.ndarray, keep: np.ndarray | None = N
         out[starts[one]] = whole[one]
         wide = np.repeat(~one, counts)
         which = np.repeat(np.arange(len(counts)), counts)[wide]
-        word = ((h[wide] >> np.uint64(32)) & np.uint64(15)).astype(np.int64) % keep[which]
+        word = ((h[wide] >> np.uint64(32)) & np.uint64(MOST_WORDS - 1)).astype(np.int64) % keep[which]
         np.bitwise_xor.at(out, starts[which] + word, bits[wide])
     offsets = np.append(starts, len(out)).astype(np.int32) * 8
     return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
@@ -342,7 +350,7 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
             p, q = ([x.as_py() for x in batch.column(c)] for c in ("pa", "pb"))
             ok, width = np.zeros(len(n), bool), np.minimum(parity_words(n), parity_words(m))
-            for w in (1, 4, 16):
+            for w in np.unique(width).tolist():
                 mine = np.flatnonzero(width == w)
                 left, right = (folded([x[i] for i in mine.tolist()], w) for x in (p, q))
                 ok[mine] = 9 * np.bitwise_count(left ^ right).sum(1, dtype=np.int64) <= (n + m)[mine]

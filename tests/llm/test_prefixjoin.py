@@ -52,16 +52,16 @@ def test_all_similar_pairs(spark, monkeypatch, limit, seed):
 def test_parity_never_hides_similar_sets():
     rng = random.Random(7)
     sets = []
-    for n in (10, 70, 75, 85, 90, 300, 380, 420, 450, 2000):
+    for n in (10, 70, 95, 105, 110, 300, 380, 420, 450, 1500, 1700, 3000):
         base = rng.sample(range(10**6), n)
         sets += [base, base[: -(-n * 9 // 10)], [*base[: n - n // 10], *range(10**7, 10**7 + n // 10)], rng.sample(range(10**6), n)]
     arrays = [np.array(sorted(s), np.uint64) for s in sets]
     sizes = np.array([len(a) for a in arrays])
     words = prefixjoin.parities(np.concatenate(arrays), sizes).to_pylist()
     assert [len(x) // 8 for x in words] == prefixjoin.parity_words(sizes).tolist()
-    for kept in (1, 4, 16):
+    for kept in (1, 4, 16, 64):
         n, own = prefixjoin.likeness(arrays, kept)
-        assert (own == prefixjoin.folded([w for w in prefixjoin.parities(np.concatenate(arrays), sizes, np.full(len(sets), 16)).to_pylist()], kept)).all()
+        assert (own == prefixjoin.folded([w for w in prefixjoin.parities(np.concatenate(arrays), sizes, np.full(len(sets), 64)).to_pylist()], kept)).all()
         far = wrong = 0
         for i, s in enumerate(sets):
             found = prefixjoin.apart_of(int(n[i]), own[i], n, own)
