@@ -43,11 +43,11 @@ def short_tokens(c) -> Column:
 def source_tokens(c) -> Column:
     """T3: tokens of identifiers, then words of quoted strings; three or more characters, no stop words; repeats stay."""
     text = F.coalesce(_col(c), F.lit(""))
-    names = F.flatten(F.transform(F.regexp_extract_all(text, F.lit("([a-zA-Z_][a-zA-Z0-9_]{2,})"), 1), split_tokens))
+    # Split all identifiers in one string: nothing that splits them reaches over a space.
+    names = split_tokens(F.array_join(F.regexp_extract_all(text, F.lit("([a-zA-Z_][a-zA-Z0-9_]{2,})"), 1), " "))
     quoted = F.regexp_extract_all(text, F.lit("[\"']([^\"']{3,})[\"']"), 1)
     words = F.flatten(F.transform(quoted, lambda q: F.transform(F.regexp_extract_all(q, F.lit("([a-zA-Z]{3,})"), 1), F.lower)))
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS + CODE_STOP_WORDS])
-    return F.filter(F.concat(names, words), lambda x: (F.length(x) >= 3) & ~F.array_contains(stop, x))
+    return F.filter(F.concat(names, words), lambda x: (F.length(x) >= 3) & ~x.isin(STOP_WORDS + CODE_STOP_WORDS))
 
 
 def query_tokens(c) -> Column:

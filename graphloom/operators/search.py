@@ -11,15 +11,18 @@ from graphloom.functions.text import soft_cap, source_tokens, split_tokens, stem
 from graphloom.operators.callers import checkpointed
 
 PRUNE = 0.3
+PRUNED_TOKENS = 100_000
 
 
 def postings(sources: DataFrame) -> DataFrame:
-    """token, fn_id, without tokens that more than PRUNE of the sources hold."""
-    rows = sources.select("fn_id", F.explode(F.array_distinct(source_tokens("source"))).alias("token"))
-    df = rows.groupBy("token").agg(F.count("*").alias("df"))
-    total = sources.agg(F.count("*").alias("n"))
-    kept = df.crossJoin(F.broadcast(total)).filter(F.col("df") <= PRUNE * F.col("n")).select("token", "df")
-    return rows.join(kept, "token")
+    """token, fn_id, without tokens that more than PRUNE of the sources hold. Texts are tokenised once, into a checkpoint.
+
+    There are no more pruned tokens than distinct tokens of a source on average over PRUNE, so they may be broadcast up to
+    PRUNED_TOKENS; more are joined by shuffle."""
+    rows = checkpointed(sources.select("fn_id", F.explode(F.array_distinct(source_tokens("source"))).alias("token")))
+    most = PRUNE * sources.count()
+    pruned = checkpointed(rows.groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") > most).select("token"))
+    return rows.join(F.broadcast(pruned) if pruned.count() <= PRUNED_TOKENS else pruned, "token", "left_anti").select("token", "fn_id")
 
 
 def weights(queries: DataFrame, symbols: DataFrame, source_vocabulary: DataFrame) -> DataFrame:
