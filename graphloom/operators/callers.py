@@ -11,20 +11,42 @@ from pyspark.sql.window import Window
 from graphloom.functions.text import split_tokens
 
 
+#: Share of dotted calls from which a name is taken for a method.
+DOTTED = 0.8
+
+
 def ambiguous_methods(methods: DataFrame) -> DataFrame:
     return methods.groupBy("name").agg(F.count_distinct("class_name").alias("n_classes"))
 
 
+def dot_ratio(edges: DataFrame, least: float = DOTTED) -> DataFrame:
+    """callee, n, ratio (of calls with a dot), dotted: of three or more callers at least that share call it with a dot."""
+    ratio = F.avg(F.col("has_dot").cast("int"))
+    return edges.groupBy("callee").agg(F.count("*").alias("n"), ratio.alias("ratio"), ((F.count("*") >= 3) & (ratio >= least)).alias("dotted"))
+
+
 def plain_callers(edges: DataFrame, methods: DataFrame) -> DataFrame:
     """Callers where no class is given. A callee is taken for a method if some class has it, or if of three or more
     callers four in five call it with a dot; then untrusted dotted calls go."""
     known = methods.select(F.col("name").alias("callee")).distinct().withColumn("known", F.lit(True))
-    share = edges.groupBy("callee").agg(((F.count("*") >= 3) & (F.avg(F.col("has_dot").cast("int")) >= 0.8)).alias("dotted"))
+    share = dot_ratio(edges).select("callee", "dotted")
     rows = edges.join(known, "callee", "left").join(share, "callee")
     method = F.coalesce("known", F.lit(False)) | F.col("dotted")
     return rows.filter(~(method & F.col("has_dot") & ~F.col("trusted"))).drop("known", "dotted")
 
 
+def caller_stats(edges: DataFrame) -> DataFrame:
+    """callee, n_calls, n_files, n_callers and the share of all calls."""
+    e = edges.groupBy("callee").agg(F.count("*").alias("n_calls"), F.count_distinct("caller_file").alias("n_files"), F.count_distinct("caller").alias("n_callers"))
+    total = e.agg(F.sum("n_calls").alias("t"))
+    return e.crossJoin(F.broadcast(total)).select("callee", "n_calls", "n_files", "n_callers", F.round(F.col("n_calls") / F.col("t"), 6).alias("share"))
+
+
+def subclass_counts(classes: DataFrame) -> DataFrame:
+    """name, n: direct subclasses by the last dotted part of their base; names without any are left out."""
+    return classes.filter(F.col("base").isNotNull()).groupBy(F.substring_index("base", ".", -1).alias("name")).agg(F.count_distinct("name").alias("n"))
+
+
 def allow_list(class_files: DataFrame, imports: DataFrame) -> DataFrame:
     """Files from which a class may be called: class_name, file. Where it is defined, what imports that, and what imports
     its package's index file."""

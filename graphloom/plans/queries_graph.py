@@ -169,9 +169,9 @@ def c04_path_tiers(spark, sf):
     return lookup.file_tiers(relation(spark, sf, "files"), "en/25.ts").select("path", "seq", _b("tier"))
 
 
-@query("SELECT DISTINCT importer FROM imports WHERE target = 'NATION_7'")
+@query("SELECT DISTINCT importer FROM imports WHERE target = 'NATION_9'")
 def c06_importers(spark, sf):
-    return lookup.importers(relation(spark, sf, "imports"), "NATION_7")
+    return lookup.importers(relation(spark, sf, "imports"), "NATION_9")
 
 
 @query("SELECT DISTINCT target FROM imports WHERE importer = 'NATION_3'")

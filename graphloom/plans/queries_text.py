@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import paths, text
-from graphloom.operators import learning, search, stats
+from graphloom.operators import callers, learning, search, stats
 from graphloom.plans.views import relation, table, with_views
 from graphloom.streaming import watch
 
@@ -110,9 +110,9 @@ def j12_return_annotation(spark, sf):
     return table(spark, sf, "part").select("p_partkey", text.return_annotated(sig).alias("annotated"))
 
 
-@query("""SELECT doc_id, trim(split_part(trim(regexp_replace(split_part(trim(text), chr(10) || chr(10), 1), '[ \\t\\r\\n]+', ' ', 'g')), '. ', 1)) AS sentence FROM documents WHERE text NOT LIKE ' %' AND text NOT LIKE '% '""")
+@query("""SELECT doc_id, trim(split_part(trim(regexp_replace(split_part(trim(text), chr(10) || chr(10), 1), '[ \\t\\r\\n]+', ' ', 'g')), '. ', 1)) AS sentence FROM documents""")
 def j13_first_sentence(spark, sf):
-    return table(spark, sf, "documents").filter("text NOT LIKE ' %' AND text NOT LIKE '% '").select("doc_id", text.first_sentence("text").alias("sentence"))
+    return table(spark, sf, "documents").select("doc_id", text.first_sentence("text").alias("sentence"))
 
 
 @query("""SELECT l_orderkey, round(CASE WHEN s <= .85 THEN s ELSE .85 + .15 * (s - .85) / (.15 + s - .85) END, 6) AS capped, round(least(n / 20, 1), 6) AS sat, round(1 / (1 + exp(-greatest(least(q, 20), -20))), 6) AS sig
@@ -205,11 +205,9 @@ def f07_df_prune(spark, sf):
     return search.postings(relation(spark, sf, "sources")).groupBy("token").agg(F.count("*").alias("df"), F.min("fn_id").alias("first_id"))
 
 
-@query("SELECT callee, count(*) AS n, round(avg(has_dot::INT), 6) AS ratio, count(*) >= 3 AND avg(has_dot::INT) >= 0.33 AS dotted FROM edges GROUP BY callee")
+@query("SELECT callee, count(*) AS n, round(avg(has_dot::INT), 6) AS ratio, count(*) >= 3 AND avg(has_dot::INT) >= 0.8 AS dotted FROM edges GROUP BY callee")
 def f10_dot_ratio(spark, sf):
-    e = relation(spark, sf, "edges")
-    ratio = F.avg(F.col("has_dot").cast("int"))
-    return e.groupBy("callee").agg(F.count("*").alias("n"), F.round(ratio, 6).alias("ratio"), ((F.count("*") >= 3) & (ratio >= 0.33)).alias("dotted"))
+    return callers.dot_ratio(relation(spark, sf, "edges")).withColumn("ratio", F.round("ratio", 6))
 
 
 @query("""WITH s AS (SELECT concat('^', regexp_replace(trim(lower(p_name)), '[^a-z0-9 ]', '', 'g'), '$') AS s FROM part), g AS (SELECT substr(s, unnest(range(1, length(s))), 2) AS bigram FROM s),
@@ -227,9 +225,12 @@ def f14_trigram_vocabulary(spark, sf):
 
 @query("""SELECT callee, count(*) AS n_calls, count(DISTINCT caller_file) AS n_files, count(DISTINCT caller) AS n_callers, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM edges GROUP BY callee""")
 def f15_caller_stats(spark, sf):
-    e = relation(spark, sf, "edges").groupBy("callee").agg(F.count("*").alias("n_calls"), F.count_distinct("caller_file").alias("n_files"), F.count_distinct("caller").alias("n_callers"))
-    total = e.agg(F.sum("n_calls").alias("t"))
-    return e.crossJoin(F.broadcast(total)).select("callee", "n_calls", "n_files", "n_callers", F.round(F.col("n_calls") / F.col("t"), 6).alias("share"))
+    return callers.caller_stats(relation(spark, sf, "edges"))
+
+
+@query("SELECT split_part(base, '.', -1) AS name, count(DISTINCT name) AS n FROM classes WHERE base IS NOT NULL GROUP BY 1")
+def f15_subclass_counts(spark, sf):
+    return callers.subclass_counts(relation(spark, sf, "classes"))
 
 
 @query("""WITH t AS (SELECT doc_id AS id, unnest(regexp_extract_all(substr(text, 1, 2000), '[a-z]{3,}')) AS token FROM documents), c AS (SELECT id, token, count(*) AS c FROM t GROUP BY ALL),
@@ -305,14 +306,23 @@ def i12_fingerprint(spark, sf):
     return search.fingerprint(relation(spark, sf, "functions"))
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id IN (0, 7, 11)), s AS (SELECT query_id, vec_id AS id, round(least(1, list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * q[i]::DOUBLE))), 6) AS score FROM embeddings, q WHERE vec_id <> query_id)
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id AS id, round(least(1, list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * q[i]::DOUBLE))), 6) AS score FROM embeddings, q WHERE vec_id <> query_id)
   SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score >= 0.15) WHERE rank <= 20""")
 def i13_vector_topk(spark, sf):
     e = table(spark, sf, "embeddings")
-    q = e.filter(F.col("vec_id").isin(0, 7, 11)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return search.vector_top(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), q, 0.15, 20).select("query_id", "id", "score", _b("rank"))
 
 
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id AS id, round(least(1, list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * q[i]::DOUBLE))), 6) AS score FROM embeddings, q WHERE vec_id <> query_id)
+  SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score >= 0.20) WHERE rank <= 10""")
+def i14_file_vectors(spark, sf):
+    """The ten nearest files of 0.20 or more."""
+    e = table(spark, sf, "embeddings")
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return search.vector_top(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), q, 0.20, 10).select("query_id", "id", "score", _b("rank"))
+
+
 _RES = "SELECT DISTINCT name, CASE size % 3 WHEN 0 THEN 'function' WHEN 1 THEN 'class' ELSE 'file' END AS kind, file, round((seq % 97) / 97.0, 4)::DOUBLE AS score FROM functions"
 
 
@@ -420,9 +430,9 @@ def k01_conventions(spark, sf):
     return stats.conventions(parts)
 
 
-@query("""SELECT s_suppkey AS id, round(least(c / 20, 1), 6) AS f0, round(least(n / 30.0, 1), 6) AS f8, round(least((c + 1) / 50, 1), 6) AS fallback FROM (SELECT s_suppkey, any_value(length(s_name)) AS n, count(l_orderkey) AS c FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_quantity = 1 GROUP BY 1)""")
+@query("""SELECT s_suppkey AS id, round(least(c / 20, 1), 6) AS f0, round(least(n / 30.0, 1), 6) AS f8, round(least((c + 1) / 50, 1), 6) AS fallback FROM (SELECT s_suppkey, any_value(length(s_name)) AS n, count(l_orderkey) AS c FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1)""")
 def l04_importance_features(spark, sf):
-    s = table(spark, sf, "supplier").join(table(spark, sf, "lineitem").filter("l_quantity = 1"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    s = table(spark, sf, "supplier").join(table(spark, sf, "lineitem"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
     g = s.groupBy(F.col("s_suppkey").alias("id")).agg(F.first("s_name").alias("name"), F.count("l_orderkey").alias("n_callers"))
     rows = g.select("id", "name", F.lit("/src/api/x.py").alias("file"), "n_callers", F.lit(1).alias("n_files"), F.lit(1).alias("n_importers"), F.lit(0).alias("n_methods"))
     f = learning.importance_features(rows)
