@@ -5,9 +5,8 @@ whole word sequence where it has fewer words). Documents link when 100 * |inters
 what links reach. Equal sets are one class. prefixjoin brings candidates together, and every candidate is decided by a
 DivideSkip T-occurrence search over the inverted lists of whole sets (setjoin). First each class is asked for by its
 likeliest candidate; then, in lists whose members are not in one component yet, those apart from the least member's
-component look for the likeliest members of other components by parity bits alone, and search those; whoever has more than
-TRIED likely ones in a component searches all members, block by block, until a link is found. So groups of copies never
-expand into all pairs, and no link between components is lost. Components come from label propagation.
+component look for likely members of other components, block by block: by parity bits alone, and where there are any, on whole
+sets until a link is found. So groups of copies never expand into all pairs, and no link between components is lost. Components come from label propagation.
 
 Sets are compared by 50-bit hashes of their shingles and classes by 128-bit names, so a wrong result needs a collision.
 Texts without words, and null texts, have an empty set and stay alone. Null or repeated doc_ids are allowed (a component's
@@ -139,12 +138,11 @@ def _size_and_parity(raw: bytes) -> tuple[int, bytes]:
 
 
 def _likely(askers: tuple, members: tuple) -> list[tuple[int, int]]:
-    """(asker, member) by parity alone: for each asker and component other than its own the TRIED likeliest members, and
-    (asker, asker) if there are more."""
+    """(node, node) of every asker and member that parity alone lets be similar to one of the other side in another component."""
     nodes, marks, sketches = members
     sizes = np.array([n for n, _ in sketches])
     widths, at = prefixjoin.parity_words(sizes), {}
-    out = []
+    out, met = [], np.zeros(len(nodes), bool)
     for node, mark, (size, raw) in zip(askers[0].tolist(), askers[1].tolist(), askers[2], strict=True):
         far = np.full(len(nodes), 2**30)
         width = np.minimum(prefixjoin.parity_words(size), widths)
@@ -156,11 +154,11 @@ def _likely(askers: tuple, members: tuple) -> list[tuple[int, int]]:
             use = (width[mine] == w) & (marks[mine] != mark)
             if use.any():
                 far[mine[use]] = prefixjoin.apart_of(size, prefixjoin.folded([raw], w)[0], sizes[mine[use]], words[use])
-        for other in np.unique(marks[far < 2**30]).tolist():
-            mine = np.flatnonzero((marks == other) & (far < 2**30))
-            best = mine[np.argsort(far[mine], kind="stable")]
-            out += [(node, int(x)) for x in nodes[best[:TRIED]]] + [(node, node)] * (len(mine) > TRIED)
-    return out
+        near = far < 2**30
+        if near.any():
+            met |= near
+            out.append((node, node))
+    return out + [(int(x), int(x)) for x in nodes[met]]
 
 
 def class_labels(docs: DataFrame, classes: DataFrame, order) -> DataFrame:
@@ -184,25 +182,24 @@ def class_labels(docs: DataFrame, classes: DataFrame, order) -> DataFrame:
     home = materialise(home.filter("least < most").select("list", F.col("h.mark").alias("home")))
     askers = materialise(marked.join(home, "list").filter("mark <> home").select("node").distinct())
     open_lists = lists.join(home.select("list"), "list", "left_semi")
-    # Two components, the second look by parity alone; then the likeliest pairs on whole sets.
     one, two = (labels.select(F.col("node").alias(x), F.col("mark").alias(f"mark_{x}")) for x in "ab")
-    apart = lambda df: df.join(one, "a", "left").join(two, "b", "left").filter("coalesce(mark_a, a) <> coalesce(mark_b, b)").select("a", "b")
-    asked = prefixjoin.likely(apart(pairs.distinct().join(stars, ["a", "b"], "left_anti")), classes)
+    direct = pairs.distinct().join(stars, ["a", "b"], "left_anti").join(one, "a", "left").join(two, "b", "left")
+    direct = direct.filter("coalesce(mark_a, a) <> coalesce(mark_b, b)").select("a", "b")
+    direct = materialise(prefixjoin.likely(direct, classes))
+    if not direct.isEmpty():
+        links.append(materialise(setjoin.search(direct, sets_for(direct.select(both).distinct())), last=True))
     if not askers.isEmpty():
+        # By parity alone first; whoever has a likely partner in another component is searched on whole sets.
         roots = labels.select("node", F.col("mark").alias("root"))
         sketches = classes.select("node", "n", "parity")
         sketch = lambda nodes: nodes.join(sketches, "node").select("node", F.concat(F.unhex(F.lpad(F.hex("n"), 16, "0")), "parity").alias("tokens"))
         found = prefixjoin.second_look(open_lists, roots, askers, labels, sketch, _likely, _size_and_parity)
-        likely = found.filter("a <> b").distinct()
-        asked = asked.union(likely)
-        crowded = materialise(found.filter("a = b").select(F.col("a").alias("node")).distinct())
-    asked = materialise(asked.distinct())
-    if not asked.isEmpty():
-        links.append(materialise(setjoin.search(asked, sets_for(asked.select(both).distinct())), last=True))
-        labels = setjoin.components(links[0].union(links[1]))
-    if not askers.isEmpty() and not crowded.isEmpty():
-        # Those with more likely partners than were tried search all of them, block by block.
-        links.append(prefixjoin.second_look(open_lists, roots, crowded, labels, sets_for, _links))
+        near = materialise(found.select(F.col("a").alias("node")).distinct())
+        if not near.isEmpty():
+            part = F.pmod(F.xxhash64("node"), F.lit(64).cast("long"))  # a list may be long
+            kept = marked.join(near, "node", "left_semi").groupBy("list", part).agg(F.collect_set("node").alias("nodes")).select("list", "nodes")
+            links.append(prefixjoin.second_look(kept, roots, askers.join(near, "node", "left_semi"), labels, sets_for, _links))
+    if len(links) > 1:
         whole = links[0]
         for x in links[1:]:
             whole = whole.union(x)

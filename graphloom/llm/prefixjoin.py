@@ -380,25 +380,28 @@ def second_look(lists: DataFrame, roots: DataFrame, askers: DataFrame, marks: Da
         pair = ("own", "other") if side else ("other", "own")
         return rows.select(F.xxhash64("home", *pair).alias("key"), "node", F.lit(side).alias("side"))
 
-    tasks = materialise(deal(members, "pm", "pa", 0).union(deal(asks, "pa", "pm", 1)))
+    # role 0: member alone, 1: asker alone, 2: both; each set is shipped once for a task.
+    role = F.when(F.count_distinct("side") > 1, 2).otherwise(F.max("side")).alias("role")
+    tasks = materialise(deal(members, "pm", "pa", 0).union(deal(asks, "pa", "pm", 1)).groupBy("key", "node").agg(role))
     sets = sets_for(tasks.select("node").distinct())
     bundles = max(2 * partitions(spark), int(tasks.count() // BLOCK) + 1)
     sets = sets.withColumn("mark", F.col("node")) if marks is None else sets.join(marks, "node", "left").withColumn("mark", F.coalesce("mark", "node"))
     shipped = tasks.join(sets, "node").withColumn("bundle", F.pmod("key", F.lit(bundles).cast("long")))
 
     def run(table: pa.Table) -> pa.Table:
-        key, node, side, mark = (table.column(c).to_numpy() for c in ("key", "node", "side", "mark"))
+        key, node, role, mark = (table.column(c).to_numpy() for c in ("key", "node", "role", "mark"))
         tokens = table.column("tokens")
-        by = np.lexsort((node, side, key))
+        by = np.lexsort((node, key))
         out: list[tuple[int, int]] = []
         for part in np.split(by, np.flatnonzero(key[by][1:] != key[by][:-1]) + 1):
-            cut = int((side[part] == 0).sum())
-            sides = [(node[x], mark[x], [read(tokens[int(i)].as_py()) for i in x]) for x in (part[cut:], part[:cut])]
-            if cut and cut < len(part):
+            asks, held = role[part] > 0, role[part] != 1
+            if asks.any() and held.any():
+                found = [read(tokens[int(i)].as_py()) for i in part]
+                sides = [(node[part[x]], mark[part[x]], [f for f, y in zip(found, x.tolist(), strict=True) if y]) for x in (asks, held)]
                 out += answer(*sides)
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
-    return materialise(shipped.select("bundle", "key", "node", "side", "mark", "tokens").groupBy("bundle").applyInArrow(run, "a long, b long"), last=True)
+    return materialise(shipped.select("bundle", "key", "node", "role", "mark", "tokens").groupBy("bundle").applyInArrow(run, "a long, b long"), last=True)
 
 
 def likeness(sets: list[np.ndarray], words: int) -> tuple[np.ndarray, np.ndarray]:
