@@ -10,8 +10,8 @@ first n / 5 + 2, and so on. Each set is listed under its prefix tokens, and pair
   more places than the sets may differ in tokens.
 
 A list of more than LIMIT sets is dealt out again under its token together with the next prefix tokens, up to DEPTH
-tokens deep. What is given back grows with the memberships, never with the pairs: every set with its least partner in each list,
-and the lists in which three or more sets have partners, for a second look at what the least partners leave open.
+tokens deep. What is given back grows with the memberships, never with the pairs: every set with its likeliest lesser partner in
+each list, and the lists in which three or more sets have partners, for a second look at what those partners leave open.
 """
 
 from __future__ import annotations

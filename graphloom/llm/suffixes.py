@@ -23,7 +23,6 @@ text: repeated rows are documents of their own and get equal results. Very long
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np

@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from graphloom.llm import shards
-from tests.llm.helpers import DOCS, SMALL, awkward, table_dir
+from tests.llm.helpers import DOCS, SMALL, table_dir
 
 
 def check(rows, m):
