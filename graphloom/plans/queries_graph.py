@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import paths, text
-from graphloom.operators import callers, dead, edges, imports, lookup
+from graphloom.operators import callers, edges, imports, lookup
 from graphloom.plans.views import relation, table, with_views
 
 QUERIES: dict = {}

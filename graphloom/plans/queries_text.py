@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions import paths, text
+from graphloom.functions import text
 from graphloom.operators import callers, learning, search, stats
 from graphloom.plans.views import relation, table, with_views
 from graphloom.streaming import watch
