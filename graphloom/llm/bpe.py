@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import pieces, text_of
+from graphloom.llm.common import pieces, text_of, trim
 
 CACHE = 200_000
 LONGEST = 64
@@ -141,6 +141,7 @@ def tokenizer_path() -> str:
 
 def _per_text(path: str | None, make: Callable, names: list[str], kinds: list[pa.DataType], column: str, text: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         bpe = Bpe(path or tokenizer_path())
         split = pieces if text else lambda whole, *_: (whole.slice(i, 500) for i in range(0, whole.num_rows, 500))
         for batch in (part for whole in batches for part in split(whole, column, PIECE_BYTES)):

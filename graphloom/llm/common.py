@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
@@ -116,6 +117,7 @@ def small_enough(df: DataFrame, size: Column) -> bool:
 
 def _count_cells(hashes_of: Callable[[list[bytes]], np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         counts = np.zeros(2**CELLS_LOG2, np.int64)
         for batch in (part for whole in batches for part in pieces(whole, "text", 2**20)):
             cells = (hashes_of([x.as_py() for x in batch.column("text")]) >> np.uint64(64 - CELLS_LOG2)).astype(np.int64)
@@ -152,6 +154,16 @@ def rarity(texts: DataFrame, hashes_of: Callable[[list[bytes]], np.ndarray]):
     return spark.sparkContext.broadcast(order.reshape(-1))
 
 
+def trim() -> None:
+    """Give back memory that a reused Python worker still holds from earlier tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def pieces(batch, column: str, most: int):
     """Slices of an Arrow batch whose values in a string or binary column take about `most` bytes; one row at least each."""
     values = batch.column(batch.schema.get_field_index(column))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import prefixjoin, setjoin
-from graphloom.llm.common import discard, materialise, pieces, rarity, scratch, small_enough, text_of
+from graphloom.llm.common import discard, materialise, pieces, rarity, scratch, small_enough, text_of, trim
 from graphloom.llm.words import Words, mix, names_of, ranked, sets_of
 
 WORDS = 5
@@ -75,6 +75,7 @@ ROWS = "doc_id long, th long, s1 long, s2 long, n int, parity binary, prefix bin
 
 def _rows(order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         rank = order.value
         for batch in (part for whole in batches for part in pieces(whole, "text", prefixjoin.PIECE_BYTES)):
             tokens, counts = token_sets([x.as_py() for x in batch.column("text")], rank)
@@ -198,6 +199,11 @@ def class_labels(docs: DataFrame, classes: DataFrame, order) -> DataFrame:
         if not near.isEmpty():
             part = F.pmod(F.xxhash64("node"), F.lit(64).cast("long"))  # a list may be long
             kept = marked.join(near, "node", "left_semi").groupBy("list", part).agg(F.collect_set("node").alias("nodes")).select("list", "nodes")
+            kept = materialise(kept)
+            # Lists that share likely sets are one home, so that each set is shipped to one home only.
+            family = setjoin.components(kept.select(F.array_min("nodes").alias("a"), F.explode("nodes").alias("b")).union(
+                kept.groupBy("list").agg(F.min(F.array_min("nodes")).alias("a"), F.collect_set(F.array_min("nodes")).alias("m")).select("a", F.explode("m").alias("b"))))
+            roots = family.select("node", F.col("mark").alias("root"))
             links.append(prefixjoin.second_look(kept, roots, askers.join(near, "node", "left_semi"), labels, sets_for, _links))
     if len(links) > 1:
         whole = links[0]

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialise, partitions, pieces
+from graphloom.llm.common import materialise, partitions, pieces, small_enough, trim
 from graphloom.llm.words import HASH, mix
 
 LIMIT = 2048
@@ -189,6 +189,7 @@ def _emit(depth: int, buckets: int):
     that are alike compress away."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         for batch in (part for whole in batches for part in pieces(whole, "prefix", PIECE_BYTES)):
             raw = [x.as_py() for x in batch.column("prefix")]
             sizes = np.array([len(x) // 7 for x in raw], np.int64)
@@ -386,7 +387,8 @@ def second_look(lists: DataFrame, roots: DataFrame, askers: DataFrame, marks: Da
     sets = sets_for(tasks.select("node").distinct())
     bundles = max(2 * partitions(spark), int(tasks.count() // BLOCK) + 1)
     sets = sets.withColumn("mark", F.col("node")) if marks is None else sets.join(marks, "node", "left").withColumn("mark", F.coalesce("mark", "node"))
-    shipped = tasks.join(sets, "node").withColumn("bundle", F.pmod("key", F.lit(bundles).cast("long")))
+    few = small_enough(tasks, F.lit(64))  # then the sets need not be shuffled to meet them
+    shipped = sets.join(F.broadcast(tasks) if few else tasks, "node").withColumn("bundle", F.pmod("key", F.lit(bundles).cast("long")))
 
     def run(table: pa.Table) -> pa.Table:
         key, node, role, mark = (table.column(c).to_numpy() for c in ("key", "node", "role", "mark"))

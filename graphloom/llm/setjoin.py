@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import prefixjoin
-from graphloom.llm.common import discard, materialise, partitions
+from graphloom.llm.common import BROADCAST_BYTES, discard, materialise, partitions
 
 #: Candidates that share a task with the set that asks among them.
 PER_TASK = 2000
@@ -111,11 +111,14 @@ def search(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     spark = pairs.sparkSession
     sizes = pairs.groupBy("a").agg(F.count("*").alias("m"))
     dealt = pairs.join(sizes, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / PER_TASK)))
-    bundles = max(4 * partitions(spark), int(pairs.count() // PER_TASK) + 1)
+    n = pairs.count()
+    bundles = max(4 * partitions(spark), int(n // PER_TASK) + 1)
     asks = dealt.select("a", "part", F.col("a").alias("node"), F.lit(0).alias("mark")).distinct()
     members = asks.union(dealt.select("a", "part", F.col("b").alias("node"), F.lit(1)))
     bundle = F.pmod(F.xxhash64("a", "part", F.lit(3)), F.lit(bundles).cast("long")).alias("bundle")
-    shipped = members.join(sets.select("node", "tokens"), "node").select(bundle, "a", "part", "node", "mark", "tokens")
+    # Members are narrow: where they are few, the sets need not be shuffled to meet them.
+    members = F.broadcast(members) if 128 * n <= BROADCAST_BYTES else members
+    shipped = sets.select("node", "tokens").join(members, "node").select(bundle, "a", "part", "node", "mark", "tokens")
 
     def run(table: pa.Table) -> pa.Table:
         a, part, node, mark = (table.column(c).to_numpy() for c in ("a", "part", "node", "mark"))
