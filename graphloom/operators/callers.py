@@ -136,6 +136,11 @@ def subclass_paths(classes: DataFrame, root: str, depth: int) -> DataFrame:
     return out
 
 
+def flattened(tree: DataFrame) -> DataFrame:
+    """path, node: a tree of paths (depth, path, node) in depth-first order, a parent before its children."""
+    return tree.orderBy("path").select("path", "node")
+
+
 def ancestors(classes: DataFrame, most: int = 8) -> DataFrame:
     """name, ancestor, depth (the least), for every class."""
     up = classes.filter(F.col("base").isNotNull()).select(F.col("name").alias("src"), F.substring_index("base", ".", -1).alias("dst")).distinct()

@@ -121,6 +121,21 @@ def detail(rows: DataFrame, level: str) -> DataFrame:
     return rows.drop(*DETAILS[level])
 
 
+def stripped(rows: DataFrame, column: str, fields: list[str]) -> DataFrame:
+    """rows without some fields of the structs in an array column; fields that are not there are passed over."""
+    there = rows.schema[column].dataType.elementType.fieldNames()
+    gone = [f for f in fields if f in there]
+    return rows.withColumn(column, F.transform(column, lambda x: x.dropFields(*gone))) if gone else rows
+
+
+def envelope(matches: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row per key: whether more than one match stands for it, a message, and the matches in order."""
+    rest = [c for c in matches.columns if c not in keys]
+    rows = matches.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in rest if c not in order]))).alias("matches"))
+    n = F.size("matches")
+    return rows.select(*keys, (n > 1).alias("ambiguous"), F.when(n > 1, F.concat(F.lit("found "), n, F.lit(" matches; name a file or class"))).alias("message"), "matches")
+
+
 def page(rows: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
     return rows.orderBy(*order).offset(max(offset, 0)).limit(limit)
 

@@ -147,6 +147,19 @@ def fuse(keyword: DataFrame, vector: DataFrame) -> DataFrame:
     return rows.select("id", both.alias("score")).filter("score is not null")
 
 
+def gated(results: DataFrame, tokens: DataFrame, symbols: DataFrame, vocabulary: DataFrame, nonsense: DataFrame) -> DataFrame:
+    """results with scores of at most 0.35 for questions that are taken for nonsense, have no token that equals or shares its stem
+    with a symbol's, and fewer than two tokens in the sources.
+
+    results: query_id, score; tokens: query_id, token; symbols, vocabulary: token; nonsense: query_id."""
+    asked = tokens.select("query_id", "token").distinct().withColumn("k", F.left("token", F.lit(4)))
+    known = symbols.select(F.col("token").alias("s")).distinct().withColumn("k", F.left("s", F.lit(4)))
+    named = asked.join(known, "k").filter((F.col("token") == F.col("s")) | stem_match("token", "s")).select("query_id").distinct()
+    found = asked.join(vocabulary.select("token").distinct(), "token", "left_semi").groupBy("query_id").count().filter("count >= 2").select("query_id")
+    cut = nonsense.select("query_id").distinct().join(named.union(found).distinct(), "query_id", "left_anti").withColumn("cut", F.lit(True))
+    return results.join(cut, "query_id", "left").withColumn("score", F.when(F.col("cut"), F.least("score", F.lit(0.35))).otherwise(F.col("score"))).drop("cut")
+
+
 def with_expansion(primary: DataFrame, more: DataFrame, n: int) -> DataFrame:
     """Expansions take up to n/2 places (three stay for primary hits) and come after them, whatever their score."""
     slots = min(n // 2, max(0, n - 3))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import paths
-from graphloom.operators import filesearch
+from graphloom.operators import filesearch, lookup, search
 from graphloom.plans.views import relation, table, with_views
 
 QUERIES: dict = {}
@@ -117,3 +117,37 @@ def c13_project_files(spark, sf):
     both = f.union(f.select(F.concat(F.lit("/mnt"), "path")))
     de = F.col("path").startswith("/proj/de/")
     return both.select("path", (filesearch.in_project(F.col("path"), "/proj/en/") | de).alias("inside"))
+
+
+_ASKED = """q AS (SELECT s_suppkey AS query_id, s_acctbal / 10000 AS score, s_suppkey % 2 = 0 AS nonsense, CASE s_suppkey % 3 WHEN 0 THEN 'widgets' ELSE 'zzzzz' END AS one,
+  concat('tok', s_suppkey % 7) AS two, concat('tok', s_suppkey % 5) AS three FROM supplier)"""
+
+
+@query(f"""WITH {_ASKED}, n AS (SELECT query_id, (two IN ('tok0', 'tok1', 'tok2'))::INT + (three <> two AND three IN ('tok0', 'tok1', 'tok2'))::INT AS inside FROM q)
+  SELECT q.query_id, round(CASE WHEN nonsense AND one = 'zzzzz' AND inside < 2 THEN least(score, 0.35) ELSE score END, 6)::DOUBLE AS score FROM q JOIN n ON q.query_id = n.query_id""")
+def i19_gibberish_gate(spark, sf):
+    """`widgets` shares its stem with a symbol; tok0 to tok2 are in the sources."""
+    table(spark, sf, "supplier").createOrReplaceTempView("files_supplier")
+    q = spark.sql(f"WITH {_ASKED} SELECT * FROM q".replace("FROM supplier", "FROM files_supplier"))
+    tokens = q.select("query_id", F.explode(F.array("one", "two", "three")).alias("token"))
+    symbols = relation(spark, sf, "functions").select(F.explode(F.split("name", "_")).alias("token"))
+    inside = spark.range(3).select(F.concat(F.lit("tok"), "id").alias("token"))
+    out = search.gated(q.select("query_id", "score"), tokens, symbols, inside, q.filter("nonsense").select("query_id"))
+    return out.select("query_id", F.round("score", 6).alias("score"))
+
+
+@query("""SELECT name, count(*) > 1 AS ambiguous, CASE WHEN count(*) > 1 THEN concat('found ', count(*), ' matches; name a file or class') END AS message,
+  string_agg(concat(file, '#', seq), ',' ORDER BY file, seq) AS places FROM functions GROUP BY name""")
+def c16_ambiguity_envelope(spark, sf):
+    out = lookup.envelope(relation(spark, sf, "functions").select("name", "file", "seq"), ["name"], ["file", "seq"])
+    places = F.array_join(F.transform("matches", lambda x: F.concat(x["file"], F.lit("#"), x["seq"])), ",")
+    return out.select("name", "ambiguous", "message", places.alias("places"))
+
+
+@query("SELECT file, string_agg(concat('{\"name\":\"', name, '\",\"seq\":', seq, '}'), ',' ORDER BY seq) AS items FROM functions GROUP BY file")
+def d02_nested_strip(spark, sf):
+    """Members of a file without their docstrings and class names."""
+    item = F.struct("seq", "name", "docstring", "class_name")
+    rows = relation(spark, sf, "functions").groupBy("file").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    out = lookup.stripped(rows, "items", ["docstring", "class_name", "decorators"])
+    return out.select("file", F.array_join(F.transform("items", lambda x: F.to_json(F.struct(x["name"].alias("name"), x["seq"].alias("seq")))), ",").alias("items"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graphloom.functions import paths, text
 from graphloom.operators import callers, edges, imports, lookup
@@ -350,6 +351,15 @@ def g11_subclass_tree(spark, sf):
     return t.select(_b("depth"), F.array_join("path", ">").alias("path"), "node")
 
 
+@query("""WITH RECURSIVE c AS (SELECT name, split_part(base, '.', -1) AS parent FROM classes WHERE base IS NOT NULL),
+  t AS (SELECT 0 AS depth, ['Region1'] AS path, 'Region1' AS node UNION ALL SELECT depth + 1, list_append(path, c.name), c.name FROM t JOIN c ON c.parent = t.node WHERE depth < 3)
+  SELECT node, row_number() OVER (ORDER BY path) AS place FROM t WHERE depth > 0""")
+def g08_flatten(spark, sf):
+    """Subclasses in depth-first order."""
+    flat = callers.flattened(callers.subclass_paths(relation(spark, sf, "classes"), "Region1", 3))
+    return flat.limit(1000).select("node", F.row_number().over(Window.orderBy("path")).cast("long").alias("place"))
+
+
 @query("""WITH RECURSIVE c AS (SELECT DISTINCT name, split_part(base, '.', -1) AS parent FROM classes WHERE base IS NOT NULL),
   t AS (SELECT name, parent AS ancestor, 1 AS depth FROM c UNION SELECT t.name, c.parent, depth + 1 FROM t JOIN c ON c.name = t.ancestor WHERE depth < 8)
   SELECT name, ancestor, min(depth)::BIGINT AS depth FROM t GROUP BY ALL""")
