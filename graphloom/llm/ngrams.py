@@ -200,10 +200,6 @@ def class_labels(docs: DataFrame, classes: DataFrame, order) -> DataFrame:
             part = F.pmod(F.xxhash64("node"), F.lit(64).cast("long"))  # a list may be long
             kept = marked.join(near, "node", "left_semi").groupBy("list", part).agg(F.collect_set("node").alias("nodes")).select("list", "nodes")
             kept = materialise(kept)
-            # Lists that share likely sets are one home, so that each set is shipped to one home only.
-            family = setjoin.components(kept.select(F.array_min("nodes").alias("a"), F.explode("nodes").alias("b")).union(
-                kept.groupBy("list").agg(F.min(F.array_min("nodes")).alias("a"), F.collect_set(F.array_min("nodes")).alias("m")).select("a", F.explode("m").alias("b"))))
-            roots = family.select("node", F.col("mark").alias("root"))
             links.append(prefixjoin.second_look(kept, roots, askers.join(near, "node", "left_semi"), labels, sets_for, _links))
     if len(links) > 1:
         whole = links[0]
