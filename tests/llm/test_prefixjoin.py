@@ -77,6 +77,18 @@ def test_parity_never_hides_similar_sets():
     assert both.tolist() == [len(set(sets[4]) & set(x)) for x in sets]
 
 
+def test_parity_tells_large_unlike_sets_apart(spark):
+    rng = random.Random(11)
+    sets, unlike, alike = [], [], []
+    for n in (90, 390, 1500, 3000, 12_000, 30_000):
+        base = rng.sample(range(10**8), n)
+        sets += [base, [*base[: n - n // 10], *range(2 * 10**8, 2 * 10**8 + n // 10)], rng.sample(range(10**8), n)]
+        alike.append((len(sets) - 3, len(sets) - 2))
+        unlike += [(len(sets) - 3, len(sets) - 1), (len(sets) - 2, len(sets) - 1)]
+    pairs = spark.createDataFrame(alike + unlike, "a long, b long")
+    assert sorted(tuple(r) for r in prefixjoin.likely(pairs, classes_of(spark, sets)).collect()) == alike
+
+
 def test_packing():
     tokens = np.array([0, 1, 2**56 - 1, 2**50 + 7], np.uint64)
     assert prefixjoin.unpack(prefixjoin.pack(tokens)).tolist() == tokens.tolist()
