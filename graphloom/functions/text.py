@@ -26,6 +26,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(c, f) -> Column:
+    """f of a variable that holds c: a lambda inside f would work out c itself again for every element."""
+    return F.transform(F.array(_col(c)), f)[0]
+
+
 def split_tokens(c) -> Column:
     """T1: words of an identifier or path; camel case and acronyms split, digits stay attached."""
     s = F.regexp_replace(_col(c), r"(?U)[_\-.\s/\\]+", " ")
@@ -66,9 +71,9 @@ def stem_match(a, b) -> Column:
 
 def bigrams(c) -> Column:
     """Distinct letter pairs of the lower-cased letters."""
-    s = F.regexp_replace(F.lower(_col(c)), "[^a-z]", "")
-    pairs = F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substring(s, i, F.lit(2)))
-    return F.when(F.length(s) >= 2, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+    pairs = lambda s: F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substring(s, i, F.lit(2)))
+    some = lambda s: F.when(F.length(s) >= 2, F.array_distinct(pairs(s))).otherwise(F.array().cast("array<string>"))
+    return bound(F.regexp_replace(F.lower(_col(c)), "[^a-z]", ""), some)
 
 
 def jaccard(a, b) -> Column:
@@ -85,7 +90,7 @@ def normalised(c) -> Column:
 def marked_bigrams(c) -> Column:
     """All character pairs of the normalised text between ^ and $."""
     s = F.concat(F.lit("^"), normalised(c), F.lit("$"))
-    return F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substring(s, i, F.lit(2)))
+    return bound(s, lambda s: F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substring(s, i, F.lit(2))))
 
 
 def shared_prefix(a, b) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from graphloom.functions import paths
-from graphloom.functions.text import bigrams, jaccard, marked_bigrams, normalised, saturating, short_tokens
+from graphloom.functions.text import bigrams, bound, jaccard, marked_bigrams, normalised, saturating, short_tokens
 
 ALPHABET = 29  # a-z, ^, $ and space: 841 pairs
 
@@ -60,7 +60,10 @@ def proxy_importance(rows: DataFrame) -> DataFrame:
 
 def meta_features(text: Column, log_prob: Column) -> Column:
     """Eight signs of gibberish. log_prob: the mean log-probability of the marked bigrams."""
-    s = normalised(text)
+    return bound(normalised(text), lambda s: _meta_features(text, s, log_prob))
+
+
+def _meta_features(text: Column, s: Column, log_prob: Column) -> Column:
     n = F.greatest(F.length(s), F.lit(1))
     chars = F.array_distinct(F.split(s, ""))
     entropy = -F.aggregate(
@@ -80,11 +83,14 @@ def bigram_vector(text: Column) -> Column:
     """Sparse part of the gibberish vector: index -> count / norm over the marked bigrams' 841 places."""
     place = lambda c: F.when(c == "^", 26).when(c == "$", 27).when(c == " ", 28).otherwise(F.ascii(c) - 97)
     index = F.transform(marked_bigrams(text), lambda g: place(F.substring(g, 1, 1)) * ALPHABET + place(F.substring(g, 2, 1)))
-    kept = F.filter(index, lambda i: (i >= 0) & (i < ALPHABET * ALPHABET))
-    count = lambda i: F.size(F.filter(kept, lambda j: j == i)).cast("double")
-    rows = F.transform(F.array_sort(F.array_distinct(kept)), lambda i: F.struct(i.alias("i"), count(i).alias("c")))
-    norm = F.sqrt(F.aggregate(rows, F.lit(0.0).cast("double"), lambda a, x: a + x["c"] * x["c"]))
-    return F.transform(rows, lambda x: F.struct(x["i"].alias("i"), (x["c"] / norm).alias("v")))
+    kept = F.sort_array(F.filter(index, lambda i: (i >= 0) & (i < ALPHABET * ALPHABET)))
+    # Equal places lie side by side: a run's length is the way to the start of the next one.
+    starts = lambda k: F.filter(F.sequence(F.lit(0), F.size(k) - 1), lambda p: (p == 0) | (F.get(k, p) != F.get(k, p - 1)))
+    end = lambda k, at, n: F.coalesce(F.get(at, n + 1), F.size(k))
+    runs = lambda k: bound(starts(k), lambda at: F.transform(at, lambda p, n: F.struct(F.get(k, p).alias("i"), (end(k, at, n) - p).cast("double").alias("c"))))
+    norm = lambda rows: F.sqrt(F.aggregate(rows, F.lit(0.0).cast("double"), lambda a, x: a + x["c"] * x["c"]))
+    scaled = lambda rows: bound(norm(rows), lambda all_: F.transform(rows, lambda x: F.struct(x["i"].alias("i"), (x["c"] / all_).alias("v"))))
+    return bound(kept, lambda k: bound(F.when(F.size(k) > 0, runs(k)).otherwise(F.array().cast("array<struct<i:int,c:double>>")), scaled))
 
 
 class Mlp:
