@@ -68,8 +68,17 @@ def primary(functions: DataFrame) -> DataFrame:
     )
 
 
+def _shuffled(side: DataFrame) -> DataFrame:
+    """side for a shuffle join: sizes of what is taken out of texts are estimated far too low, and a broadcast passes the driver."""
+    return side.hint("merge")
+
+
 def _known(rows: DataFrame, names: DataFrame, at: int, trusted: bool) -> DataFrame:
-    kept = rows.join(names.select(F.col("name").alias("callee")).distinct(), "callee", "left_semi")
+    kept = rows.join(_shuffled(names.select(F.col("name").alias("callee")).distinct()), "callee", "left_semi")
+    return _marked(kept, at, trusted)
+
+
+def _marked(kept: DataFrame, at: int, trusted: bool) -> DataFrame:
     return kept.select(
         "callee", F.col("name").alias("caller"), F.col("file").alias("caller_file"), F.col("class_name").alias("caller_class"),
         F.array().cast("array<string>").alias("receivers"), F.lit(False).alias("has_dot"), F.lit(trusted).alias("trusted"), F.lit(at).alias("pass"), "seq",
@@ -89,7 +98,7 @@ def references(functions: DataFrame) -> DataFrame:
 def factories(functions: DataFrame, classes: DataFrame) -> DataFrame:
     """Top-level functions that return a known class; the last of a name counts."""
     rows = functions.filter(F.col("class_name").isNull()).select("name", "seq", F.posexplode(F.regexp_extract_all("return_type", F.lit(r"([A-Z]\w+)"), 1)).alias("pos", "type"))
-    rows = rows.join(classes.select(F.col("name").alias("type")).distinct(), "type", "left_semi")
+    rows = rows.join(_shuffled(classes.select(F.col("name").alias("type")).distinct()), "type", "left_semi")
     first = rows.groupBy("name", "seq").agg(F.min_by("type", "pos").alias("type"))
     return first.groupBy("name").agg(F.max_by("type", "seq").alias("type"))
 
@@ -103,13 +112,14 @@ def typed_calls(functions: DataFrame, classes: DataFrame, class_methods: DataFra
         .select("seq", F.lit(way).alias("way"), "pos", "x.var", "x.type")
         for way, p in ways
     ]
-    by_factory = made[2].join(factories(functions, classes).select(F.col("type").alias("made"), F.col("name").alias("type")), "type").select("seq", "way", "pos", "var", F.col("made").alias("type"))
+    by_factory = made[2].join(_shuffled(factories(functions, classes).select(F.col("type").alias("made"), F.col("name").alias("type"))), "type").select("seq", "way", "pos", "var", F.col("made").alias("type"))
     types = made[0].union(made[1]).union(by_factory).groupBy("seq", "var").agg(F.max_by("type", F.struct("way", "pos")).alias("type"))
     pattern = F.lit(METHOD_CALL)
     calls = base.select("name", "class_name", "file", "seq", F.explode(F.arrays_zip(F.regexp_extract_all("source", pattern, 1).alias("var"), F.regexp_extract_all("source", pattern, 2).alias("callee"))).alias("x"))
     calls = calls.select("name", "class_name", "file", "seq", "x.var", "x.callee")
-    found = calls.join(types, ["seq", "var"]).join(class_methods.select(F.col("class_name").alias("type"), F.col("name").alias("callee")).distinct(), ["type", "callee"], "left_semi")
-    return _known(found, found.select(F.col("callee").alias("name")), 3, True)
+    owned = class_methods.select(F.col("class_name").alias("type"), F.col("name").alias("callee")).distinct()
+    found = calls.join(_shuffled(types), ["seq", "var"]).join(_shuffled(owned), ["type", "callee"], "left_semi")
+    return _marked(found, 3, True)
 
 
 def _pairs(rows: DataFrame, keys: list, pattern: str) -> DataFrame:
@@ -128,18 +138,18 @@ def field_types(functions: DataFrame, made: DataFrame | None = None, bodies: Dat
     found = rows.groupBy("class_name", "file", "var").agg(F.max_by("type", F.struct(F.col("way") > 0, "seq", "way", "pos")).alias("type"))
     if made is None:
         return found
-    calls = _pairs(base, keys, FACTORY_FIELD).join(made.select(F.col("name").alias("type"), F.col("type").alias("made")), "type")
+    calls = _pairs(base, keys, FACTORY_FIELD).join(_shuffled(made.select(F.col("name").alias("type"), F.col("type").alias("made"))), "type")
     filled = calls.groupBy("class_name", "file", "var").agg(F.min_by("made", F.struct("seq", "pos")).alias("type"))
-    return found.union(filled.join(found, ["class_name", "file", "var"], "left_anti").select("class_name", "file", "var", "type"))
+    return found.union(filled.join(_shuffled(found), ["class_name", "file", "var"], "left_anti").select("class_name", "file", "var", "type"))
 
 
 def field_calls(functions: DataFrame, class_methods: DataFrame, made: DataFrame | None = None, bodies: DataFrame | None = None) -> DataFrame:
     """Pass 3b: calls on fields of self whose class is known; see field_types."""
     base = functions.filter(F.col("class_name").isNotNull())
     calls = _pairs(base, ["name", "class_name", "file", "seq"], FIELD_CALL).withColumnsRenamed({"type": "callee"}).drop("pos")
-    found = calls.join(field_types(functions, made, bodies), ["class_name", "file", "var"])
-    found = found.join(class_methods.select(F.col("class_name").alias("type"), F.col("name").alias("callee")).distinct(), ["type", "callee"], "left_semi")
-    return _known(found, found.select(F.col("callee").alias("name")), 4, True)
+    found = calls.join(_shuffled(field_types(functions, made, bodies)), ["class_name", "file", "var"])
+    owned = class_methods.select(F.col("class_name").alias("type"), F.col("name").alias("callee")).distinct()
+    return _marked(found.join(_shuffled(owned), ["type", "callee"], "left_semi"), 4, True)
 
 
 def dispatched(functions: DataFrame) -> DataFrame:
