@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from graphloom.functions import paths, text
-from graphloom.operators import callers, edges, imports, lookup
+from graphloom.operators import callers, edges, imports, lookup, search
 from graphloom.plans.views import relation, table, with_views
 
 QUERIES: dict = {}
@@ -357,7 +356,7 @@ def g11_subclass_tree(spark, sf):
 def g08_flatten(spark, sf):
     """Subclasses in depth-first order."""
     flat = callers.flattened(callers.subclass_paths(relation(spark, sf, "classes"), "Region1", 3))
-    return flat.limit(1000).select("node", F.row_number().over(Window.orderBy("path")).cast("long").alias("place"))
+    return search.numbered(flat, ["path"], "place").select("node", _b("place"))
 
 
 @query("""WITH RECURSIVE c AS (SELECT DISTINCT name, split_part(base, '.', -1) AS parent FROM classes WHERE base IS NOT NULL),
