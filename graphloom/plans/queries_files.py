@@ -70,8 +70,10 @@ def i24_file_fusion(spark, sf):
 def i24_consumers(spark, sf):
     t = lambda n: table(spark, sf, n)
     near, far = (t("nation").select(F.col("n_nationkey").alias(f"{x}_key"), F.col("n_name").alias(x)) for x in ("importer", "target"))
-    i = t("supplier").join(t("customer"), F.col("c_custkey") % 100 == F.col("s_suppkey") % 100).join(near, F.col("c_nationkey") == F.col("importer_key"))
-    i = i.join(far, F.col("s_nationkey") == F.col("target_key")).select("importer", "target").distinct()
+    # Only nations count: each side is reduced to its (remainder, nation) pairs before the remainders, 100 at most, meet.
+    c = t("customer").select((F.col("c_custkey") % 100).alias("k"), F.col("c_nationkey").alias("importer_key")).distinct().join(near, "importer_key")
+    s = t("supplier").select((F.col("s_suppkey") % 100).alias("k"), F.col("s_nationkey").alias("target_key")).distinct().join(far, "target_key")
+    i = s.join(c, "k").select("importer", "target").distinct()
     return filesearch.with_consumers(_ranks(spark, sf), i, 20).select("path", F.round("score", 6).alias("score"), "via")
 
 
