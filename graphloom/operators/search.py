@@ -129,7 +129,8 @@ def vector_top(vectors: DataFrame, query: DataFrame, least: float, top: int) ->
 def quota_merge(results: DataFrame, n: int) -> DataFrame:
     """results: name, kind, file, score. Each kind has a quota, the rest is filled best first; duplicates by key once."""
     quota = F.when(F.col("kind") == "file", max(2, n // 5)).otherwise(max(3, n // 3))
-    order = [F.desc("score"), "name", "file"]
+    # Equals of several kinds stay in the order in which the kinds are handed in: functions, classes, files.
+    order = [F.desc("score"), "name", "file", F.when(F.col("kind") == "function", 0).when(F.col("kind") == "class", 1).otherwise(2), "kind"]
     best = results.groupBy("name", "kind", "file").agg(F.max("score").alias("score"))
     # No more than n of a kind can be picked; the filter on the rank lets every task drop the rest before they meet.
     ranked = best.withColumn("kr", F.row_number().over(Window.partitionBy("kind").orderBy(*order))).filter(F.col("kr") <= n).withColumn("inside", F.col("kr") <= quota)
