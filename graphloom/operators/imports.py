@@ -44,8 +44,15 @@ def relative_target(statements: DataFrame, table: DataFrame) -> DataFrame:
     rows = statements.withColumn("full", full).select(
         "importer", "imp", F.explode(F.array(F.concat("full", F.lit(".py")), F.concat("full", F.lit("/__init__.py")))).alias("want")
     )
-    rows = rows.select("importer", "imp", F.posexplode(paths.suffixes("want")).alias("prio", "suffix"))
-    met = rows.join(table, "suffix")
+    # Whole paths first: short suffixes are in many files and are only looked up where no whole path is there.
+    table = table.hint("merge")
+    whole = rows.select("importer", "imp", F.lit(0).alias("prio"), F.array_join(F.filter(paths.parts("want"), lambda x: x != ""), "/").alias("suffix"))
+    exact = whole.join(table, "suffix")
+    rest = rows.join(exact.select("importer", "imp").distinct().hint("merge"), ["importer", "imp"], "left_anti")
+    tried = rest.select("importer", "imp", F.posexplode(paths.suffixes("want")).alias("prio", "suffix"))
+    tried = tried.join(table.select("suffix").distinct().hint("merge"), "suffix", "left_semi")
+    longest = tried.withColumn("least", F.min("prio").over(Window.partitionBy("importer", "imp"))).filter("prio = least").drop("least")
+    met = exact.unionByName(longest.join(table, "suffix"))
     common = F.size(F.array_intersect(paths.parts("importer"), paths.parts("path")))
     rank = F.row_number().over(Window.partitionBy("importer", "imp").orderBy("prio", F.desc(common), "seq"))
     return met.withColumn("r", rank).filter("r = 1").select("importer", "imp", F.col("path").alias("target"))
