@@ -119,11 +119,83 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0).cast("double"), lambda s, x: s + x)
 
 
+#: Rows of a block of vectors and of a block of queries: a pair of blocks is one task's matter.
+VECTORS, QUERIES = 32_768, 16_384
+
+
 def vector_top(vectors: DataFrame, query: DataFrame, least: float, top: int) -> DataFrame:
-    """vectors: id, v; query: query_id, q (a few rows, broadcast): id, score, rank with cosine of unit vectors >= least."""
-    rows = vectors.crossJoin(F.broadcast(query)).filter(F.col("id") != F.col("query_id")).withColumn("score", F.round(F.least(F.lit(1.0), dot(F.col("v"), F.col("q"))), 6))
+    """vectors: id, v; query: query_id, q: id, score, rank with cosine of unit vectors >= least.
+
+    Every query meets every vector, block by block: matrix products name those that can be among a block's best, whose sums
+    are then taken again in order, so that scores are those of the plain sum."""
+    whole = lambda c: F.col(c).isNotNull() & F.forall(c, lambda x: x.isNotNull())
+    v, q = vectors.select("id", "v").filter(whole("v")), query.select("query_id", "q").filter(whole("q"))
+    most = [max(1, -(-df.count() // size)) for df, size in ((v, VECTORS), (q, QUERIES))]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = v.select("id", "v", F.pmod(F.hash("id"), F.lit(most[0])).alias("vb"), every(most[1]).alias("qb"))
+    q = q.select("query_id", "q", F.pmod(F.hash("query_id"), F.lit(most[1])).alias("qb"), every(most[0]).alias("vb"))
+    schema = f"query_id {query.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, dot double"
+    rows = v.groupBy("vb", "qb").cogroup(q.groupBy("vb", "qb")).applyInPandas(_block_best(least, top), schema)
+    rows = rows.withColumn("score", F.round(F.least(F.lit(1.0), F.col("dot")), 6)).filter(F.col("score") >= least)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return rows.filter(F.col("score") >= least).withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", "id", "score", "rank")
+    return rows.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", "id", "score", "rank")
+
+
+def _block_best(least: float, top: int):
+    """f(vectors, queries): for each query the `top` vectors of the block by score in millionths (ties to the smaller id)."""
+
+    def best(vectors, queries):
+        from decimal import ROUND_HALF_UP, Decimal
+
+        import numpy as np
+        import pandas as pd
+
+        def millionths(dots):
+            x = np.fmin(dots, 1.0) * 1e6
+            s = np.rint(x)
+            for i in np.flatnonzero(np.abs(np.abs(x - np.floor(x)) - 0.5) < 1e-4):
+                s[i] = int(Decimal(repr(float(x[i] if np.isnan(dots[i]) else min(dots[i], 1.0)))).quantize(Decimal("0.000001"), ROUND_HALF_UP).scaleb(6))
+            return s
+
+        out = []
+        vectors = vectors.sort_values("id", kind="stable")
+        v_len, q_len = vectors["v"].map(len).to_numpy(), queries["q"].map(len).to_numpy()
+        for n in np.unique(q_len):
+            here, asked = vectors[v_len == n], queries[q_len == n]
+            if not len(here):
+                continue
+            ids, v = here["id"].to_numpy(), np.stack(here["v"].to_numpy()).astype(float)
+            far = np.linalg.norm(v, axis=1).max()
+            for at in range(0, len(asked), 512):
+                part = asked.iloc[at : at + 512]
+                names, q = part["query_id"].to_numpy(), np.stack(part["q"].to_numpy()).astype(float)
+                slack = 1e-9 + (n + 2) * 2.3e-16 * far * np.linalg.norm(q, axis=1).max()
+                limit = np.full(len(q), least - 1e-6 - slack)
+                row, who, score, dot = (np.empty(0, t) for t in (np.int64, ids.dtype, float, float))
+                for start in range(0, len(v), 4096):
+                    block = v[start : start + 4096]
+                    r, c = np.nonzero(~(q @ block.T < limit[:, None]))
+                    other = ids[start + c] != names[r]
+                    r, c = r[other], c[other]
+                    if not len(r):
+                        continue
+                    sums = np.zeros(len(r))
+                    for k in range(n):
+                        sums += block[c, k] * q[r, k]
+                    row, who, dot = np.concatenate([row, r]), np.concatenate([who, ids[start + c]]), np.concatenate([dot, sums])
+                    score = np.concatenate([score, millionths(sums)])
+                    order = np.lexsort((who, -score, row))
+                    first = np.searchsorted(row[order], row[order])
+                    order = order[np.arange(len(order)) - first < top]
+                    row, who, score, dot = row[order], who[order], score[order], dot[order]
+                    count = np.bincount(row, minlength=len(q))
+                    last = np.cumsum(count)[count >= top] - 1
+                    # Later ids lose ties, so only a better score comes in; nothing is better than 1.
+                    limit[count >= top] = np.maximum(limit[count >= top], np.where(score[last] >= 1e6, np.inf, (score[last] + 0.5) * 1e-6 - slack))
+                out.append(pd.DataFrame({"query_id": names[row], "id": who, "dot": dot}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "dot": []}).astype({"query_id": "int64", "id": "int64", "dot": float})
+
+    return best
 
 
 def quota_merge(results: DataFrame, n: int) -> DataFrame:
