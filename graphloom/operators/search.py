@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.functions import paths
-from graphloom.functions.text import soft_cap, source_tokens, split_tokens, stem_match
+from graphloom.functions.text import bound, soft_cap, source_tokens, split_tokens, stem_match
 from graphloom.operators.callers import checkpointed
 
 PRUNE = 0.3
@@ -49,10 +49,14 @@ def _sum(tokens: Column, f) -> Column:
 
 def heuristic_score(name: Column, doc: Column, path: Column, query: Column, terms: Column) -> Column:
     """terms: array of struct(t, w) of the query's tokens. 0.55 name, 0.20 docstring and 0.25 path, then penalties and cap."""
-    names, low_doc = split_tokens(name), F.lower(doc)
-    words = F.regexp_extract_all(low_doc, F.lit("([a-z]{3,})"), 1)
-    path_tokens = split_tokens(path)
-    dirs = F.flatten(F.transform(F.slice(paths.parts(path), F.lit(1), F.greatest(F.size(paths.parts(path)) - 1, F.lit(0))), split_tokens))
+    folders = lambda p: F.flatten(F.transform(F.slice(p, F.lit(1), F.greatest(F.size(p) - 1, F.lit(0))), split_tokens))
+    words = F.regexp_extract_all(F.lower(doc), F.lit("([a-z]{3,})"), 1)
+    parts = {"names": split_tokens(name), "low_doc": F.lower(doc), "words": words, "path_tokens": split_tokens(path), "dirs": folders(paths.parts(path))}
+    # Tokens are taken once for a symbol; the lambdas over terms would take them again for each term.
+    return bound(F.struct(*[c.alias(k) for k, c in parts.items()]), lambda s: _heuristic_score(name, path, query, terms, *[s[k] for k in parts]))
+
+
+def _heuristic_score(name: Column, path: Column, query: Column, terms: Column, names: Column, low_doc: Column, words: Column, path_tokens: Column, dirs: Column) -> Column:
     total = F.greatest(_sum(terms, lambda x: x["w"]), F.lit(1e-9))
     stem = lambda list_, t: F.exists(list_, lambda n: stem_match(t, n))
     hits = F.filter(terms, lambda x: F.array_contains(names, x["t"]))
